@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import media, mixing, quality, secrets, sharding, warc
+from tallyforge.llm import media, mixing, packing, quality, secrets, sharding, warc
 from tallyforge.llm.shared import materialise, table
 
 
@@ -17,6 +17,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op9_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
+    "op3_retrieval_packing": op3_retrieval_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_hash_tree_sharding": op5_hash_tree_sharding,
     "op6_media_sniffing": op6_media_sniffing,
