@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import media, mixing, packing, quality, secrets, sharding, warc
+from tallyforge.llm import media, mixing, near_dup, packing, quality, secrets, sharding, warc
 from tallyforge.llm.shared import materialise, table
 
 
@@ -33,6 +33,10 @@ def op6_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.find_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = materialise(warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages"))), "warc")
     number = lambda c: F.substring_index(c, ":", -1).try_cast("long")
@@ -47,6 +51,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_hash_tree_sharding": op5_hash_tree_sharding,
     "op6_media_sniffing": op6_media_sniffing,
+    "op8_circulant_minhash": op8_circulant_minhash,
     "op9_warc_reader": op9_warc_reader,
 }
 
