@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import media, mixing, near_dup, packing, quality, secrets, sharding, warc
+from tallyforge.llm import media, mixing, near_dup, packing, quality, secrets, sharding, toxicity, warc
 from tallyforge.llm.shared import materialise, table
 
 
@@ -44,6 +44,10 @@ def op9_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select(checked.alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
@@ -53,6 +57,7 @@ QUERIES = {
     "op6_media_sniffing": op6_media_sniffing,
     "op8_circulant_minhash": op8_circulant_minhash,
     "op9_warc_reader": op9_warc_reader,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
