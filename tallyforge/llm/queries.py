@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import media, mixing, near_dup, packing, quality, secrets, sharding, toxicity, warc
+from tallyforge.llm import language_model, media, mixing, near_dup, packing, quality, secrets, sharding, toxicity, warc
 from tallyforge.llm.shared import materialise, table
 
 
@@ -33,6 +33,10 @@ def op6_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_gated_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.find_groups(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_hash_tree_sharding": op5_hash_tree_sharding,
     "op6_media_sniffing": op6_media_sniffing,
+    "op7_gated_language_model": op7_gated_language_model,
     "op8_circulant_minhash": op8_circulant_minhash,
     "op9_warc_reader": op9_warc_reader,
     "op10_toxicity": op10_toxicity,
