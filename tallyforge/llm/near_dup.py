@@ -282,6 +282,10 @@ def find_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose group has a smaller id; null ids stay."""
-    lost = find_groups(docs).where("not kept").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    """``docs`` without the documents whose group has a smaller id; null ids stay.
+
+    The ids to drop are broadcast up to BROADCAST_IDS, beyond that joined by shuffle.
+    """
+    lost = materialise(find_groups(docs).where("not kept").select(F.col("doc_id").alias("_lost")).distinct(), "lost")
+    few = lost.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(lost) if few else lost, F.col("doc_id") == F.col("_lost"), "left_anti")
