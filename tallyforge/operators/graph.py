@@ -61,17 +61,18 @@ def evidence(nodes: DataFrame, links: DataFrame, node_id: str, k: int = 10) -> D
 def neighbours(nodes: DataFrame, links: DataFrame, node_id: str, depth: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges within ``depth`` (1 to 4) steps, directions aside.
 
-    Each step joins the frontier alone, and nodes seen before don't go into it again. A node without edges has neither.
+    Each step joins the frontier alone, which is kept, and nodes seen before don't go into it
+    again. A node without edges has neither.
     """
     if not 1 <= depth <= 4:
         raise ValueError("depth must be 1 to 4")
     ways = _both_ways(links)
-    start = nodes.where(F.col("id") == node_id).select("id").distinct()
-    frontier, seen, used = start, start, None
+    seen = frontier = nodes.where(F.col("id") == node_id).select("id").distinct().persist()
+    used = None
     for _ in range(depth):
-        step = ways.join(frontier, F.col("at") == F.col("id"), "left_semi")
-        used = step.select("src", "dst", "type") if used is None else used.unionByName(step.select("src", "dst", "type"))
-        frontier = step.select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti")
+        step = ways.join(frontier, F.col("at") == F.col("id"), "left_semi").select("src", "dst", "type", "to").persist()
+        used = step.drop("to") if used is None else used.unionByName(step.drop("to"))
+        frontier = step.select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti").persist()
         seen = seen.unionByName(frontier)
     used = used.distinct()
     touched = used.select(F.explode(F.array("src", "dst")).alias("id")).distinct()

@@ -76,22 +76,24 @@ def unmatched(transactions: DataFrame, rules: DataFrame) -> DataFrame:
     return transactions.select("raw_description").distinct().join(rules.select(F.col("surface").alias("raw_description")), "raw_description", "left_anti")
 
 
-def new_descriptions(descriptions: DataFrame, merchants: DataFrame) -> DataFrame:
+def new_descriptions(descriptions: DataFrame, merchants: DataFrame, gram: int = 12) -> DataFrame:
     """Distinct descriptions that contain no merchant's name and aren't an alias.
 
-    Aliases match by an equi join. A name is looked up by its first word: descriptions are
-    exploded to words, joined on that, and the whole name is then checked, which avoids
-    comparing every description with every merchant. Names of no letter or digit match nothing.
+    Aliases match by an equi join. A name is looked up by its last ``gram`` characters (all of
+    a shorter one): descriptions are exploded to their substrings of those lengths, joined,
+    and the whole name is then checked, so no description meets every merchant. Empty
+    names match nothing.
     """
-    d = descriptions.select("raw_description").distinct()
-    alias = merchants.select(F.explode("aliases").alias("raw_description"))
-    rest = d.join(alias, "raw_description", "left_anti")
-    name = F.lower("canonical_name")
-    gram = lambda c, at: F.substring(c, at, 3)
-    named = merchants.select(name.alias("_name"), gram(name, 1).alias("_g")).where("length(_name) > 0").distinct()
+    rest = descriptions.select("raw_description").distinct().join(merchants.select(F.explode("aliases").alias("raw_description")), "raw_description", "left_anti")
+    size = F.least(F.length("_name"), F.lit(gram))
+    named = merchants.select(F.lower("canonical_name").alias("_name")).where("length(_name) > 0").distinct().select("_name", F.right("_name", size).alias("_g"), size.alias("_n"))
+    sizes = [r["_n"] for r in named.select("_n").distinct().orderBy("_n").collect()]  # at most ``gram`` rows
+    if not sizes:
+        return rest
     low = F.lower("raw_description")
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("raw_description"), F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    grams = F.array_distinct(F.flatten(F.transform(starts, lambda g: F.array(g, F.left(g, F.lit(2)), F.left(g, F.lit(1))))))
+    places = F.sequence(F.lit(1), F.greatest(F.length("raw_description"), F.lit(1)))
+    cut = lambda n: F.transform(places, lambda i: F.substring(low, i, F.lit(n)))
+    grams = F.array_distinct(F.flatten(F.array(*map(cut, sizes))))
     hit = rest.select("raw_description", F.explode(grams).alias("_g")).join(named, "_g").where(F.contains(low, F.col("_name"))).select("raw_description").distinct()
     return rest.join(hit, "raw_description", "left_anti")
 
