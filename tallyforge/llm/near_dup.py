@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,8 @@ SHINGLE = 2
 PERCENT = 80
 #: Pairs whose signatures agree in a smaller share are not verified: 4.2 standard errors below 0.8.
 ESTIMATE = 0.63
-#: Members of a bucket that are compared in one block.
-BLOCK = 4096
+#: Members, and shingles of members, that are compared in one block.
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
 #: Ids of documents to verify are broadcast up to this number (16 MB), beyond it joined by shuffle.
 BROADCAST_IDS = 2_000_000
 SKETCH = "doc_id long, n_shingles long, set_key string, signature binary, bands array<long>"
@@ -107,26 +107,74 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SKETCH)
 
 
+def _parts(blocks: Column, mine: Column) -> Column:
+    """Parts in which a member of block ``mine`` is compared: any two members meet in one, none outgrows two blocks."""
+    both = F.transform(F.sequence(F.lit(0), blocks - F.lit(1)), lambda o: F.least(o, mine) * blocks + F.greatest(o, mine))
+    return F.when(blocks == 1, F.array(F.lit(0))).otherwise(both)
+
+
 def shared_buckets(heads: DataFrame) -> DataFrame:
     """(bucket, part, doc_id, n_shingles, signature) of buckets with two members or more.
 
     A bucket of more than BLOCK members is cut into blocks by a hash of the member, and each
-    pair of blocks becomes a part, so that any two members meet in one part and none
-    outgrows two blocks.
+    pair of blocks becomes a part.
     """
     members = heads.select(F.explode("bands").alias("bucket"), "doc_id")
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     blocks = F.ceil(F.col("_n") / F.lit(BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("doc_id", "bucket"), blocks).cast("int")
-    both = F.transform(F.sequence(F.lit(0), blocks - F.lit(1)), lambda o: F.least(o, mine) * blocks + F.greatest(o, mine))
-    met = members.join(sizes, "bucket").select("bucket", F.explode(F.when(blocks == 1, F.array(F.lit(0))).otherwise(both)).alias("part"), "doc_id")
+    met = members.join(sizes, "bucket").select("bucket", F.explode(_parts(blocks, mine)).alias("part"), "doc_id")
     return met.join(heads.select("doc_id", "n_shingles", "signature"), "doc_id")
 
 
-def _near(signature: np.ndarray, size: np.ndarray, one: int) -> np.ndarray:
-    """Estimated similarity of a member to all, 0 where their sizes or estimate rule a link out."""
-    agree = (signature == signature[one]).mean(axis=1)
-    small, large = np.minimum(size, size[one]), np.maximum(size, size[one])
+def _by_group(df: DataFrame, keys: tuple[str, str], pairs_of: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b), a < b, distinct, that ``pairs_of`` gives for the rows of each value of two integer keys.
+
+    A group's rows are in doc_id order; many small groups share a task and a batch.
+    """
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def close() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            at = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in keys])
+            edge = np.flatnonzero(np.concatenate(([True], (at[:, 1:] != at[:, :-1]).any(axis=0), [True])))
+            found: set[tuple[int, int]] = set()
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                if hi - lo > 1:
+                    found.update((min(p), max(p)) for p in pairs_of(rows.slice(lo, hi - lo)))
+            a, b = zip(*sorted(found), strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        ends = lambda b: tuple(b.column(k)[b.num_rows - 1].as_py() for k in keys)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in keys])
+            other = np.flatnonzero((at != at[:, -1:]).any(axis=0))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if held and (cut or ends(held[-1]) != ends(batch)):
+                held.append(batch.slice(0, cut))
+                yield close()
+                held = [batch.slice(cut)]
+            elif cut:
+                held = [batch.slice(0, cut)]
+                yield close()
+                held = [batch.slice(cut)]
+            else:
+                held.append(batch)
+        if held:
+            yield close()
+
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def _near(signature: np.ndarray, size: np.ndarray, sign: np.ndarray, own: int) -> np.ndarray:
+    """Estimated similarity of one member to others, 0 where their sizes or estimate rule a link out."""
+    agree = (signature == sign).mean(axis=1)
+    small, large = np.minimum(size, own), np.maximum(size, own)
     return np.where((agree >= ESTIMATE) & (100 * small >= PERCENT * large), agree, 0.0)
 
 
@@ -139,7 +187,7 @@ def spanning_pairs(signature: np.ndarray, size: np.ndarray) -> list[tuple[int, i
         left[now] = False
         if link[now] >= 0:
             out.append((int(link[now]), now))
-        near = _near(signature, size, now)
+        near = _near(signature, size, signature[now], size[now])
         closer = left & (near > best)
         best[closer], link[closer] = near[closer], now
         if not left.any():
@@ -148,67 +196,82 @@ def spanning_pairs(signature: np.ndarray, size: np.ndarray) -> list[tuple[int, i
     return out
 
 
-def crossing_pairs(signature: np.ndarray, size: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
-    """All pairs of different components that the estimates don't rule out."""
-    out = []
-    for i in range(len(size) - 1):
-        j = i + 1 + np.flatnonzero((_near(signature[i:], size[i:], 0)[1:] > 0) & (component[i + 1 :] != component[i]))
-        out += [(i, int(x)) for x in j]
-    return out
+def _signs(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
-def bucket_pairs(buckets: DataFrame, crossing: bool) -> DataFrame:
-    """Pairs (a < b) to verify, distinct: a spanning forest of each part, or all that cross components."""
-    dealt = buckets.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "doc_id")
+def bucket_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs to verify: a spanning forest of each part of each bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    def pairs_of(rows: pa.Table) -> list[tuple[int, int]]:
+        ids = rows.column("doc_id").to_pylist()
+        return [(ids[i], ids[j]) for i, j in spanning_pairs(_signs(rows), rows.column("n_shingles").to_numpy())]
 
-        def pairs_of(rows: pa.Table) -> pa.RecordBatch:
-            bucket, part, ids, size = (rows.column(c).to_numpy() for c in ("bucket", "part", "doc_id", "n_shingles"))
-            signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            component = rows.column("component").to_numpy() if crossing else None
-            edge = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]), [True])))
-            found: set[tuple[int, int]] = set()
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                if hi - lo > 1:
-                    got = crossing_pairs(signs[lo:hi], size[lo:hi], component[lo:hi]) if crossing else spanning_pairs(signs[lo:hi], size[lo:hi])
-                    found.update((int(min(ids[lo + i], ids[lo + j])), int(max(ids[lo + i], ids[lo + j]))) for i, j in got)
-            a, b = zip(*sorted(found), strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return _by_group(buckets, ("bucket", "part"), pairs_of)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "part")])
-            last = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut or (held and (held[-1].column("bucket")[-1].as_py(), held[-1].column("part")[-1].as_py()) != (keys[0, 0], keys[1, 0])):
-                held.append(batch.slice(0, cut))
-                yield pairs_of(pa.Table.from_batches(held))
-                held = [batch.slice(cut)]
-            else:
-                held.append(batch)
-        if held:
-            yield pairs_of(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+def crossing_links(signature: np.ndarray, sets: list[np.ndarray], component: np.ndarray) -> list[tuple[int, int]]:
+    """Links between components, by exact counts: each pair not yet joined that the estimates allow is compared.
+
+    What a member shares with all others is counted over an inverted index of their shingles.
+    """
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = count[value] > 1
+    owner, value = owner[common], value[common]
+    order = np.argsort(value, kind="stable")
+    posting, start = owner[order], np.searchsorted(value[order], np.arange(len(count) + 1))
+    mine = np.searchsorted(owner, np.arange(len(sets) + 1))
+    now, out = component.copy(), []
+    for i in range(len(sets) - 1):
+        rest = np.flatnonzero(now[i + 1 :] != now[i]) + i + 1
+        if not len(rest) or not (near := _near(signature[rest], size[rest], signature[i], size[i]) > 0).any():
+            continue
+        lists = [posting[start[v] : start[v + 1]] for v in value[mine[i] : mine[i + 1]]]
+        shared = np.bincount(np.concatenate(lists), minlength=len(sets)) if lists else np.zeros(len(sets), np.int64)
+        for j in rest[near]:
+            if now[j] != now[i] and 100 * shared[j] >= PERCENT * (size[i] + size[j] - shared[j]):
+                out.append((int(component[i]), int(component[j])))
+                now[now == now[j]] = now[i]
+    return out
+
+
+def crossing_components(members: DataFrame) -> DataFrame:
+    """Pairs of components that some link joins, within each candidate group (doc_id, group, component, n_shingles, signature, shingles).
+
+    Groups of one component have nothing to join. Others are compared in parts of two
+    blocks at most, bounded in members and in shingles.
+    """
+    sizes = members.groupBy(F.col("group").alias("_group")).agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
+    blocks = F.greatest(F.ceil(F.col("_n") / F.lit(BLOCK)), F.ceil(F.col("_s") / F.lit(BLOCK_SHINGLES))).cast("int")
+    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    dealt = members.join(sizes, F.col("group") == F.col("_group")).withColumn("part", F.explode(_parts(blocks, mine))).select("group", "part", "doc_id", "component", "signature", "shingles")
+
+    def pairs_of(rows: pa.Table) -> list[tuple[int, int]]:
+        return crossing_links(_signs(rows), [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("shingles")], rows.column("component").to_numpy())
+
+    return _by_group(dealt, ("group", "part"), pairs_of)
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets meet PERCENT, compared as sorted 64-bit hashes."""
+def candidate_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, shingles): the full shingle sets, as sorted 64-bit hashes, of the documents in ``pairs``."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "verify-ids")
     few = ids.count() <= BROADCAST_IDS
     chosen = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in W.chunks(batch.column("text")):
                 values, bounds = shingle_sets(data, offsets)
                 rows = [values[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(rows, pa.binary())], names=["_doc", "_set"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(rows, pa.binary())], names=["doc", "shingles"])
+
+    return materialise(chosen.mapInArrow(run, "doc long, shingles binary").dropDuplicates(["doc"]), "verify-sets")
+
 
-    known = materialise(chosen.mapInArrow(sets, "_doc long, _set binary").dropDuplicates(["_doc"]), "verify-sets")
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full shingle sets meet PERCENT."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,65 +282,68 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 linked.append(100 * common >= PERCENT * (len(one) + len(two) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    joined = pairs.join(known.select(F.col("_doc").alias("a"), F.col("_set").alias("set_a")), "a").join(known.select(F.col("_doc").alias("b"), F.col("_set").alias("set_b")), "b")
+    joined = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("set_b")), "b")
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id connected to each id of ``edges`` (a, b).
+    """(graph, id, component): the smallest id connected to each id within a graph of ``edges`` (graph, a, b).
 
     Alternating large and small stars; each round's edges are written to the shared folder.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        near = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        near = near.union(e.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = near.join(least, "u")
-        moved = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else out.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return moved.where("a <> b").distinct()
+        one, other = e.select("graph", F.col("a").alias("u"), F.col("b").alias("v")), e.select("graph", F.col("b").alias("u"), F.col("a").alias("v"))
+        near = one.union(other) if large else e.select("graph", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        least = near.groupBy("graph", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        out = near.join(least, ["graph", "u"])
+        if large:
+            moved = out.where("v > u").select("graph", F.col("v").alias("a"), F.col("m").alias("b"))
+        else:
+            moved = out.select("graph", F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
+        return moved.where("a <> b")
 
     def mark(e: DataFrame) -> tuple:
-        row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("graph", "a", "b").cast("decimal(38,0)"))).first()
         return row[0], row[1]
 
-    now = materialise(edges.distinct(), "links")
+    now = materialise(edges.distinct(), "edges")
     seen = mark(now)
     while seen[0]:
-        now = materialise(star(star(now, True), False), "links")
+        now = materialise(star(star(now, True), False).distinct(), "edges")
         if (then := mark(now)) == seen:
             break
         seen = then
-    return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    return now.groupBy("graph", F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 
 def find_groups(docs: DataFrame) -> DataFrame:
     """One row per document: n_shingles, component_id and kept.
 
     Documents of one shingle set are a class, headed by its smallest id; only heads are
-    banded and verified. A spanning forest of each bucket is verified first; then, between
-    the components that this leaves, every pair of a bucket that could be a link. Documents
-    without words (null, empty) and of null id are linked with nothing; repeated rows share
-    their component, and each is kept if the id is. Columns beyond doc_id and text are not read.
+    banded. A spanning forest of each bucket is verified first. All pairs that share a bucket
+    and may be linked lie within a tree of those forests, so the documents of a tree whose
+    verified links leave several components are then compared with each other, block by
+    block, until no link between components is left untried. Documents without words (null,
+    empty) and of null id are linked with nothing; repeated rows share their component, and
+    each is kept if the id is. Columns beyond doc_id and text are not read.
     """
     sketch = materialise(sketch_documents(docs), "sketch")
     known = sketch.where("set_key is not null and doc_id is not null")
     heads = known.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "signature", "bands"), "doc_id").alias("h"))
     heads = materialise(heads.select("set_key", "h.*"), "heads")
-    buckets = materialise(shared_buckets(heads), "buckets")
-    pairs = materialise(bucket_pairs(buckets, crossing=False), "pairs")
-    links = materialise(verify(pairs, docs), "links")
-    found = materialise(components(links), "components")
-    of: Column = F.coalesce("component", "doc_id").alias("component")
-    marked = buckets.join(found, F.col("doc_id") == F.col("id"), "left").select("bucket", "part", "doc_id", "n_shingles", "signature", of)
-    marked = materialise(marked, "marked")
-    mixed = marked.groupBy("bucket", "part").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("bucket", "part")
-    more = bucket_pairs(marked.join(mixed, ["bucket", "part"]), crossing=True).join(pairs, ["a", "b"], "left_anti")
-    more = materialise(more, "pairs")
-    links = materialise(verify(more, docs), "links").union(links) if more.head(1) else links
-    found = components(links) if more.head(1) else found
-    classes = heads.select("set_key", F.col("doc_id").alias("_head")).join(found, F.col("_head") == F.col("id"), "left").select(F.col("set_key").alias("_key"), F.coalesce("component", "_head").alias("_component"))
-    out = sketch.join(classes, F.col("set_key") == F.col("_key"), "left").withColumn("component_id", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("_component")), F.col("doc_id")))
+    pairs = materialise(bucket_pairs(shared_buckets(heads)), "pairs")
+    sets = candidate_sets(pairs, docs)
+    links = verify(pairs, sets)
+    both = materialise(components(pairs.withColumn("graph", F.lit(0)).unionByName(links.withColumn("graph", F.lit(1)))), "components")
+    found = both.where("graph = 1").select("id", "component")
+    groups = both.where("graph = 0").select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
+    members = groups.join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "group", F.coalesce("component", "doc_id").alias("component"))
+    members = members.join(heads.select("doc_id", "n_shingles", "signature"), "doc_id").join(sets, F.col("doc_id") == F.col("doc")).drop("doc")
+    joined = components(crossing_components(members).withColumn("graph", F.lit(0))).select(F.col("id").alias("_was"), F.col("component").alias("_now"))
+    heads = heads.select(F.col("set_key").alias("_key"), F.col("doc_id").alias("_head")).join(found, F.col("_head") == F.col("id"), "left")
+    heads = heads.select("_key", F.coalesce("component", "_head").alias("_own")).join(joined, F.col("_own") == F.col("_was"), "left").select("_key", F.coalesce("_now", "_own").alias("_component"))
+    out = sketch.join(heads, F.col("set_key") == F.col("_key"), "left").withColumn("component_id", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("_component")), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
