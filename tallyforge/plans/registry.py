@@ -483,7 +483,7 @@ used AS (SELECT src, dst, type FROM one WHERE a = 'acct_1' UNION SELECT src, dst
 SELECT id FROM (SELECT src AS id FROM used UNION SELECT dst FROM used)""")
 def _(s, d):
     nodes, links = the_graph(s, d)
-    return graph.neighbours(nodes, links, "acct_1", 2)[0].select("id")
+    return graph.neighbours(nodes, links.persist(), "acct_1", 2)[0].select("id")
 
 
 @query("g5_graph_stats", f"""WITH {EDGES}
