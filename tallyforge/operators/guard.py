@@ -81,7 +81,7 @@ def execute(spark: SparkSession, sql: str, args: dict | None = None, limit: int
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def explain(spark: SparkSession, sql: str, args: dict | None = None) -> dict:

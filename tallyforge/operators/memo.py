@@ -51,4 +51,4 @@ def entity_pages(entities: DataFrame, links: DataFrame, title: str) -> DataFrame
     held = multimap(links, "id", "member")
     body = F.array_join(F.transform(F.coalesce("values", F.array().cast("array<string>")), lambda v: F.concat(F.lit("- [["), v, F.lit("]]"))), "\n")
     head = F.concat(F.lit("---\nid: "), "id", F.lit(f"\ntype: {title}\n---\n# "), "title", F.lit("\n\n"))
-    return entities.join(held, "id", "left").select(F.concat("id", F.lit(".md")).alias("name"), F.concat(head, body, F.lit("\n")).alias("content"))
+    return entities.join(held, "id", "left").select(F.concat("id", F.lit(".md")).alias("name"), F.concat(head, body).alias("content"))

@@ -23,8 +23,8 @@ def prompt_rows(prompts: DataFrame, mask: Column) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
-    """(name, content) as text, one folder a page, so that pages are written in parallel by their partition."""
-    pages.select("content", "name").write.mode("overwrite").partitionBy("name").option("lineSep", "").text(path)
+    """(name, content) as text, one folder a page; each page ends with a line break."""
+    pages.select("content", "name").write.mode("overwrite").partitionBy("name").text(path)
 
 
 def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
