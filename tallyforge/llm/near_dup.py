@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from tallyforge.llm import words as W
 from tallyforge.llm.shared import materialise
 
-#: Bands of ROWS coordinates: a pair of similarity 0.8 shares none with a chance of 3 in a million.
+#: Bands of ROWS coordinates each: a pair of similarity 0.8 shares none with a chance of 3 in a million.
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
-SHINGLE = 2
+#: Words in a shingle, unless a caller says otherwise.
+SHINGLE = 5
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 80
 #: Pairs whose signatures agree in a smaller share are not verified: 4.2 standard errors below 0.8.
@@ -27,20 +28,26 @@ BROADCAST_IDS = 2_000_000
 SKETCH = "doc_id long, n_shingles long, set_key string, signature binary, bands array<long>"
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of each text, sorted within it, and the texts' bounds.
 
-    Shingles are of SHINGLE lower-cased words; a text of fewer words has one, its whole
+    Shingles are of ``shingle`` lower-cased words; a text of fewer words has one, its whole
     sequence; one without words has none.
     """
     w = W.find_words(data, offsets, lower=True)
     hashes, owner, count = w.hashes(), w.owner(), np.diff(w.bounds)
-    n = len(hashes)
-    pair = np.flatnonzero(owner[1:] == owner[:-1]) if n > 1 else np.zeros(0, np.int64)
-    joined = W.mix(hashes[pair] * np.uint64(0x9E3779B97F4A7C15) + hashes[pair + 1]) if n else np.zeros(0, np.uint64)
-    single = np.flatnonzero(count == 1)
-    of = np.concatenate((owner[pair], single))
-    values = np.concatenate((joined, W.mix(hashes[w.bounds[single]] ^ np.uint64(0x5555555555555555)) if n else joined))
+    last = max(0, len(hashes) - shingle + 1)
+    at = np.flatnonzero(owner[:last] == owner[len(hashes) - last :])
+    whole = np.zeros(len(at), np.uint64)
+    for k in range(shingle):
+        whole = whole * np.uint64(0x9E3779B97F4A7C15) + hashes[at + k]
+    short = np.flatnonzero((count > 0) & (count < shingle))
+    part = count[short].astype(np.uint64)
+    for k in range(shingle - 1):
+        more = count[short] > k
+        part[more] = part[more] * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[w.bounds[short[more]] + k]
+    of = np.concatenate((owner[at], short))
+    values = np.concatenate((W.mix(whole), W.mix(part ^ np.uint64(0x5555555555555555))))
     order = np.lexsort((values, of))
     of, values = of[order], values[order]
     new = np.ones(len(of), bool)
@@ -71,7 +78,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch_documents(docs: DataFrame) -> DataFrame:
+def sketch_documents(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """SKETCH rows: set size, a 128-bit key of the set, one byte of each coordinate, and band values.
 
     Documents without shingles have a null key and no signature.
@@ -81,7 +88,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id")
             for at, to, data, offsets in W.chunks(batch.column("text")):
-                values, bounds = shingle_sets(data, offsets)
+                values, bounds = shingle_sets(data, offsets, shingle)
                 size = np.diff(bounds)
                 full = np.flatnonzero(size)
                 keys: list = [None] * len(size)
@@ -254,7 +261,7 @@ def crossing_components(members: DataFrame) -> DataFrame:
     return _by_group(dealt, ("group", "part"), pairs_of)
 
 
-def candidate_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def candidate_sets(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc, shingles): the full shingle sets, as sorted 64-bit hashes, of the documents in ``pairs``."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "verify-ids")
     few = ids.count() <= BROADCAST_IDS
@@ -263,7 +270,7 @@ def candidate_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in W.chunks(batch.column("text")):
-                values, bounds = shingle_sets(data, offsets)
+                values, bounds = shingle_sets(data, offsets, shingle)
                 rows = [values[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(rows, pa.binary())], names=["doc", "shingles"])
 
@@ -314,10 +321,10 @@ def components(edges: DataFrame) -> DataFrame:
         if (then := mark(now)) == seen:
             break
         seen = then
-    return now.groupBy("graph", F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    return now.select("graph", F.explode(F.array("a", "b")).alias("id"), F.col("b").alias("component")).groupBy("graph", "id").agg(F.min("component").alias("component"))
 
 
-def find_groups(docs: DataFrame) -> DataFrame:
+def find_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: n_shingles, component_id and kept.
 
     Documents of one shingle set are a class, headed by its smallest id; only heads are
@@ -328,12 +335,12 @@ def find_groups(docs: DataFrame) -> DataFrame:
     empty) and of null id are linked with nothing; repeated rows share their component, and
     each is kept if the id is. Columns beyond doc_id and text are not read.
     """
-    sketch = materialise(sketch_documents(docs), "sketch")
+    sketch = materialise(sketch_documents(docs, shingle), "sketch")
     known = sketch.where("set_key is not null and doc_id is not null")
     heads = known.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "signature", "bands"), "doc_id").alias("h"))
     heads = materialise(heads.select("set_key", "h.*"), "heads")
     pairs = materialise(bucket_pairs(shared_buckets(heads)), "pairs")
-    sets = candidate_sets(pairs, docs)
+    sets = candidate_sets(pairs, docs, shingle)
     links = verify(pairs, sets)
     both = materialise(components(pairs.withColumn("graph", F.lit(0)).unionByName(links.withColumn("graph", F.lit(1)))), "components")
     found = both.where("graph = 1").select("id", "component")
@@ -347,11 +354,11 @@ def find_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` without the documents whose group has a smaller id; null ids stay.
 
     The ids to drop are broadcast up to BROADCAST_IDS, beyond that joined by shuffle.
     """
-    lost = materialise(find_groups(docs).where("not kept").select(F.col("doc_id").alias("_lost")).distinct(), "lost")
+    lost = materialise(find_groups(docs, shingle).where("not kept").select(F.col("doc_id").alias("_lost")).distinct(), "lost")
     few = lost.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(lost) if few else lost, F.col("doc_id") == F.col("_lost"), "left_anti")

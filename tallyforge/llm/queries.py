@@ -38,7 +38,7 @@ def op7_gated_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.find_groups(table(spark, sf_dir, "documents"))
+    return near_dup.find_groups(table(spark, sf_dir, "documents"), shingle=2)
 
 
 def op9_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,14 @@ from tallyforge.llm import words as W
 from tests.llm.conftest import same
 
 
-def shingles(text):
+def shingles(text, k=2):
     w = (text or "").encode().lower().split()
-    return frozenset(zip(w, w[1:], strict=False)) if len(w) > 1 else frozenset(map(lambda x: (x,), w))
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
 
 
-def brute(rows):
+def brute(rows, k=2):
     """component by id, comparing all pairs"""
-    known = {i: shingles(t) for i, t in rows if i is not None}
+    known = {i: shingles(t, k) for i, t in rows if i is not None}
     top = {i: i for i in known}
 
     def find(i):
@@ -33,9 +33,9 @@ def brute(rows):
     return {i: (len(known[i]), find(i)) for i in ids}
 
 
-def check(spark, rows):
-    got = near_dup.find_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    want = brute(rows)
+def check(spark, rows, k=2):
+    got = near_dup.find_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k).collect()
+    want = brute(rows, k)
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is not None:
@@ -44,7 +44,8 @@ def check(spark, rows):
 
 
 def test_fixture(spark, rows):
-    check(spark, [(r[0], r[1]) for r in rows])
+    for k in (2, 5):
+        check(spark, [(r[0], r[1]) for r in rows], k)
 
 
 def test_chains_stars_and_thresholds(spark):
@@ -84,10 +85,11 @@ def test_sets_are_the_shingles():
     texts = ["a b a b a", "One", "", None, "x y", "ünï ünÏ ünï"]
     column = pa.array(texts)
     data, offsets = W.text_bytes(column)
-    values, bounds = near_dup.shingle_sets(data, offsets)
-    assert list(np.diff(bounds)) == [len(shingles(t)) for t in texts]
-    for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-        assert (np.diff(values[i:j].astype(object)) > 0).all()
+    for k in (1, 2, 3, 5, 9):
+        values, bounds = near_dup.shingle_sets(data, offsets, k)
+        assert list(np.diff(bounds)) == [len(shingles(t, k)) for t in texts]
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+            assert (np.diff(values[i:j].astype(object)) > 0).all()
 
 
 def test_tables(spark, docs, crowded, empty):

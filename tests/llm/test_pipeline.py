@@ -18,7 +18,7 @@ def test_stages_take_effect(spark):
     source = spark.read.parquet(f"{SF}/documents.parquet")
     report = {r.doc_id: r.kept for r in quality.quality_report(source, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     assert {r.doc_id for r in rows["quality_rules"]} == {i for i, k in report.items() if k}
-    parts = brute([(r.doc_id, r.text) for r in rows["quality_rules"]])
+    parts = brute([(r.doc_id, r.text) for r in rows["quality_rules"]], 5)
     assert {r.doc_id for r in rows["near_dedup"]} == {i for i, (_, c) in parts.items() if c == i}
     assert len(rows["secret_scan"]) == len(rows["near_dedup"])
     assert all(not secrets.base_spans(r.text) for r in rows["secret_scan"])
@@ -36,4 +36,4 @@ def test_run_and_registration(spark):
     got = __spark_entry__.queries()["pipeline"](spark, SF)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0
     assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in __spark_entry__.queries()}
-    assert near_dup.PERCENT == 80 and packing.WINDOW == 1024
+    assert near_dup.PERCENT == 80 and near_dup.SHINGLE == 5 and packing.WINDOW == 1024
