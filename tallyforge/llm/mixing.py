@@ -30,8 +30,9 @@ def repetition_rates(docs: DataFrame, weights: Mapping[str | None, float] | None
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "_name string, _w double")
         weighed = counts.join(given, F.col("_source").eqNullSafe(F.col("_name")), "left").withColumn("_w", F.coalesce("_w", F.lit(0.0))).drop("_name")
-    total = weighed.agg(F.sum("n_rows").alias("_rows"), F.sum("_w").alias("_all"))
-    return weighed.join(F.broadcast(total)).select("_source", "n_rows", F.coalesce(F.try_divide(F.col("_w") * F.col("_rows"), F.col("_all") * F.col("n_rows")), F.lit(0.0)).alias("rate"))
+    total = weighed.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("_w"), F.lit(0.0)).alias("weight")).first()
+    rate = F.try_divide(F.col("_w") * F.lit(total["rows"]), F.lit(total["weight"]) * F.col("n_rows"))
+    return weighed.select("_source", "n_rows", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def poisson_steps(rate: Column) -> Column:

@@ -78,8 +78,8 @@ cdf AS (SELECT source, LIST(total) AS totals FROM steps GROUP BY source),
 drawn AS (
   SELECT d.*, LEN(LIST_FILTER(c.totals, lambda x: x <= CAST(('0x' || SUBSTR(MD5('mix-1|' || COALESCE(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0)) AS n
   FROM documents d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source),
-copies AS (SELECT *, UNNEST(RANGE(n)) AS at FROM drawn WHERE n > 0)
-SELECT doc_id, text, lang, source, n_chars, CAST(at AS INTEGER) AS copy,
-       MD5('mix-1|order|' || COALESCE(CAST(doc_id AS VARCHAR), '') || '|' || CAST(at AS VARCHAR)) AS shuffle_key
+copies AS (SELECT *, UNNEST(RANGE(n)) AS nth FROM drawn WHERE n > 0)
+SELECT doc_id, text, lang, source, n_chars, CAST(nth AS INTEGER) AS copy,
+       MD5('mix-1|order|' || COALESCE(CAST(doc_id AS VARCHAR), '') || '|' || CAST(nth AS VARCHAR)) AS shuffle_key
 FROM copies""",
 }

@@ -55,3 +55,18 @@ def test_order_and_tables(spark, docs, crowded, empty, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
     assert same(mixed, mixing.mix_sources(docs))
     assert not same(mixed.select("doc_id", "copy"), mixing.mix_sources(docs, seed="other").select("doc_id", "copy"))
+
+
+def test_sql_gives_the_same_rows(spark):
+    import duckdb
+
+    from tallyforge.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    found = con.execute(queries.ORACLES["op2_source_mixing"])
+    names = [c[0] for c in found.description]
+    df = queries.op2_source_mixing(spark, sf)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(found.fetchall())
