@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import mixing, near_dup, packing, quality, secrets
-from tallyforge.llm.shared import materialise, table
+from tallyforge.llm.shared import bound_batches, materialise, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,21 +20,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (0.8 of five-word shingles), that of the smallest id."""
+    bound_batches(spark)
     return near_dup.keep_first(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced and their characters counted anew."""
+    bound_batches(spark)
     return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target weight asks for, in a global random order."""
+    bound_batches(spark)
     return mixing.mix_sources(docs).select(*docs.columns)
 
 
 def retrieval_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into windows."""
+    bound_batches(spark)
     return packing.piece_digests(packing.pack(docs))
 
 

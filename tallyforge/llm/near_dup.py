@@ -21,8 +21,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Pairs whose signatures agree in a smaller share are not verified: 4.2 standard errors below 0.8.
 ESTIMATE = 0.63
-#: Members, and shingles of members, that are compared in one block.
-BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
+#: Members of a bucket in one block; members, and their shingles, of a candidate group in one block.
+BUCKET_BLOCK, BLOCK, BLOCK_SHINGLES = 512, 4096, 2_000_000
 #: Ids of documents to verify are broadcast up to this number (16 MB), beyond it joined by shuffle.
 BROADCAST_IDS = 2_000_000
 SKETCH = "doc_id long, n_shingles long, set_key string, signature binary, bands array<long>"
@@ -123,12 +123,12 @@ def _parts(blocks: Column, mine: Column) -> Column:
 def shared_buckets(heads: DataFrame) -> DataFrame:
     """(bucket, part, doc_id, n_shingles, signature) of buckets with two members or more.
 
-    A bucket of more than BLOCK members is cut into blocks by a hash of the member, and each
+    A bucket of more than BUCKET_BLOCK members is cut into blocks by a hash of the member, and each
     pair of blocks becomes a part.
     """
     members = heads.select(F.explode("bands").alias("bucket"), "doc_id")
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    blocks = F.ceil(F.col("_n") / F.lit(BLOCK)).cast("int")
+    blocks = F.ceil(F.col("_n") / F.lit(BUCKET_BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("doc_id", "bucket"), blocks).cast("int")
     met = members.join(sizes, "bucket").select("bucket", F.explode(_parts(blocks, mine)).alias("part"), "doc_id")
     return met.join(heads.select("doc_id", "n_shingles", "signature"), "doc_id")

@@ -66,6 +66,7 @@ def test_chains_stars_and_thresholds(spark):
 
 
 def test_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BUCKET_BLOCK", 5)
     monkeypatch.setattr(near_dup, "BLOCK", 7)
     monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 2000)
     test_chains_stars_and_thresholds(spark)
