@@ -6,7 +6,7 @@ token has its share of the whole training corpus's counts, with one added to eac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,8 @@ HIDDEN = 24
 BLOCK_WORDS = 3_000_000
 #: Tokens between truncations of the gradient, and documents side by side in training and scoring.
 STEPS, TRAIN_LANES, LANES = 32, 64, 2048
-#: Rounds of averaging; in each a task trains on every SHARE-th of its training documents, other ones each time,
-#: but on LEAST_TOKENS at least, as far as it has them.
-ROUNDS, SHARE, LEAST_TOKENS = 2, 8, 150_000
+#: Rounds of averaging; a hash of its id gives each training document the one round that trains on it.
+ROUNDS = 2
 RATE = 0.01
 PROFILE = 32
 SEED = 9
@@ -247,7 +246,7 @@ def train_step(w: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray,
     return loss, {"x": d_x, "u": d_u, "o": np.einsum("tbh,tbc->hc", states, p), "k": p.sum(axis=(0, 1))}, states[-1]
 
 
-def train_on(w: dict[str, np.ndarray], rows: list[np.ndarray], rate: float = RATE) -> dict[str, np.ndarray]:
+def train_on(w: dict[str, np.ndarray], rows: Iterable[np.ndarray], rate: float = RATE) -> dict[str, np.ndarray]:
     """One pass over documents, TRAIN_LANES side by side: a lane that ends takes up the next document, while there is one."""
     adam = gru.Adam(w, rate)
     h = np.zeros((TRAIN_LANES, HIDDEN), np.float32)
@@ -277,37 +276,36 @@ def train_on(w: dict[str, np.ndarray], rows: list[np.ndarray], rate: float = RAT
 
 
 def train(sequences: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """Weights averaged over tasks, by the tokens that each trained on, ROUNDS times.
+    """Weights averaged over tasks, by the tokens that each trained on, ROUNDS times; every training document is seen once.
 
-    The averages are taken by a grouped aggregate, so the driver gets one row per weight.
+    Tasks read their documents as a stream. The averages are taken by a grouped aggregate, so
+    the driver gets one row per weight.
     """
     weights = start_weights(vocabulary.class_tokens)
-    source = sequences.where(~F.col("held_out")).select("doc_id", "classes")
+    source = sequences.where(~F.col("held_out"))
     for turn in range(ROUNDS):
         shared = sequences.sparkSession.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            chosen, spare, size, room, n = [], [], 0, 0, 0
-            for batch in batches:
-                for x in batch.column("classes"):
-                    n += 1
-                    if n % SHARE == turn % SHARE:
-                        chosen.append(np.frombuffer(x.as_py(), np.uint8).astype(np.int64))
-                        size += len(chosen[-1])
-                    elif room < LEAST_TOKENS:
-                        spare.append(np.frombuffer(x.as_py(), np.uint8).astype(np.int64))
-                        room += len(spare[-1])
-            while size < LEAST_TOKENS and spare:
-                chosen.append(spare.pop())
-                size += len(chosen[-1])
-            if chosen:
-                w = train_on({k: v.copy() for k, v in shared.value.items()}, chosen, RATE / (1 + turn))
+            size = 0
+
+            def documents() -> Iterator[np.ndarray]:
+                nonlocal size
+                for batch in batches:
+                    for x in batch.column("classes"):
+                        row = np.frombuffer(x.as_py(), np.uint8)
+                        size += len(row)
+                        yield row
+
+            w = train_on({k: v.copy() for k, v in shared.value.items()}, documents(), RATE / (1 + turn))
+            if size:
                 flat = np.concatenate([w[k].ravel() for k in sorted(w)]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * size), pa.array(np.full(len(flat), float(size)))], names=["i", "total", "size"])
 
-        mean = source.mapInArrow(run, "i long, total double, size double").groupBy("i").agg((F.sum("total") / F.sum("size")).alias("mean")).toArrow()
+        chosen = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("classes")
+        mean = chosen.mapInArrow(run, "i long, total double, size double").groupBy("i").agg((F.sum("total") / F.sum("size")).alias("mean")).toArrow()
         if not mean.num_rows:
-            break
+            continue
         flat = np.zeros(mean.num_rows)
         flat[mean.column("i").to_numpy()] = mean.column("mean").to_numpy()
         start = 0

@@ -1,4 +1,5 @@
 import math
+import uuid
 import zlib
 from collections import Counter
 
@@ -83,6 +84,31 @@ def test_training_learns_a_sequence():
     assert lm.score_rows(lm.train_on(w, rows), rows[:10]).sum() > 0.6 * before
 
 
+def test_every_training_document_is_trained_on_once(spark, tmp_path, monkeypatch):
+    """More tokens than any task needs, in few and in many tasks: each document in one round, the same one in both."""
+    rows = [(i if i else None, i % 7 == 2, bytes([i >> 6, i & 63]) + bytes(198)) for i in range(4000)]
+
+    def rounds(parts):
+        folder = tmp_path / str(parts)
+        folder.mkdir()
+
+        def keep(w, rows, rate=lm.RATE):
+            with open(folder / uuid.uuid4().hex, "w") as out:
+                out.writelines(f"{rate} {int(r[0]) << 6 | int(r[1])}\n" for r in rows)
+            return w
+
+        monkeypatch.setattr(lm, "train_on", keep)
+        sequences = spark.createDataFrame(rows, "doc_id long, held_out boolean, classes binary").repartition(parts)
+        ones = np.ones(lm.CLASSES)
+        lm.train(sequences, lm.Vocabulary(np.zeros(0, np.int64), 1, np.zeros(1 << 16, np.int64), 1, 1, ones, ones))
+        return sorted(line for f in folder.iterdir() for line in f.read_text().splitlines())
+
+    few, many = rounds(1), rounds(7)
+    assert few == many
+    assert sorted(int(line.split()[1]) for line in few) == [i for i in range(4000) if i % 7 != 2]
+    assert len({line.split()[0] for line in few}) == lm.ROUNDS
+
+
 def test_tables(crowded, docs, empty):
     assert lm.score_documents(empty).count() == 0
     names = ["doc_id", "n_tokens", "n_known", "base_score"]
