@@ -19,8 +19,6 @@ WINDOW = 1024
 END = 0
 #: Remainders in one shard of the index, by its mean.
 SHARD_ROWS = 4096
-#: A seed asks for its rarest terms.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Ids of a vocabulary under 65,536 are kept as little-endian unsigned 16-bit numbers.
 VOCABULARY = 1 << 16
@@ -116,18 +114,15 @@ class Index:
         owner, term = keys // VOCABULARY, keys % VOCABULARY
         idf = known.idf()
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / known.mean_length))
-        self.rows, self.idf = len(rows), idf
+        self.rows = len(rows)
         self.terms = np.split(term, np.searchsorted(owner, np.arange(1, len(rows))))
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
         self.start = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused rows that share a query term with the seed, best first, ties in row order."""
-        terms = self.terms[seed]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self.start[t], self.start[t + 1]) for t in terms]
+        """Unused rows that share a term with the seed, by BM25 over all of its distinct terms, best first, ties in row order."""
+        spans = [slice(self.start[t], self.start[t + 1]) for t in self.terms[seed]]
         owner = np.concatenate([self.owner[s] for s in spans])
         scores = np.bincount(owner, np.concatenate([self.weight[s] for s in spans]), self.rows)
         found = np.flatnonzero((scores > 0) & unused)

@@ -84,6 +84,23 @@ def test_bm25_is_the_formula():
     assert list(index.neighbours(0, np.array([False, True, True]))) == [1]
 
 
+def test_all_terms_of_a_seed_are_scored():
+    """The seed's 40 rarest ids stand in no other row; it shares only common ones. Ranks are those of brute force."""
+    rng = np.random.default_rng(4)
+    rows = [np.concatenate((np.arange(500, 540), np.arange(100, 160))), *(rng.integers(100 + 2 * i, 300, rng.integers(20, 200)) for i in range(60)), np.arange(9000, 9050)]
+    df = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=packing.VOCABULARY).astype(float)
+    known = packing.Statistics(len(rows), float(np.mean([len(r) for r in rows])), df)
+    got = packing.Index(rows, known).neighbours(0, np.arange(len(rows)) > 0)
+    want = {}
+    for i, r in enumerate(rows[1:], 1):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(r) / known.mean_length)
+        tf = {t: int((r == t).sum()) for t in np.intersect1d(rows[0], r)}
+        if tf:
+            want[i] = sum(np.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5)) * n * (packing.K1 + 1) / (n + norm) for t, n in tf.items())
+    assert len(want) > 20 and set(got.tolist()) == set(want)
+    assert all(want[a] >= want[b] - 1e-9 for a, b in zip(got[:-1], got[1:], strict=True))
+
+
 def test_tables(docs, crowded, empty):
     assert packing.piece_digests(packing.pack(empty)).count() == 0
     both = [packing.piece_digests(packing.pack(d)).select("doc_id", "start", "length", "ids_crc32") for d in (docs, crowded)]
