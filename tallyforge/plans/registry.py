@@ -615,6 +615,15 @@ def _(s, d):
     return replay.replay(log, asks)
 
 
+@query("q7_replay_decisions")
+def _(s, d):
+    events = ledger.read(s, d, "events")
+    log = events.select("ts", F.when(F.col("event_type") == "purchase", "Decision").otherwise("Page").alias("type"), F.lit("now").alias("fingerprint"))
+    recorded = F.when(F.col("event_id") == 0, "").when(F.col("event_id") % 1000 == 0, "then").otherwise("now")
+    asks = events.where("event_type = 'purchase'").select(F.col("event_id").cast("string").alias("decision_id"), F.col("ts").alias("cutoff"), recorded.alias("recorded"))
+    return replay.replay(log, asks)
+
+
 @query("a17_table_counts", "SELECT 'accounts' AS table_name, COUNT(*) AS n FROM customer UNION ALL SELECT 'merchants', COUNT(*) FROM supplier UNION ALL SELECT 'transactions', COUNT(*) FROM lineitem", prefix=False)
 def _(s, d):
     return replay.table_counts({"accounts": ledger.accounts(s, d), "merchants": ledger.merchants(s, d), "transactions": tx(s, d, "merchant_id")})

@@ -1,11 +1,12 @@
 import json
-from datetime import date
+from datetime import date, datetime, timedelta
 from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import graph, guard, memo, mutations, replay, search
+from tallyforge.plans import registry
 from tallyforge.sources import files, sinks
 from tallyforge.streaming import arrivals
 
@@ -126,6 +127,17 @@ def test_redirects_and_keys(spark):
     assert {x.arrived for x in mutations.accept_once(asked, seen).where("duplicate").collect()} == {2, 3}
 
 
+def test_every_decision_is_replayed(spark, tmp_path):
+    """All purchases of a log with equal times, against brute force."""
+    kinds = ["purchase", "view", "click", "purchase", "purchase"]
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=i * 37 % 101), kinds[i % 5]) for i in range(2200)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in registry.QUERIES["q7_replay_decisions"](spark, str(tmp_path)).select("decision_id", "live_pages", "prior_decisions", "drift").collect()}
+    asks = [r for r in rows if r[2] == "purchase"]
+    assert got == {(str(i), sum(r[1] <= at for r in rows), sum(r[1] < at for r in asks), i % 1000 == 0 and i > 0) for i, at, _ in asks}
+    assert len(got) == len(asks)
+
+
 def test_replay(spark):
     log = spark.createDataFrame([(1, "Page", "f2"), (2, "Decision", "f2"), (2, "Page", "f2"), (3, "Decision", "f2")], "ts long, type string, fingerprint string")
     asks = spark.createDataFrame([("d1", 2, "f1"), ("d2", 3, "f2"), ("d3", 0, "")], "decision_id string, cutoff long, recorded string")
