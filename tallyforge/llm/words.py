@@ -1,13 +1,14 @@
 """Words of whole Arrow text columns, found with numpy over the column's own bytes.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D. Texts are UTF-8, so
-those six bytes never occur inside a character. Words and lines are compared by a
-64-bit polynomial hash (random byte codes, base odd, modulo 2**64, then mixed), which
-is the same in every process.
+those six bytes never occur inside a character. Words and lines are compared by a 64-bit
+hash that is the same in every process: spans of up to 7 bytes map one to one, those of up to
+SHORT are polynomials over the integers modulo the prime 2**61 - 1, longer ones BLAKE2 digests.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,14 +17,15 @@ import pyarrow as pa
 
 #: Bytes of text looked at together; a longer text is taken alone, whole.
 CHUNK_BYTES = 1 << 21
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of a span in one coefficient, and of the longest span hashed as a polynomial.
+STEP, SHORT = 7, 28
+_PRIME = np.uint64((1 << 61) - 1)
+_HIGH, _LOW = (np.uint64(x) for x in divmod(0x1B7E9D3A54C6F08B, 1 << 31))
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(STEP + 1)], np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: list[np.ndarray] = []
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -35,26 +37,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        grown = []
-        for base in (_BASE, _UNBASE):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            grown.append(np.multiply.accumulate(table))
-        if size > 8 * CHUNK_BYTES:
-            return grown[0], grown[1]
-        _powers[:] = grown
-    return _powers[0], _powers[1]
+def _times_base(h: np.ndarray) -> np.ndarray:
+    """h times the base modulo 2**61 - 1, to within one multiple of it, by halves of 31 bits."""
+    high, low = h >> np.uint64(31), h & np.uint64((1 << 31) - 1)
+    middle = high * _LOW + low * _HIGH
+    total = np.uint64(2) * high * _HIGH + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + low * _LOW
+    return (total & _PRIME) + (total >> np.uint64(61))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of ``data[start:end]`` for every span, by differences of one running sum."""
-    power, unpower = _power_tables(len(data) + 1)
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * power[: len(data)], out=run[1:])
-    return mix((run[ends] - run[starts]) * unpower[starts] + (ends - starts).astype(np.uint64))
+    """Hash of ``data[start:end]`` for every span."""
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate((data, np.zeros(8 + SHORT, np.uint8)))
+    eights = np.lib.stride_tricks.as_strided(padded, (len(data) + SHORT + 1, 8), (1, 1))
+
+    def coefficient(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return eights[at].view("<u8")[:, 0] & _FIRST[np.minimum(left, STEP)]
+
+    h = coefficient(starts, size) | (np.minimum(size, SHORT).astype(np.uint64) << np.uint64(8 * STEP))
+    for k in range(STEP, SHORT, STEP):
+        more = np.flatnonzero(size > k)
+        h[more] = _times_base(h[more]) + coefficient(starts[more] + k, size[more] - k)
+    h = mix(np.where(h >= _PRIME, h - _PRIME, h))
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        raw, digest = data.tobytes(), hashlib.blake2b
+        whole = b"".join(digest(raw[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        h[long] = np.frombuffer(whole, "<u8")
+    return h
 
 
 @dataclass
