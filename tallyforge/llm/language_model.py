@@ -1,19 +1,22 @@
-"""Language-model scores by a gated recurrent network over word classes.
+"""Language-model scores by a gated recurrent network with a class-factored softmax.
 
-The output is factored: the network gives the next token's class, and within a class a
-token has its share of the whole training corpus's counts, with one added to each.
+A token's probability is that of its class given the state, times that of the token given its
+class and the state. The frequent words of a class have weights of their own in the second
+softmax, and as inputs; the others share its last place, and that place is divided among them
+by their counts in the whole training corpus, with one added to each.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyforge.llm import gru
 from tallyforge.llm import words as W
@@ -24,18 +27,27 @@ FOLDS, HELD = 7, 2
 #: Class 0 is the end; then the most frequent words, each alone; then groups of words.
 SINGLES, GROUPS = 31, 32
 CLASSES = 1 + SINGLES + GROUPS
+#: Places of a group: its most frequent words, and one for all its others. A slot is a class's place.
+MEMBERS = 32
+SLOTS = 1 + SINGLES + GROUPS * MEMBERS
+#: Most frequent words among which the groups' own are looked for.
+FREQUENT = 1 << 15
 HIDDEN = 24
 #: Words of whole documents that are encoded as one block; a longer document is one alone.
 BLOCK_WORDS = 3_000_000
-#: Tokens between truncations of the gradient, and documents side by side in training and scoring.
-STEPS, TRAIN_LANES, LANES = 32, 64, 2048
+#: Tokens between truncations of the gradient, and streams of documents side by side.
+STEPS, LANES = 32, 256
+#: Tokens of whole documents that are laid out as streams together, and tokens in one task, by its mean.
+SLAB, TASK_TOKENS = 1 << 20, 1 << 21
 #: Rounds of averaging; a hash of its id gives each training document the one round that trains on it.
 ROUNDS = 2
-RATE = 0.01
+RATE = 0.02
+#: Averages and profiles are summed as whole multiples of 1 / FIXED, so that no order of addition shows.
+FIXED = 1 << 20
 PROFILE = 32
 SEED = 9
-ENCODED = "kind int, pid long, doc_id long, held_out boolean, ids binary, key long, shape int, n long, value double"
-_ARROW = pa.schema([("kind", pa.int32()), ("pid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("key", pa.int64()), ("shape", pa.int32()), ("n", pa.int64()), ("value", pa.float64())])
+ENCODED = "kind int, pid long, doc_id long, held_out boolean, ids binary, key long, shape int, n long, value long"
+_ARROW = pa.schema([("kind", pa.int32()), ("pid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("key", pa.int64()), ("shape", pa.int32()), ("n", pa.int64()), ("value", pa.int64())])
 DOCUMENT, WORD, SHAPE = 0, 1, 2
 _BUCKET = np.full(256, PROFILE - 1, np.int64)
 _BUCKET[97:123] = np.arange(26)
@@ -61,7 +73,7 @@ def encode(docs: DataFrame) -> DataFrame:
         hashes: list = []
         shapes: list = []
         lengths: list = []
-        profiles = np.zeros((1 << 16, PROFILE))
+        profiles = np.zeros((1 << 16, PROFILE), np.int64)
 
         def close() -> Iterator[pa.RecordBatch]:
             pid = (task << 20) + block
@@ -86,9 +98,9 @@ def encode(docs: DataFrame) -> DataFrame:
                 lengths.append(size)
                 ids.append(column.slice(at, to - at))
                 held.append(batch.column("held_out").slice(at, to - at).to_numpy(zero_copy_only=False).astype(bool))
-                letters = np.searchsorted(offsets, np.arange(len(w.data)), "right") - 1 if len(w.data) else np.zeros(0, np.int64)
+                letters = np.repeat(np.arange(to - at), np.diff(offsets))
                 profile = np.bincount(letters * PROFILE + _BUCKET[w.data], minlength=(to - at) * PROFILE).reshape(-1, PROFILE).astype(float)
-                profile /= np.maximum(profile.sum(axis=1, keepdims=True), 1)
+                profile = np.rint(profile * FIXED / np.maximum(profile.sum(axis=1, keepdims=True), 1)).astype(np.int64)
                 pair, n = np.unique(w.owner()[~held[-1][w.owner()]] << 16 | shapes[-1][~held[-1][w.owner()]], return_counts=True)
                 kind = pair & 0xFFFF
                 order = np.argsort(kind, kind="stable")
@@ -132,56 +144,63 @@ def group_shapes(profiles: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """What tasks need of the corpus: bounded by SINGLES, the number of shapes (65,536) and CLASSES."""
+    """What tasks need of the corpus: bounded by SLOTS and the number of shapes (65,536)."""
+
+    def __init__(self, keys: np.ndarray, slots: np.ndarray, shape_group: np.ndarray, tokens: int, types: int, ends: int, slot_tokens: np.ndarray, rest_types: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.slots, self.shape_group = keys[order], slots[order], shape_group
+        self.tokens, self.types, self.ends = tokens, types, ends
+        self.slot_tokens, self.rest_types = slot_tokens, rest_types
+
+    def slots_of(self, keys: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+        """Slot of each word: its own, or the last of its group."""
+        out = SINGLES + MEMBERS * (1 + self.shape_group[shapes])
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            own = self.keys[at] == keys
+            out[own] = self.slots[at[own]]
+        return out
 
-    def __init__(self, singles: np.ndarray, single_counts: np.ndarray, shape_group: np.ndarray, tokens: int, types: int, class_tokens: np.ndarray, class_types: np.ndarray):
-        self.singles, self.shape_group = singles, shape_group
-        self.tokens, self.types, self.ends = tokens, types, single_counts
-        self.class_tokens, self.class_types = class_tokens, class_types
 
-    def classes(self, keys: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        out = 1 + SINGLES + self.shape_group[shapes]
-        for i, k in enumerate(self.singles):
-            out[keys == k] = 1 + i
-        return out
+def class_of(slots: np.ndarray) -> np.ndarray:
+    return np.where(slots <= SINGLES, slots, 1 + SINGLES + (slots - 1 - SINGLES) // MEMBERS)
 
 
 def count_corpus(encoded: DataFrame) -> tuple[DataFrame, Vocabulary]:
-    """Each block's words with their counts in all training documents, and the vocabulary."""
-    shared = encoded.where(F.col("kind") == WORD).select("pid", "key", "shape", "n")
-    each = Window.partitionBy("key")
-    words = shared.select("pid", "key", "shape", F.sum("n").over(each).alias("c"), (F.row_number().over(each.orderBy("pid")) == 1).alias("head"))
-    words = materialise(words, "words")
-    known = words.where("head and c > 0")
-    top = known.orderBy(F.desc("c"), "key").select("key", "c", "shape").limit(SINGLES).toArrow()
+    """Each word's count in all training documents, and the vocabulary."""
+    totals = materialise(encoded.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("c"), F.min("shape").alias("shape")), "totals")
+    known = totals.where("c > 0")
+    top = known.orderBy(F.desc("c"), "key").limit(FREQUENT).select("key", "c", "shape").toArrow()
     shapes = known.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toArrow()
     profiles = encoded.where(F.col("kind") == SHAPE).groupBy("shape", "key").agg(F.sum("value").alias("value")).toArrow()
     ends = encoded.where((F.col("kind") == DOCUMENT) & ~F.col("held_out")).count()
     table = np.zeros((1 << 16, PROFILE))
-    table[profiles.column("shape").to_numpy(), profiles.column("key").to_numpy()] = profiles.column("value").to_numpy()
+    table[profiles.column("shape").to_numpy(), profiles.column("key").to_numpy()] = profiles.column("value").to_numpy() / FIXED
     tokens, types = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
     at = shapes.column("shape").to_numpy()
     tokens[at], types[at] = shapes.column("c").to_numpy(), shapes.column("v").to_numpy()
     used = np.flatnonzero(table.any(axis=1))
     group = np.zeros(1 << 16, np.int64)
     group[used] = group_shapes(table[used] / np.maximum(table[used].sum(axis=1, keepdims=True), 1e-12), table[used].sum(axis=1))
-    n, v = int(tokens.sum()) + ends, int(types.sum()) + (ends > 0)
-    singles, counts, shape = (top.column(c).to_numpy() for c in ("key", "c", "shape"))
-    np.subtract.at(tokens, shape, counts)
-    np.subtract.at(types, shape, 1)
-    class_tokens, class_types = np.zeros(CLASSES), np.zeros(CLASSES)
-    class_tokens[0], class_types[0] = ends, ends > 0
-    class_tokens[1 : 1 + len(singles)], class_types[1 : 1 + len(singles)] = counts, 1
-    np.add.at(class_tokens, 1 + SINGLES + group, tokens)
-    np.add.at(class_types, 1 + SINGLES + group, types)
-    return words, Vocabulary(singles, ends, group, n, v, class_tokens, class_types)
+    keys, counts, shape = (top.column(c).to_numpy() for c in ("key", "c", "shape"))
+    slots = np.arange(1, len(keys) + 1)
+    own, place = group[shape[SINGLES:]], np.zeros(max(0, len(keys) - SINGLES), np.int64)
+    for g in range(GROUPS):
+        place[own == g] = np.arange((own == g).sum())
+    slots[SINGLES:] = np.where(place < MEMBERS - 1, 1 + SINGLES + own * MEMBERS + place, -1)
+    keys, counts, shape, slots = (x[slots > 0] for x in (keys, counts, shape, slots))
+    slot_tokens, rest = np.zeros(SLOTS, np.int64), MEMBERS * (1 + np.arange(GROUPS)) + SINGLES
+    slot_tokens[0], slot_tokens[slots] = ends, counts
+    rest_types = np.bincount(group, types, GROUPS) - np.bincount(group[shape], minlength=GROUPS)
+    slot_tokens[rest] = np.bincount(group, tokens, GROUPS) - np.bincount(group[shape], counts, GROUPS)
+    return totals, Vocabulary(keys, slots, group, int(tokens.sum()) + ends, int(types.sum()) + (ends > 0), ends, slot_tokens, rest_types)
 
 
-SEQUENCES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary"
+SEQUENCES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, slots binary"
 
 
-def to_classes(encoded: DataFrame, words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """SEQUENCES: each document's classes, its base score and log10 of its tokens' shares of their classes.
+def to_slots(encoded: DataFrame, totals: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """SEQUENCES: each document's slots, its base score and log10 of its rarer tokens' shares of their slots.
 
     A block's documents and words meet by its number, so what a task holds is one block.
     """
@@ -192,96 +211,172 @@ def to_classes(encoded: DataFrame, words: DataFrame, vocabulary: Vocabulary) ->
         key = own.column("key").to_numpy()
         order = np.argsort(key.view(np.uint64))
         count, shape = own.column("c").to_numpy()[order], own.column("shape").to_numpy()[order]
-        kind = v.classes(key[order], shape)
+        slot = v.slots_of(key[order], shape)
+        last = (slot > SINGLES) & ((slot - SINGLES) % MEMBERS == 0)
+        group = (slot - 1 - SINGLES) // MEMBERS
         base = np.log10((count + 1) / (v.tokens + v.types + 1))
-        share = np.log10((count + 1) / (v.class_tokens[kind] + v.class_types[kind] + (kind > SINGLES)))
-        one = kind.astype(np.uint8)
+        share = np.where(last, np.log10((count + 1) / (v.slot_tokens[slot] + v.rest_types[group] + 1)), 0.0)
+        one = slot.astype("<u2")
         end_base = np.log10((v.ends + 1) / (v.tokens + v.types + 1))
-        rows: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "within": [], "classes": []}
+        documents = documents.take(pc.sort_indices(documents, [("doc_id", "ascending"), ("ids", "ascending")]))
+        rows: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "within": [], "slots": []}
         for x in documents.column("ids"):
             rank = np.frombuffer(x.as_py(), "<u4")
             rows["n_tokens"].append(len(rank) + 1)
             rows["n_known"].append(int((count[rank] > 0).sum()) + (v.ends > 0))
             rows["base_score"].append(float(base[rank].sum() + end_base))
             rows["within"].append(float(share[rank].sum()))
-            rows["classes"].append(one[rank].tobytes() + b"\0")
-        columns = [pa.array(rows[c], t) for c, t in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("within", pa.float64()), ("classes", pa.binary()))]
-        return pa.Table.from_arrays([documents.column("doc_id"), documents.column("held_out"), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes"])
+            rows["slots"].append(one[rank].tobytes() + b"\0\0")
+        columns = [pa.array(rows[c], t) for c, t in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("within", pa.float64()), ("slots", pa.binary()))]
+        return pa.Table.from_arrays([documents.column("doc_id"), documents.column("held_out"), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "slots"])
 
-    documents = encoded.where(F.col("kind") == DOCUMENT).select("pid", "doc_id", "held_out", "ids")
-    return documents.groupBy("pid").cogroup(words.select("pid", "key", "shape", "c").groupBy("pid")).applyInArrow(run, SEQUENCES)
+    documents = encoded.where(F.col("kind") == DOCUMENT).select(F.col("pid").alias("block"), "doc_id", "held_out", "ids")
+    words = encoded.where(F.col("kind") == WORD).select("pid", "key", "shape").join(totals.select("key", "c"), "key")
+    return documents.groupBy("block").cogroup(words.select("pid", "key", "shape", "c").groupBy("pid")).applyInArrow(run, SEQUENCES)
 
 
-def start_weights(class_tokens: np.ndarray) -> dict[str, np.ndarray]:
-    """Random weights; the output starts at the classes' own frequencies."""
+def start_weights(slot_tokens: np.ndarray) -> dict[str, np.ndarray]:
+    """Random weights; both softmaxes start at the classes' and places' own frequencies. Row SLOTS of x stands before the first token."""
     rng = np.random.default_rng(SEED)
+    classes = np.bincount(class_of(np.arange(SLOTS)), slot_tokens, CLASSES)
+    places = slot_tokens[1 + SINGLES :].reshape(GROUPS, MEMBERS).astype(float)
+    places[:, -1] += 1
+    with np.errstate(divide="ignore"):
+        inner = np.maximum(np.log(places / places.sum(axis=1, keepdims=True)), -30)
     return {
-        "x": rng.normal(0, 0.3, (CLASSES + 1, 3 * HIDDEN)).astype(np.float32),
+        "x": rng.normal(0, 0.3, (SLOTS + 1, 3 * HIDDEN)).astype(np.float32),
         "u": rng.normal(0, 0.2, (HIDDEN, 3 * HIDDEN)).astype(np.float32),
         "o": rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32),
-        "k": np.log((class_tokens + 1) / (class_tokens.sum() + CLASSES)).astype(np.float32),
+        "k": np.log((classes + 1) / (classes.sum() + CLASSES)).astype(np.float32),
+        "v": rng.normal(0, 0.1, (GROUPS, HIDDEN, MEMBERS)).astype(np.float32),
+        "m": inner.astype(np.float32),
     }
 
 
-def _inputs(classes: np.ndarray) -> np.ndarray:
-    """Each token's predecessor; CLASSES stands before the first."""
-    return np.concatenate(([CLASSES], classes[:-1]))
+def streams(rows: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows of STEPS x live streams: (before, target, going, mask, document).
 
-
-def train_step(w: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-    """Mean loss, gradients and last states of one window; the gradient stops at its start."""
-    states, kept = gru.forward(w["x"][before], h, w["u"], mask)
-    logits = states @ w["o"] + w["k"]
-    logits -= logits.max(axis=2, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=2, keepdims=True)
-    n = max(1, int(mask.sum()))
-    at = np.take_along_axis(p, target[:, :, None], 2)[:, :, 0]
-    loss = float(-(np.log(at + 1e-12) * mask).sum() / n)
-    np.put_along_axis(p, target[:, :, None], (at - 1)[:, :, None], 2)
-    p *= (mask / n)[:, :, None].astype(np.float32)
-    d_gates, d_u = gru.backward(p @ w["o"].T, kept, w["u"], mask)
-    one_hot = (before[mask][:, None] == np.arange(CLASSES + 1)).astype(d_gates.dtype)
-    d_x = one_hot.T @ d_gates[mask]
-    return loss, {"x": d_x, "u": d_u, "o": np.einsum("tbh,tbc->hc", states, p), "k": p.sum(axis=(0, 1))}, states[-1]
+    Documents are dealt whole, longest first, to the stream that is shortest so far; the
+    longest streams come first and drop out as they end, so the live ones are a prefix.
+    """
+    load = [(0, i) for i in range(min(lanes, len(rows)))]
+    dealt: list[list[int]] = [[] for _ in load]
+    for d in sorted(range(len(rows)), key=lambda d: -len(rows[d])):
+        size, lane = heapq.heappop(load)
+        dealt[lane].append(d)
+        heapq.heappush(load, (size + len(rows[d]), lane))
+    dealt.sort(key=lambda ds: -sum(len(rows[d]) for d in ds))
+    order = [d for ds in dealt for d in ds]
+    if not order:
+        return
+    lengths = np.array([len(rows[d]) for d in order])
+    starts = np.cumsum(lengths) - lengths
+    flat, owner = np.concatenate([rows[d] for d in order]), np.repeat(order, lengths)
+    previous, on = np.concatenate(([SLOTS], flat[:-1])), np.ones(len(flat), np.float32)
+    previous[starts], on[starts] = SLOTS, 0
+    size = np.array([sum(len(rows[d]) for d in ds) for ds in dealt])
+    offset = np.cumsum(size) - size
+    for t0 in range(0, int(size.max()), STEPS):
+        live = int(np.searchsorted(-size, -t0))
+        t = t0 + np.arange(STEPS)[:, None]
+        mask = t < size[:live]
+        at = np.where(mask, offset[:live] + t, 0)
+        yield previous[at], flat[at], on[at], mask, owner[at]
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _by_group(slots: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, positions, places) of the slots that belong to a group."""
+    kind = np.where(slots > SINGLES, (slots - 1 - SINGLES) // MEMBERS, GROUPS).astype(np.uint8)
+    order = np.argsort(kind, kind="stable")
+    edge = np.searchsorted(kind[order], np.arange(GROUPS + 1))
+    for g in range(GROUPS):
+        if edge[g] < edge[g + 1]:
+            at = order[edge[g] : edge[g + 1]]
+            yield g, at, (slots[at] - 1 - SINGLES) % MEMBERS
+
+
+def _gates(w: dict[str, np.ndarray], before: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(w["x"][before].transpose(0, 2, 1))
+
+
+def train_step(w: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, going: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    """Mean loss, gradients and last states (H x streams) of one window; the gradient stops at its start."""
+    steps, lanes = before.shape
+    states, kept = gru.stream_forward(_gates(w, before), h, w["u"], going)
+    flat, slots, on = states.transpose(0, 2, 1).reshape(-1, HIDDEN), target.ravel(), mask.ravel()
+    n = max(1, int(on.sum()))
+    scale = (on / n).astype(flat.dtype)
+    every, kind = np.arange(len(slots)), class_of(slots)
+    p = _softmax(flat @ w["o"] + w["k"])
+    loss = -float((np.log(p[every, kind] + 1e-12) * scale).sum())
+    p[every, kind] -= 1
+    p *= scale[:, None]
+    d_flat = p @ w["o"].T
+    d_v, d_m = np.zeros_like(w["v"]), np.zeros_like(w["m"])
+    for g, at, place in _by_group(np.where(on, slots, 0)):
+        own = flat[at]
+        q = _softmax(own @ w["v"][g] + w["m"][g])
+        here = np.arange(len(at))
+        loss -= float((np.log(q[here, place] + 1e-12) * scale[at]).sum())
+        q[here, place] -= 1
+        q *= scale[at][:, None]
+        d_flat[at] += q @ w["v"][g].T
+        d_v[g], d_m[g] = own.T @ q, q.sum(axis=0)
+    d_states = np.ascontiguousarray(d_flat.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
+    d_gates, d_u = gru.stream_backward(d_states, kept, w["u"], going)
+    back, words = d_gates.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN), before.ravel()
+    order = np.argsort(words.astype(np.uint16), kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], words[order][1:] != words[order][:-1])))
+    d_x = np.zeros_like(w["x"])
+    d_x[words[order][edge]] = np.add.reduceat(back[order], edge)
+    return loss, {"x": d_x, "u": d_u, "o": flat.T @ p, "k": p.sum(axis=0), "v": d_v, "m": d_m}, states[-1]
+
+
+def slabs(rows: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Documents in runs of SLAB tokens; a longer document is one alone or the last of a run."""
+    held: list[np.ndarray] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row)
+        if size >= SLAB:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def train_on(w: dict[str, np.ndarray], rows: Iterable[np.ndarray], rate: float = RATE) -> dict[str, np.ndarray]:
-    """One pass over documents, TRAIN_LANES side by side: a lane that ends takes up the next document, while there is one."""
+    """One pass over documents, in LANES streams of whole documents; states run on from window to window."""
     adam = gru.Adam(w, rate)
-    h = np.zeros((TRAIN_LANES, HIDDEN), np.float32)
-    now: list = [None] * TRAIN_LANES
-    at = [0] * TRAIN_LANES
-    todo = iter(rows)
-    while True:
-        before = np.zeros((STEPS, TRAIN_LANES), np.int64)
-        target = np.zeros((STEPS, TRAIN_LANES), np.int64)
-        mask = np.zeros((STEPS, TRAIN_LANES), bool)
-        for lane in range(TRAIN_LANES):
-            if now[lane] is None or at[lane] >= len(now[lane]):
-                now[lane], at[lane] = next(todo, None), 0
-                h[lane] = 0
-            if now[lane] is None:
-                continue
-            row, i = now[lane], at[lane]
-            n = min(STEPS, len(row) - i)
-            target[:n, lane], mask[:n, lane] = row[i : i + n], True
-            before[:n, lane] = row[i - 1 : i + n - 1] if i else _inputs(row[:n])
-            at[lane] += n
-        if not mask.any():
-            return w
-        live = mask[0]
-        _, grads, h[live] = train_step(w, before[:, live], target[:, live], mask[:, live], h[live])
-        adam.update(w, grads)
+    for some in slabs(rows):
+        h = np.zeros((HIDDEN, min(LANES, len(some))), np.float32)
+        for before, target, going, mask, _ in streams(some, LANES):
+            _, grads, h = train_step(w, before, target, going, mask, h[:, : before.shape[1]])
+            adam.update(w, grads)
+    return w
+
+
+def balanced(sequences: DataFrame, tokens: int) -> DataFrame:
+    """``sequences`` dealt by document into tasks of TASK_TOKENS, each in an order that nothing but its rows decides."""
+    dealt = sequences.repartition(max(1, -(-tokens // TASK_TOKENS)), "doc_id", "n_tokens")
+    return dealt.sortWithinPartitions("doc_id", "n_tokens", "slots")
 
 
 def train(sequences: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """Weights averaged over tasks, by the tokens that each trained on, ROUNDS times; every training document is seen once.
 
-    Tasks read their documents as a stream. The averages are taken by a grouped aggregate, so
-    the driver gets one row per weight.
+    Tasks read their documents as a stream. The averages are taken by a grouped aggregate of
+    whole numbers, so the driver gets one row per weight and no order of addition shows.
     """
-    weights = start_weights(vocabulary.class_tokens)
+    weights = start_weights(vocabulary.slot_tokens)
     source = sequences.where(~F.col("held_out"))
     for turn in range(ROUNDS):
         shared = sequences.sparkSession.sparkContext.broadcast(weights)
@@ -292,18 +387,20 @@ def train(sequences: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]
             def documents() -> Iterator[np.ndarray]:
                 nonlocal size
                 for batch in batches:
-                    for x in batch.column("classes"):
-                        row = np.frombuffer(x.as_py(), np.uint8)
+                    for x in batch.column("slots"):
+                        row = np.frombuffer(x.as_py(), "<u2").astype(np.int64)
                         size += len(row)
                         yield row
 
             w = train_on({k: v.copy() for k, v in shared.value.items()}, documents(), RATE / (1 + turn))
             if size:
-                flat = np.concatenate([w[k].ravel() for k in sorted(w)]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * size), pa.array(np.full(len(flat), float(size)))], names=["i", "total", "size"])
+                flat = np.rint(np.concatenate([w[k].ravel() for k in sorted(w)]).astype(np.float64) * FIXED).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), size))], names=["i", "weight", "size"])
 
-        chosen = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("classes")
-        mean = chosen.mapInArrow(run, "i long, total double, size double").groupBy("i").agg((F.sum("total") / F.sum("size")).alias("mean")).toArrow()
+        chosen = balanced(source.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn), vocabulary.tokens // ROUNDS).select("slots")
+        share = F.col("weight").cast("decimal(19,0)") * F.col("size").cast("decimal(19,0)")
+        sums = chosen.mapInArrow(run, "i long, weight long, size long").groupBy("i").agg(F.sum(share).alias("total"), F.sum("size").alias("size"))
+        mean = sums.select("i", (F.col("total").cast("double") / F.col("size") / F.lit(FIXED)).alias("mean")).toArrow()
         if not mean.num_rows:
             continue
         flat = np.zeros(mean.num_rows)
@@ -317,35 +414,25 @@ def train(sequences: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]
 
 
 def score_rows(w: dict[str, np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
-    """Log10 probability of each document's classes; states run on from window to window to its end."""
+    """Log10 probability of each document's slots; states run on from window to window to its end."""
     out = np.zeros(len(rows))
-    lengths = np.array([len(r) for r in rows])
-    order = np.argsort(-lengths, kind="stable")
-    for lo in range(0, len(order), LANES):
-        lanes = order[lo : lo + LANES]
-        size = lengths[lanes]
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
-        before = np.full(len(lanes), CLASSES)
-        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-        flat = np.concatenate([rows[i] for i in lanes])
-        total = np.zeros(len(lanes))
-        for t0 in range(0, int(size.max()), STEPS):
-            live = int(np.searchsorted(-size, -t0))
-            states, targets, who = [], [], []
-            for t in range(t0, min(t0 + STEPS, int(size[0]))):
-                on = int(np.searchsorted(-size, -t))
-                h[:on] = gru.step(w["x"][before[:on]], h[:on], w["u"])
-                before[:on] = flat[starts[:on] + t]
-                states.append(h[:on].copy())
-                targets.append(before[:on].copy())
-                who.append(np.arange(on))
-            logits = np.concatenate(states) @ w["o"] + w["k"]
-            target, lane = np.concatenate(targets), np.concatenate(who)
-            chosen = logits[np.arange(len(target)), target].astype(np.float64)
-            np.exp(logits, out=logits)
-            total[:live] += np.bincount(lane, chosen - np.log(logits.sum(axis=1)), live)[:live]
-        out[lanes] = total / np.log(10)
-    return out
+    h = np.zeros((HIDDEN, min(LANES, len(rows))), np.float32)
+    for before, target, going, mask, document in streams(rows, LANES):
+        states, _ = gru.stream_forward(_gates(w, before), h[:, : before.shape[1]], w["u"], going)
+        h = states[-1]
+        flat, slots, on = states.transpose(0, 2, 1).reshape(-1, HIDDEN), target.ravel(), mask.ravel()
+        flat, slots = flat[on], slots[on]
+        logits = flat @ w["o"] + w["k"]
+        told = logits[np.arange(len(slots)), class_of(slots)].astype(np.float64)
+        np.exp(logits, out=logits)
+        told -= np.log(logits.sum(axis=1))
+        for g, at, place in _by_group(slots):
+            inner = flat[at] @ w["v"][g] + w["m"][g]
+            told[at] += inner[np.arange(len(at)), place]
+            np.exp(inner, out=inner)
+            told[at] -= np.log(inner.sum(axis=1))
+        out += np.bincount(document.ravel()[on], told, len(rows))
+    return out / np.log(10)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -353,33 +440,25 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Null and empty texts are the end alone. Null ids belong to the training rows, repeated
     rows are counted and scored each. Without training documents all counts are 0 and
-    the classes' probabilities are those of the untrained network. Columns beyond doc_id
+    the probabilities are those of the untrained network. Columns beyond doc_id
     and text are not read.
     """
     encoded = materialise(encode(docs), "encoded")
-    words, vocabulary = count_corpus(encoded)
-    sequences = materialise(to_classes(encoded, words, vocabulary), "classes")
+    totals, vocabulary = count_corpus(encoded)
+    sequences = materialise(to_slots(encoded, totals, vocabulary), "slots")
     weights = train(sequences, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def close() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            scores = score_rows(shared.value, [np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in rows.column("classes")])
-            return pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(scores + rows.column("within").to_numpy())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-        size = 0
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += sum(batch.column("n_tokens").to_pylist())
-                if size >= BLOCK_WORDS:
-                    yield close()
-                    held, size = [], 0
-        if held:
-            yield close()
-
-    scored = sequences.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+            size = np.cumsum([len(x.as_py()) // 2 for x in batch.column("slots")])
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLAB, "right")))
+                part = batch.slice(at, to - at)
+                scores = score_rows(shared.value, [np.frombuffer(x.as_py(), "<u2").astype(np.int64) for x in part.column("slots")])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(scores + part.column("within").to_numpy())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                at = to
+
+    scored = balanced(sequences, vocabulary.tokens).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
