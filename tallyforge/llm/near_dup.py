@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import words as W
-from tallyforge.llm.shared import materialise
+from tallyforge.llm.shared import free_name, materialise
 
 #: Bands of ROWS coordinates each: a pair of similarity 0.8 shares none with a chance of 3 in a million.
 BANDS, ROWS = 24, 4
@@ -19,10 +19,12 @@ COORDINATES = BANDS * ROWS
 SHINGLE = 5
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 80
-#: Pairs whose signatures agree in a smaller share are not verified: 4.2 standard errors below 0.8.
+#: Pairs whose signatures agree in a smaller share are not verified, unless a caller sets it to 0: 4.2 standard errors below 0.8.
 ESTIMATE = 0.63
 #: Members of a bucket in one block; members, and their shingles, of a candidate group in one block.
 BUCKET_BLOCK, BLOCK, BLOCK_SHINGLES = 512, 4096, 2_000_000
+#: Edges at one vertex from which its row is broadcast in a step of the component search, so that its edges stay where they are.
+HUB, BROADCAST_HUBS = 256, 200_000
 #: Ids of documents to verify are broadcast up to this number (16 MB), beyond it joined by shuffle.
 BROADCAST_IDS = 2_000_000
 SKETCH = "doc_id long, n_shingles long, set_key string, signature binary, bands array<long>"
@@ -114,32 +116,26 @@ def sketch_documents(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SKETCH)
 
 
-def _parts(blocks: Column, mine: Column) -> Column:
-    """Parts in which a member of block ``mine`` is compared: any two members meet in one, none outgrows two blocks."""
-    both = F.transform(F.sequence(F.lit(0), blocks - F.lit(1)), lambda o: F.least(o, mine) * blocks + F.greatest(o, mine))
-    return F.when(blocks == 1, F.array(F.lit(0))).otherwise(both)
+def bucket_members(heads: DataFrame) -> DataFrame:
+    """(bucket, block, n_blocks, doc_id, n_shingles, signature) of buckets with two members or more, each member once.
 
-
-def shared_buckets(heads: DataFrame) -> DataFrame:
-    """(bucket, part, doc_id, n_shingles, signature) of buckets with two members or more.
-
-    A bucket of more than BUCKET_BLOCK members is cut into blocks by a hash of the member, and each
-    pair of blocks becomes a part.
+    A bucket of more than BUCKET_BLOCK members is cut into blocks by a hash of the member.
     """
     members = heads.select(F.explode("bands").alias("bucket"), "doc_id")
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     blocks = F.ceil(F.col("_n") / F.lit(BUCKET_BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id", "bucket"), blocks).cast("int")
-    met = members.join(sizes, "bucket").select("bucket", F.explode(_parts(blocks, mine)).alias("part"), "doc_id")
+    met = members.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("doc_id", "bucket"), blocks).cast("int").alias("block"), blocks.alias("n_blocks"), "doc_id")
     return met.join(heads.select("doc_id", "n_shingles", "signature"), "doc_id")
 
 
-def _by_group(df: DataFrame, keys: tuple[str, str], pairs_of: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
-    """(a, b), a < b, distinct, that ``pairs_of`` gives for the rows of each value of two integer keys.
+def _by_group(df: DataFrame, keys: tuple[str, ...], rows_of: Callable[[pa.Table], list[tuple]], out: str) -> DataFrame:
+    """What ``rows_of`` gives (rows of the integer or double columns ``out``) for the rows of each value of integer keys.
 
     A group's rows are in doc_id order; many small groups share a task and a batch.
     """
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+    fields = [f.split() for f in out.split(", ")]
+    schema = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}[t]) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -148,12 +144,11 @@ def _by_group(df: DataFrame, keys: tuple[str, str], pairs_of: Callable[[pa.Table
             rows = pa.Table.from_batches(held)
             at = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in keys])
             edge = np.flatnonzero(np.concatenate(([True], (at[:, 1:] != at[:, :-1]).any(axis=0), [True])))
-            found: set[tuple[int, int]] = set()
+            found: list[tuple] = []
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                if hi - lo > 1:
-                    found.update((min(p), max(p)) for p in pairs_of(rows.slice(lo, hi - lo)))
-            a, b = zip(*sorted(found), strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                found += rows_of(rows.slice(lo, hi - lo))
+            columns = list(zip(*sorted(set(found)), strict=True)) if found else [()] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         ends = lambda b: tuple(b.column(k)[b.num_rows - 1].as_py() for k in keys)
         for batch in batches:
@@ -175,18 +170,18 @@ def _by_group(df: DataFrame, keys: tuple[str, str], pairs_of: Callable[[pa.Table
         if held:
             yield close()
 
-    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return dealt.mapInArrow(run, out)
 
 
-def _near(signature: np.ndarray, size: np.ndarray, sign: np.ndarray, own: int) -> np.ndarray:
-    """Estimated similarity of one member to others, 0 where their sizes or estimate rule a link out."""
+def _near(signature: np.ndarray, size: np.ndarray, sign: np.ndarray, own: int, estimate: float) -> np.ndarray:
+    """Estimated similarity of one member to others, at least a little; 0 where their sizes or estimate rule a link out."""
     agree = (signature == sign).mean(axis=1)
     small, large = np.minimum(size, own), np.maximum(size, own)
-    return np.where((agree >= ESTIMATE) & (100 * small >= PERCENT * large), agree, 0.0)
+    return np.where((agree >= estimate) & (100 * small >= PERCENT * large), np.maximum(agree, 1e-9), 0.0)
 
 
-def spanning_pairs(signature: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
-    """A maximum spanning forest of the estimates (Prim), one row of the matrix at a time."""
+def spanning_pairs(signature: np.ndarray, size: np.ndarray, estimate: float = ESTIMATE) -> list[tuple[int, int]]:
+    """A maximum spanning forest of the estimates (Prim), one row of the matrix at a time; pairs are (parent, child)."""
     m = len(size)
     best, link, left = np.zeros(m), np.full(m, -1), np.ones(m, bool)
     out, now = [], 0
@@ -194,7 +189,7 @@ def spanning_pairs(signature: np.ndarray, size: np.ndarray) -> list[tuple[int, i
         left[now] = False
         if link[now] >= 0:
             out.append((int(link[now]), now))
-        near = _near(signature, size, signature[now], size[now])
+        near = _near(signature, size, signature[now], size[now], estimate)
         closer = left & (near > best)
         best[closer], link[closer] = near[closer], now
         if not left.any():
@@ -207,17 +202,84 @@ def _signs(rows: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
-def bucket_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs to verify: a spanning forest of each part of each bucket."""
+def _ordered(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return [(min(p), max(p)) for p in pairs if p[0] != p[1]]
 
-    def pairs_of(rows: pa.Table) -> list[tuple[int, int]]:
-        ids = rows.column("doc_id").to_pylist()
-        return [(ids[i], ids[j]) for i, j in spanning_pairs(_signs(rows), rows.column("n_shingles").to_numpy())]
 
-    return _by_group(buckets, ("bucket", "part"), pairs_of)
+def candidate_pairs(heads: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
+    """(a, b), a < b: pairs whose links, once followed, reach every pair that shares a bucket and passes the estimate.
 
+    A bucket within one block gives a spanning forest of the estimates. In a larger one each
+    block gives its forest, then only the trees' roots meet, block pair by block pair. The share
+    of coordinates in which signatures differ is a metric, so two members can pass the
+    estimate only if their roots do within both trees' radii; where the roots pass by that
+    slack alone, the trees' members are compared.
+    """
+    members = bucket_members(heads)
 
-def crossing_links(signature: np.ndarray, sets: list[np.ndarray], component: np.ndarray) -> list[tuple[int, int]]:
+    def small(rows: pa.Table) -> list[tuple]:
+        ids = rows.column("doc_id").to_pylist()
+        return _ordered([(ids[i], ids[j]) for i, j in spanning_pairs(_signs(rows), rows.column("n_shingles").to_numpy(), estimate)])
+
+    pairs = _by_group(members.where("n_blocks = 1"), ("bucket",), small, "a long, b long")
+    large = materialise(members.where("n_blocks > 1"), "large-buckets")
+    if large.isEmpty():
+        return pairs.distinct()
+
+    def trees(rows: pa.Table) -> list[tuple]:
+        """(bucket, root, radius, member, parent) of each member; a root is its own parent."""
+        ids, signs = rows.column("doc_id").to_numpy(), _signs(rows)
+        root, parent = np.arange(len(ids)), np.arange(len(ids))
+        for i, j in spanning_pairs(signs, rows.column("n_shingles").to_numpy(), estimate):
+            root[j], parent[j] = root[i], i
+        away = (signs != signs[root]).mean(axis=1)
+        radius = np.zeros(len(ids))
+        np.maximum.at(radius, root, away)
+        bucket = rows.column("bucket")[0].as_py()
+        return [(bucket, int(ids[r]), float(radius[r]), int(ids[i]), int(ids[parent[i]])) for i, r in enumerate(root)]
+
+    grown = materialise(_by_group(large, ("bucket", "block"), trees, "bucket long, root long, radius double, member long, parent long"), "trees")
+    within = grown.where("member <> parent").select(F.least("member", "parent").alias("a"), F.greatest("member", "parent").alias("b"))
+    roots = grown.where("member = root").select("bucket", "radius", F.col("root").alias("doc_id"))
+    counts = roots.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = F.ceil(F.col("_n") / F.lit(BUCKET_BLOCK)).cast("int")
+    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    met = F.transform(F.sequence(F.lit(0), blocks - F.lit(1)), lambda o: F.least(o, mine) * blocks + F.greatest(o, mine))
+    sides = heads.select("doc_id", "n_shingles", "signature")
+    dealt = roots.join(counts, "bucket").select("bucket", F.explode(met).alias("part"), "doc_id", "radius").join(sides, "doc_id")
+
+    def meet(rows: pa.Table) -> list[tuple]:
+        """(bucket, a, b, doubt): roots that pass the estimate, or might have members that do."""
+        ids, signs, size, radius = rows.column("doc_id").to_pylist(), _signs(rows), rows.column("n_shingles").to_numpy(), rows.column("radius").to_numpy()
+        bucket, out = rows.column("bucket")[0].as_py(), []
+        for i in range(len(ids) - 1):
+            agree = (signs[i + 1 :] == signs[i]).mean(axis=1)
+            passing = _near(signs[i + 1 :], size[i + 1 :], signs[i], size[i], estimate) > 0
+            near = agree + radius[i + 1 :] + radius[i] >= estimate - 1e-9
+            out += [(bucket, *sorted((ids[i], ids[i + 1 + j])), int(not passing[j])) for j in np.flatnonzero(near & (passing | (radius[i + 1 :] + radius[i] > 0)))]
+        return out
+
+    found = materialise(_by_group(dealt, ("bucket", "part"), meet, "bucket long, a long, b long, doubt int").distinct(), "roots")
+    doubted = found.where("doubt = 1").select("bucket", "a", "b")
+    member = grown.select("bucket", "root", F.col("member").alias("doc_id"))
+    left, right = (doubted.join(member.withColumnRenamed("root", side), ["bucket", side]).select("bucket", "a", "b", "doc_id") for side in ("a", "b"))
+    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).join(sides, "doc_id")
+
+    def doubts(rows: pa.Table) -> list[tuple]:
+        """Pairs over both trees that pass the estimate: for each member of one, the nearest of the other."""
+        ids, signs, size, side = rows.column("doc_id").to_pylist(), _signs(rows), rows.column("n_shingles").to_numpy(), rows.column("side").to_numpy()
+        others, out = np.flatnonzero(side == 1), []
+        for i in np.flatnonzero(side == 0):
+            near = _near(signs[others], size[others], signs[i], size[i], estimate)
+            if len(near) and near.max() > 0:
+                out.append((ids[i], ids[others[int(np.argmax(near))]]))
+        return _ordered(out)
+
+    last = _by_group(both, ("bucket", "a", "b"), doubts, "a long, b long")
+    return pairs.union(within).union(found.where("doubt = 0").select("a", "b")).union(last).distinct()
+
+
+def crossing_links(signature: np.ndarray, sets: list[np.ndarray], component: np.ndarray, estimate: float = ESTIMATE) -> list[tuple[int, int]]:
     """Links between components, by exact counts: each pair not yet joined that the estimates allow is compared.
 
     What a member shares with all others is counted over an inverted index of their shingles.
@@ -233,7 +295,7 @@ def crossing_links(signature: np.ndarray, sets: list[np.ndarray], component: np.
     now, out = component.copy(), []
     for i in range(len(sets) - 1):
         rest = np.flatnonzero(now[i + 1 :] != now[i]) + i + 1
-        if not len(rest) or not (near := _near(signature[rest], size[rest], signature[i], size[i]) > 0).any():
+        if not len(rest) or not (near := _near(signature[rest], size[rest], signature[i], size[i], estimate) > 0).any():
             continue
         lists = [posting[start[v] : start[v + 1]] for v in value[mine[i] : mine[i + 1]]]
         shared = np.bincount(np.concatenate(lists), minlength=len(sets)) if lists else np.zeros(len(sets), np.int64)
@@ -244,21 +306,30 @@ def crossing_links(signature: np.ndarray, sets: list[np.ndarray], component: np.
     return out
 
 
-def crossing_components(members: DataFrame) -> DataFrame:
+def crossing_components(members: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
     """Pairs of components that some link joins, within each candidate group (doc_id, group, component, n_shingles, signature, shingles).
 
-    Groups of one component have nothing to join. Others are compared in parts of two
-    blocks at most, bounded in members and in shingles.
+    Groups of one component have nothing to join. In others the members of the largest
+    component meet only those outside it, who also meet each other. Both sides are cut into
+    blocks, bounded in members and in shingles; a member of the largest component is sent once
+    for each block of the others.
     """
-    sizes = members.groupBy(F.col("group").alias("_group")).agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
-    blocks = F.greatest(F.ceil(F.col("_n") / F.lit(BLOCK)), F.ceil(F.col("_s") / F.lit(BLOCK_SHINGLES))).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    dealt = members.join(sizes, F.col("group") == F.col("_group")).withColumn("part", F.explode(_parts(blocks, mine))).select("group", "part", "doc_id", "component", "signature", "shingles")
+    each = members.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    sizes = each.groupBy(F.col("group").alias("_group")).agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.max_by(F.struct("component", "n", "s"), F.struct("n", "component")).alias("_big"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
+    bound = lambda n, s: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(s / F.lit(BLOCK_SHINGLES))).cast("int")
+    inner, outer = bound(F.col("_big.n"), F.col("_big.s")), bound(F.col("_n") - F.col("_big.n"), F.col("_s") - F.col("_big.s"))
+    at = F.xxhash64("doc_id")
+    across = F.transform(F.sequence(F.lit(0), outer - F.lit(1)), lambda o: F.pmod(at, inner).cast("int") * outer + o)
+    mine = F.pmod(at, outer).cast("int")
+    along = F.transform(F.sequence(F.lit(0), inner - F.lit(1)), lambda i: i * outer + mine)
+    others = F.transform(F.sequence(F.lit(0), outer - F.lit(1)), lambda o: inner * outer + F.least(o, mine) * outer + F.greatest(o, mine))
+    part = F.when(F.col("component") == F.col("_big.component"), across).otherwise(F.when(outer == 1, along).otherwise(F.concat(along, others)))
+    dealt = members.join(sizes, F.col("group") == F.col("_group")).withColumn("part", F.explode(part)).select("group", "part", "doc_id", "component", "signature", "shingles")
 
-    def pairs_of(rows: pa.Table) -> list[tuple[int, int]]:
-        return crossing_links(_signs(rows), [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("shingles")], rows.column("component").to_numpy())
+    def pairs_of(rows: pa.Table) -> list[tuple]:
+        return _ordered(crossing_links(_signs(rows), [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("shingles")], rows.column("component").to_numpy(), estimate))
 
-    return _by_group(dealt, ("group", "part"), pairs_of)
+    return _by_group(dealt, ("group", "part"), pairs_of, "a long, b long").distinct()
 
 
 def candidate_sets(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -302,8 +373,14 @@ def components(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         one, other = e.select("graph", F.col("a").alias("u"), F.col("b").alias("v")), e.select("graph", F.col("b").alias("u"), F.col("a").alias("v"))
         near = one.union(other) if large else e.select("graph", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = near.groupBy("graph", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = near.join(least, ["graph", "u"])
+        least = near.groupBy("graph", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        hubs = least.where(F.col("n") >= HUB).select("graph", "u", F.col("m").alias("_hub")).limit(BROADCAST_HUBS + 1).collect()
+        if not hubs or len(hubs) > BROADCAST_HUBS:
+            out = near.join(least.drop("n"), ["graph", "u"])
+        else:
+            marked = near.join(F.broadcast(e.sparkSession.createDataFrame(hubs, "graph int, u long, _hub long")), ["graph", "u"], "left")
+            rest = marked.where("_hub is null").drop("_hub").join(least.where(F.col("n") < HUB).drop("n"), ["graph", "u"])
+            out = marked.where("_hub is not null").withColumnRenamed("_hub", "m").unionByName(rest)
         if large:
             moved = out.where("v > u").select("graph", F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -324,14 +401,15 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select("graph", F.explode(F.array("a", "b")).alias("id"), F.col("b").alias("component")).groupBy("graph", "id").agg(F.min("component").alias("component"))
 
 
-def find_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def find_groups(docs: DataFrame, shingle: int = SHINGLE, estimate: float = ESTIMATE) -> DataFrame:
     """One row per document: n_shingles, component_id and kept.
 
     Documents of one shingle set are a class, headed by its smallest id; only heads are
     banded. A spanning forest of each bucket is verified first. All pairs that share a bucket
     and may be linked lie within a tree of those forests, so the documents of a tree whose
     verified links leave several components are then compared with each other, block by
-    block, until no link between components is left untried. Documents without words (null,
+    block, until no link between components is left untried. With ``estimate`` 0 all pairs of a
+    bucket may be linked, whatever their signatures say. Documents without words (null,
     empty) and of null id are linked with nothing; repeated rows share their component, and
     each is kept if the id is. Columns beyond doc_id and text are not read.
     """
@@ -339,7 +417,7 @@ def find_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     known = sketch.where("set_key is not null and doc_id is not null")
     heads = known.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "signature", "bands"), "doc_id").alias("h"))
     heads = materialise(heads.select("set_key", "h.*"), "heads")
-    pairs = materialise(bucket_pairs(shared_buckets(heads)), "pairs")
+    pairs = materialise(candidate_pairs(heads, estimate), "pairs")
     sets = candidate_sets(pairs, docs, shingle)
     links = verify(pairs, sets)
     both = materialise(components(pairs.withColumn("graph", F.lit(0)).unionByName(links.withColumn("graph", F.lit(1)))), "components")
@@ -347,7 +425,7 @@ def find_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     groups = both.where("graph = 0").select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
     members = groups.join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "group", F.coalesce("component", "doc_id").alias("component"))
     members = members.join(heads.select("doc_id", "n_shingles", "signature"), "doc_id").join(sets, F.col("doc_id") == F.col("doc")).drop("doc")
-    joined = components(crossing_components(members).withColumn("graph", F.lit(0))).select(F.col("id").alias("_was"), F.col("component").alias("_now"))
+    joined = components(crossing_components(members, estimate).withColumn("graph", F.lit(0))).select(F.col("id").alias("_was"), F.col("component").alias("_now"))
     heads = heads.select(F.col("set_key").alias("_key"), F.col("doc_id").alias("_head")).join(found, F.col("_head") == F.col("id"), "left")
     heads = heads.select("_key", F.coalesce("component", "_head").alias("_own")).join(joined, F.col("_own") == F.col("_was"), "left").select("_key", F.coalesce("_now", "_own").alias("_component"))
     out = sketch.join(heads, F.col("set_key") == F.col("_key"), "left").withColumn("component_id", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("_component")), F.col("doc_id")))
@@ -355,10 +433,22 @@ def find_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` without the documents whose group has a smaller id; null ids stay.
+    """One row of ``docs`` for each group: that of its smallest id.
 
-    The ids to drop are broadcast up to BROADCAST_IDS, beyond that joined by shuffle.
+    Of several rows of that id the first by text, then by a hash of the row, stays. Rows of null id are no
+    group and all stay. The ids to drop, and those that repeat, are broadcast up to
+    BROADCAST_IDS, beyond that joined by shuffle. Columns may have any names.
     """
-    lost = materialise(find_groups(docs, shingle).where("not kept").select(F.col("doc_id").alias("_lost")).distinct(), "lost")
-    few = lost.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(lost) if few else lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    kept = F.max("kept").alias("kept")
+    ids = find_groups(docs, shingle).where("doc_id is not null").groupBy("doc_id").agg(kept, F.count(F.lit(1)).alias("n"))
+    mark = free_name(docs, "_id")
+    ids = materialise(ids.where("not kept or n > 1").select(F.col("doc_id").alias(mark), "kept"), "lost")
+    few = ids.count() <= BROADCAST_IDS
+    chosen = lambda x: F.broadcast(x.select(mark)) if few else x.select(mark)
+    alone = docs.join(chosen(ids), F.col("doc_id") == F.col(mark), "left_anti")
+    again = ids.where("kept")
+    if again.isEmpty():
+        return alone
+    rows = docs.join(chosen(again), F.col("doc_id") == F.col(mark), "left_semi")
+    first = rows.groupBy(F.col("doc_id").alias(mark)).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))).alias("row"))
+    return alone.unionByName(first.select("row.*"))
