@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +24,12 @@ SIGNATURES = {
     "gzip": (b"\x1f\x8b\x08", "application/gzip"),
     "pdf": (b"%PDF-", "application/pdf"),
 }
-PARTS = T.ArrayType(T.StructType().add("media_type", "string").add("start", "long").add("length", "long"))
+#: The marks that end a PDF's body, located in the same pass.
+TRAILERS = {"startxref": b"startxref", "eof": b"%%EOF"}
+UNKNOWN = "application/octet-stream"
+#: Compressed bytes inside this type are not looked into.
+OPAQUE = "application/gzip"
+PARTS = T.ArrayType(T.StructType().add("media_type", "string").add("start", "long").add("length", "long").add("parent", "integer").add("depth", "integer"))
 
 
 def wav_bytes(samples: bytes, rate: int = 8000) -> bytes:
@@ -44,7 +50,59 @@ def wav_samples(blob: bytes) -> bytes:
     raise ValueError("no data chunk")
 
 
-def _wav(b: bytes, at: int) -> int | None:
+class Located:
+    """The bytes of one value, where its signatures and trailers lie, and what validators have learned.
+
+    A validator walks from block to block. Where a walk that passed a place ends is kept, so the
+    walks from all signatures together visit each place once.
+    """
+
+    def __init__(self, blob: bytes, finder):
+        self.blob = blob
+        self.starts: list[tuple[int, str]] = []
+        self.trailers: dict[str, list[int]] = {name: [] for name in TRAILERS}
+        for last, (name, size) in finder.iter(blob.decode("latin-1")):
+            if name in self.trailers:
+                self.trailers[name].append(last - size + 1)
+            else:
+                self.starts.append((last - size + 1, name))
+        self.starts.sort()
+        self.pdfs = [at for at, name in self.starts if name == "pdf"]
+        self.ends: dict[tuple[str, int], int | None] = {}
+        self._marks: np.ndarray | None = None
+
+    def walk(self, kind: str, at: int, step: Callable[[bytes, int], tuple[int, bool] | None]) -> int | None:
+        """Where the chain of blocks that begins at ``at`` ends: ``step`` gives the next block, and whether it is the end."""
+        passed = []
+        end = None
+        while True:
+            if (kind, at) in self.ends:
+                end = self.ends[kind, at]
+                break
+            passed.append(at)
+            found = step(self.blob, at)
+            if found is None:
+                break
+            at, last = found
+            if last:
+                end = at
+                break
+        for place in passed:
+            self.ends[kind, place] = end
+        return end
+
+    def next_mark(self, at: int) -> int | None:
+        """The first 0xFF from ``at`` on that begins a JPEG marker: not stuffed, filled or a restart."""
+        if self._marks is None:
+            b = np.frombuffer(self.blob, np.uint8)
+            after = b[1:] if len(b) else b
+            self._marks = np.flatnonzero((b[: len(after)] == 0xFF) & (after != 0) & (after != 0xFF) & ((after < 0xD0) | (after > 0xD7)))
+        i = int(np.searchsorted(self._marks, at))
+        return int(self._marks[i]) if i < len(self._marks) else None
+
+
+def _wav(m: Located, at: int) -> int | None:
+    b = m.blob
     if at + 12 > len(b) or b[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -59,166 +117,215 @@ def _wav(b: bytes, at: int) -> int | None:
     return end if at == end and {b"fmt ", b"data"} <= seen else None
 
 
-def _png(b: bytes, at: int) -> int | None:
-    at += 8
-    first = True
-    while at + 12 <= len(b):
-        size, name = struct.unpack_from(">I4s", b, at)
-        end = at + 12 + size
-        if end > len(b) or (first and name != b"IHDR") or zlib.crc32(b[at + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
-            return None
-        first, at = False, end
-        if name == b"IEND":
-            return end
-    return None
+def _png_chunk(b: bytes, at: int) -> tuple[int, bool] | None:
+    if at + 12 > len(b):
+        return None
+    size, name = struct.unpack_from(">I4s", b, at)
+    end = at + 12 + size
+    if end > len(b) or zlib.crc32(b[at + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
+        return None
+    return end, name == b"IEND"
+
 
+def _png(m: Located, at: int) -> int | None:
+    return m.walk("png", at + 8, _png_chunk) if m.blob[at + 8 : at + 16] == b"\0\0\0\x0dIHDR" else None
 
-def _blocks(b: bytes, at: int) -> int | None:
-    """End of a chain of GIF sub-blocks."""
-    while at < len(b):
-        if b[at] == 0:
-            return at + 1
-        at += 1 + b[at]
-    return None
+
+def _sub_block(b: bytes, at: int) -> tuple[int, bool] | None:
+    if at >= len(b):
+        return None
+    return (at + 1, True) if b[at] == 0 else (at + 1 + b[at], False)
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(m: Located, at: int) -> int | None:
+    b = m.blob
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
-    at += 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
-    while at < len(b):
+
+    def block(b: bytes, at: int) -> tuple[int, bool] | None:
+        if at >= len(b):
+            return None
         mark = b[at]
         if mark == 0x3B:
-            return at + 1
+            return at + 1, True
         if mark == 0x21:
-            to = _blocks(b, at + 2)
+            to = m.walk("gif-sub", at + 2, _sub_block)
         elif mark == 0x2C and at + 10 <= len(b):
-            local = b[at + 9]
-            to = _blocks(b, at + 11 + (3 << ((local & 7) + 1) if local & 0x80 else 0))
+            to = m.walk("gif-sub", at + 11 + (3 << ((b[at + 9] & 7) + 1) if b[at + 9] & 0x80 else 0), _sub_block)
         else:
             return None
-        if to is None:
+        return None if to is None else (to, False)
+
+    return m.walk("gif", at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0), block)
+
+
+def _jpeg(m: Located, at: int) -> int | None:
+    """Segments with lengths, fill bytes before markers, coded data after each scan header; at least one scan."""
+
+    def segment(b: bytes, at: int) -> tuple[int, bool] | None:
+        while at + 1 < len(b) and b[at] == 0xFF and b[at + 1] == 0xFF:
+            at += 1
+        if at + 2 > len(b) or b[at] != 0xFF:
+            return None
+        if b[at + 1] == 0xD9:
+            return at + 2, True
+        if at + 4 > len(b) or (size := struct.unpack_from(">H", b, at + 2)[0]) < 2:
             return None
-        at = to
-    return None
-
-
-def _jpeg(b: bytes, at: int) -> int | None:
-    at += 2
-    while at + 4 <= len(b) and b[at] == 0xFF:
-        mark = b[at + 1]
-        if mark == 0xD9:
-            return at + 2
-        at += 2 + struct.unpack_from(">H", b, at + 2)[0]
-        if mark == 0xDA:
-            while True:
-                at = b.find(b"\xff", at)
-                if at < 0 or at + 1 >= len(b):
-                    return None
-                if b[at + 1] != 0 and not 0xD0 <= b[at + 1] <= 0xD7:
-                    break
-                at += 2
-            if b[at + 1] == 0xD9:
-                return at + 2
-    return None
-
-
-def _gzip(b: bytes, at: int) -> int | None:
-    inflater, to = zlib.decompressobj(31), at
+        to: int | None = at + 2 + size
+        if b[at + 1] == 0xDA:
+            to = m.next_mark(to)
+        return None if to is None else (to, False)
+
+    return m.walk("jpeg", at + 2, segment) if m.blob[at + 3 : at + 4] != b"\xd9" else None
+
+
+def _gzip(m: Located, at: int) -> int | None:
+    b, inflater, to = m.blob, zlib.decompressobj(31), at
     try:
         while not inflater.eof and to < len(b):
-            inflater.decompress(b[to : to + 65536])
-            to += 65536
+            held = b[to : to + 65536]
+            to += len(held)
+            while held and not inflater.eof:
+                inflater.decompress(held, 1 << 20)
+                held = inflater.unconsumed_tail
     except zlib.error:
         return None
-    return min(to, len(b)) - len(inflater.unused_data) if inflater.eof else None
+    return to - len(inflater.unused_data) if inflater.eof else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+_VERSION = re.compile(rb"%PDF-\d\.\d")
+_OFFSET = re.compile(rb"startxref\s+(\d+)\s+$")
+
+
+def _pdf(m: Located, at: int) -> int | None:
+    """To the last end mark before the next PDF's head, if a cross-reference offset stands before it."""
+    if not _VERSION.match(m.blob, at):
+        return None
+    following = bisect_right(m.pdfs, at)
+    limit = m.pdfs[following] if following < len(m.pdfs) else len(m.blob)
+    i = bisect_left(m.trailers["eof"], limit) - 1
+    if i < 0 or (end := m.trailers["eof"][i]) < at:
+        return None
+    j = bisect_left(m.trailers["startxref"], end) - 1
+    if j < 0 or (start := m.trailers["startxref"][j]) < at or end - start > 64:
+        return None
+    found = _OFFSET.match(m.blob[start:end])
+    return end + 5 if found and int(found[1]) <= start - at else None
 
 
 _CONFIRM = {"wav": _wav, "png": _png, "gif87": _gif, "gif89": _gif, "jpeg": _jpeg, "gzip": _gzip, "pdf": _pdf}
 
 
-def automaton() -> ahocorasick.Automaton:
+def automaton():
+    import ahocorasick
+
     found = ahocorasick.Automaton()
-    for name, (magic, _) in SIGNATURES.items():
+    for name, magic in [*((n, m) for n, (m, _) in SIGNATURES.items()), *TRAILERS.items()]:
         found.add_word(magic.decode("latin-1"), (name, len(magic)))
     found.make_automaton()
     return found
 
 
-def locate(blob: bytes, finder: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
-    """(media type, start, length) of confirmed media, leftmost first; media inside one found are its own."""
-    out, free = [], 0
-    for last, (name, size) in finder.iter(blob.decode("latin-1")):
-        start = last - size + 1
-        if start >= free and (end := _CONFIRM[name](blob, start)):
-            out.append((SIGNATURES[name][1], start, end - start))
-            free = end
+def nested(blob: bytes, finder) -> list[tuple[str, int, int, int, int]]:
+    """(media type, start, length, parent, depth) of confirmed media, by start; parent is a number in this list, or -1.
+
+    Signatures inside a confirmed medium are confirmed too, if their medium ends within it.
+    """
+    held = Located(blob, finder)
+    out: list[tuple[str, int, int, int, int]] = []
+    inside: list[int] = []
+    for start, name in held.starts:
+        while inside and out[inside[-1]][1] + out[inside[-1]][2] <= start:
+            inside.pop()
+        parent = inside[-1] if inside else -1
+        if parent >= 0 and out[parent][0] == OPAQUE:
+            continue
+        end = _CONFIRM[name](held, start)
+        if end is None or (parent >= 0 and end > out[parent][1] + out[parent][2]):
+            continue
+        out.append((SIGNATURES[name][1], start, end - start, parent, len(inside)))
+        inside.append(len(out) - 1)
     return out
 
 
+def locate(blob: bytes, finder) -> list[tuple[str, int, int]]:
+    """(media type, start, length) of the confirmed media that lie in no other, leftmost first."""
+    return [part[:3] for part in nested(blob, finder) if part[3] < 0]
+
+
 def sniff(media: DataFrame) -> DataFrame:
     """Find what the bytes of ``media`` (declared, content and any other columns) are.
 
-    Added are ``media_type``: the type confirmed at byte 0, else ``application/octet-stream``;
-    ``corrected``: that it differs from the declared one (null counts as differing); and
-    ``parts``: all confirmed media, embedded ones included, to be carved. Null or empty
+    Added are ``media_type``: the type confirmed at byte 0, else the declared one if no signature says
+    otherwise and it has none of those known here, else UNKNOWN; ``corrected``: that it differs
+    from the declared one (null counts as differing); and ``parts``: all confirmed media, those
+    inside others included, with their parent's number and depth, to be carved. Null or empty
     content has no parts. Clashing columns of these names are replaced.
     """
     kept = media.drop("media_type", "corrected", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = automaton()
-        part = pa.list_(pa.struct([("media_type", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
+        fields = ("media_type", "start", "length", "parent", "depth")
+        part = pa.list_(pa.struct([("media_type", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("parent", pa.int32()), ("depth", pa.int32())]))
         for batch in batches:
             declared = batch.column("declared").to_pylist()
-            parts = [locate(c.as_py() or b"", finder) for c in batch.column("content")]
-            kinds = [p[0][0] if p and p[0][1] == 0 else "application/octet-stream" for p in parts]
+            parts = [nested(c.as_py() or b"", finder) for c in batch.column("content")]
+            kinds = [p[0][0] if p and p[0][1] == 0 else sniffed(d) for p, d in zip(parts, declared, strict=True)]
             fixed = pa.array([k != d for k, d in zip(kinds, declared, strict=True)], pa.bool_())
-            carved = pa.array([[dict(zip(("media_type", "start", "length"), x, strict=True)) for x in p] for p in parts], part)
+            carved = pa.array([[dict(zip(fields, x, strict=True)) for x in p] for p in parts], part)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds, pa.string()), fixed, carved], names=[*batch.schema.names, "media_type", "corrected", "parts"])
 
     added = T.StructType().add("media_type", "string").add("corrected", "boolean").add("parts", PARTS)
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added.fields]))
 
 
+def sniffed(declared: str | None) -> str:
+    """The type of bytes that no signature explains: what they are declared as, unless a signature would have to show it."""
+    return declared if declared and declared.startswith("text/") else UNKNOWN
+
+
 def carve(blob: bytes, parts: list[dict]) -> list[bytes]:
     return [blob[p["start"] : p["start"] + p["length"]] for p in parts]
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """Each text's UTF-8 bytes, padded with 0 to a positive multiple of 64, as a WAV without a known type.
+    """Each text's UTF-8 bytes, padded with 0 to a positive multiple of 64, as a WAV declared to be plain text.
 
     Null texts are empty and so hold 64 zeros. One row per document; repeated rows repeat.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = []
-            for text in batch.column("text"):
-                raw = (text.as_py() or "").encode()
-                blobs.append(wav_bytes(raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")))
-            lengths = pa.array([len((t.as_py() or "").encode()) for t in batch.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lengths, pa.nulls(len(blobs), pa.string()), pa.array(blobs, pa.binary())], names=["doc_id", "n_bytes", "declared", "content"])
+            raws = [(text.as_py() or "").encode() for text in batch.column("text")]
+            blobs = [wav_bytes(raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")) for raw in raws]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, raws), pa.int64()), pa.array(["text/plain"] * len(raws), pa.string()), pa.array(blobs, pa.binary())], names=["doc_id", "n_bytes", "declared", "content"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, declared string, content binary")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Store every text, sniff the stored bytes, carve the first medium and digest what is read back."""
+    """Store every text, sniff the stored bytes, carve the container and what lies in its samples, and digest what is read back.
+
+    ``feature`` names the container's type, whether that corrected the declared one, the type
+    of the payload itself (that of a medium at its first byte, else plain text), and how many media
+    of each type lie in the payload, at any depth.
+    """
+
+    def feature(row: dict, payload: bytes) -> str:
+        whole, *inner = row["parts"]
+        first = next((p["media_type"] for p in inner if p["start"] == row["parts"][0]["start"] + 44), "text/plain")
+        kinds = sorted({p["media_type"] for p in inner})
+        found = ",".join(f"{k}:{sum(p['media_type'] == k for p in inner)}:{sum(p['length'] for p in inner if p['media_type'] == k)}" for k in kinds)
+        return f"{row['media_type']};corrected={int(row['corrected'])};parts={len(row['parts'])};length={whole['length']};payload={first};embedded={found};mean={int(np.frombuffer(payload, np.uint8).mean())}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
                 blob = row["content"]
-                payload = wav_samples(carve(blob, row["parts"])[0])
-                feature = f"{row['media_type']};corrected={int(row['corrected'])};parts={len(row['parts'])};length={row['parts'][0]['length']};mean={int(np.frombuffer(payload, np.uint8).mean())}"
+                payload = wav_samples(carve(blob, row["parts"][:1])[0])
                 rows.append(
                     {
                         "doc_id": row["doc_id"],
@@ -228,7 +335,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
                         "tail_crc32": zlib.crc32(payload[-64:]),
                         "media_bytes": len(blob),
                         "media_sha256": hashlib.sha256(blob).hexdigest(),
-                        "feature": feature,
+                        "feature": feature(row, payload),
                     }
                 )
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]))

@@ -79,3 +79,45 @@ def test_zero_bytes_and_tables(spark, docs, crowded, empty):
     assert media.media_digests(empty).count() == 0
     assert same(media.media_digests(docs), media.media_digests(crowded))
     assert media.media_digests(docs.where(F.col("text") == "one")).select("media_sha256", "feature").distinct().count() == 1
+
+
+def test_media_inside_others():
+    finder = media.automaton()
+    song = media.wav_bytes(b"x" * 7 + GIF + png() + b"yy" + JPEG)
+    got = media.nested(b"ab" + song + GIF, finder)
+    assert [(k, parent, depth) for k, _, _, parent, depth in got] == [("audio/wav", -1, 0), ("image/gif", 0, 1), ("image/png", 0, 1), ("image/jpeg", 0, 1), ("image/gif", -1, 0)]
+    assert (b"ab" + song + GIF)[got[2][1] : got[2][1] + got[2][2]] == png()
+    thumb = b"\xff\xd8\xff\xe1" + struct.pack(">H", 2 + len(JPEG)) + JPEG + JPEG[2:]
+    assert [(s, n, d) for _, s, n, _, d in media.nested(thumb, finder)] == [(0, len(thumb), 0), (6, len(JPEG), 1)]
+    assert [k for k, *_ in media.nested(zipped() + GIF, finder)] == ["application/gzip", "image/gif"]
+
+
+def test_updated_pdf_is_carved_whole():
+    finder = media.automaton()
+    updated = PDF + b"\n2 0 obj\nendobj\nstartxref\n9\n%%EOF"
+    assert media.locate(updated + b" x " + PDF, finder) == [("application/pdf", 0, len(updated)), ("application/pdf", len(updated) + 3, len(PDF))]
+    assert media.locate(b"%PDF-1.4 startxref %%EOF", finder) == []
+
+
+def test_fill_bytes_and_progressive_scans():
+    blob = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"ab\xff\xff" + b"\xff\xda" + struct.pack(">H", 3) + b"xdata\xff\x00\xff\xd0more\xff\xda" + struct.pack(">H", 3) + b"ytail\xff\xd9"
+    assert media.locate(blob + b"zz", media.automaton()) == [("image/jpeg", 0, len(blob))]
+
+
+@pytest.mark.parametrize("piece", [b"%PDF-1.4 ", b"GIF89a" + bytes(6), b"\xff\xd8\xff\xda\x00\x03x", b"RIFF\0\0\0\0WAVE", PDF[:-5], b"GIF89a" + bytes(7) + b"\x21\x01\x05"])
+def test_many_false_starts_take_linear_time(piece):
+    import time
+
+    blob, finder = piece * (4_000_000 // len(piece)), media.automaton()
+    began = time.time()
+    media.nested(blob, finder)
+    assert time.time() - began < 15
+
+
+def test_embedded_media_show_in_the_feature(spark):
+    gif = "GIF89a" + "\x01\0" * 2 + "\0\0\0" + "," + "\0" * 4 + "\x01\0\x01\0\0" + "\x02\x02D\x01\0;"
+    texts = ["plain prose", "plain " + gif, gif, "see " + PDF.decode() + " here", PDF.decode(), "plain prose"]
+    got = {r.doc_id: r.feature for r in media.media_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == got[5] and "payload=text/plain;embedded=;" in got[0]
+    assert f"payload=text/plain;embedded=image/gif:1:{len(gif)};" in got[1] and f"payload=image/gif;embedded=image/gif:1:{len(gif)};" in got[2]
+    assert f"embedded=application/pdf:1:{len(PDF)};" in got[3] and "payload=application/pdf;" in got[4]
