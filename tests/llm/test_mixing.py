@@ -70,3 +70,37 @@ def test_sql_gives_the_same_rows(spark):
     df = queries.op2_source_mixing(spark, sf)
     assert sorted(names) == sorted(df.columns)
     assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(found.fetchall())
+
+
+def plain_sum(doc_id, rate):
+    parts = max(1, math.ceil(rate / 32))
+    total = 0
+    for j in range(parts):
+        word = f"mix-1|{doc_id}" + (f"|{j}" if j else "")
+        u, p, k = int(hashlib.md5(word.encode()).hexdigest()[:13], 16) / 2**52, math.exp(-rate / parts), 0
+        below = p
+        while below <= u:
+            k += 1
+            p *= rate / parts / k
+            below += p
+        total += k
+    return total
+
+
+def test_large_rates_are_sums_of_draws(spark):
+    import time
+
+    d = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit("t").alias("text"))
+    got = {r.doc_id: r.n for r in d.select("doc_id", mixing.poisson_draw(F.lit(500.0), "mix-1", F.col("doc_id")).alias("n")).collect()}
+    assert got == {i: plain_sum(i, 500.0) for i in range(40)}
+    assert abs(sum(got.values()) / 40 - 500) < 15
+    began = time.time()
+    one = spark.range(1).select(mixing.poisson_draw(F.lit(40_000.0), "mix-1", F.lit(1)).alias("n")).first().n
+    assert abs(one - 40_000) < 1_200 and time.time() - began < 10
+
+
+def test_columns_of_any_name_stay(spark):
+    d = spark.createDataFrame([(1, "s", "t", 5, 6, 7, 8), (2, "s", "t", 5, 6, 7, 8)], "doc_id long, source string, text string, _source int, _steps int, _n int, _parts int")
+    got = mixing.mix_sources(d, {"s": 1.0})
+    assert got.columns == [*d.columns, "copy", "shuffle_key"]
+    assert {(r._source, r._steps, r._n, r._parts) for r in mixing.mix_sources(d.unionAll(d).unionAll(d)).collect()} <= {(5, 6, 7, 8)}
