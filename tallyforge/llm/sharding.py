@@ -24,6 +24,13 @@ def even_tree(shards: int, per_rack: int = 2, racks: int = 2) -> dict[str, dict[
     return tree
 
 
+def grown_tree(shards: int) -> dict[str, dict[str, dict[int, float]]]:
+    """``even_tree(shards)`` and one more shard, in a new rack of a new region."""
+    tree = even_tree(shards)
+    racks = sum(len(r) for r in tree.values())
+    return tree | {f"region{len(tree)}": {f"rack{racks}": {shards: 1.0}}}
+
+
 def _draw(key: Column, choices: Mapping[str, float]) -> Column:
     """The choice with the largest ln(u) / weight; u is a hash of the key and the choice alone.
 
@@ -65,14 +72,14 @@ def descend(df: DataFrame, key: str, tree: Tree, into: str) -> DataFrame:
     return out.withColumn(into, F.substring(_cases(F.col(rack), leaves), 6, 9).cast("int")).drop(region, rack)
 
 
-def number_slots(df: DataFrame, shard: str, key: str, order: list[str], buckets: int = SLOT_BUCKETS) -> DataFrame:
+def number_slots(df: DataFrame, shard: str, keys: list[str], order: list[str], buckets: int = SLOT_BUCKETS) -> DataFrame:
     """Add ``slot`` (long): gapless from 0 in each shard.
 
-    Rows are numbered within (shard, hash bucket of the key); a bucket starts where the
+    Rows are numbered within (shard, hash bucket of the keys); a bucket starts where the
     buckets before it end. The starts are at most shards x ``buckets`` rows, which bounds
     their broadcast. No shard is gathered in one task.
     """
-    cut = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(buckets)).cast("int"))
+    cut = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("slot"), *keys), F.lit(buckets)).cast("int"))
     sizes = cut.groupBy(F.col(shard).alias("_shard"), F.col("_bucket").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_shard").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_shard", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -85,8 +92,8 @@ def number_slots(df: DataFrame, shard: str, key: str, order: list[str], buckets:
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """One row per document: shard, slot and the shard it would have with one more.
 
-    Law ``key``: the document id and the tree of ``shards`` decide. The extra shard is a
-    region of its own (``shards`` fills whole regions), so rows only move into it. Null texts
+    Law ``key``: the document id and the tree of ``shards`` decide. The extra shard is put into a
+    region of its own, whatever ``shards`` is, so rows only move into it. Null texts
     have size 1; null ids share one shard; repeated rows get one shard and different slots.
     """
     sized = docs.select(
@@ -96,5 +103,5 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.lit("key").alias("law"),
     )
     placed = descend(sized, "doc_id", even_tree(shards), "shard")
-    placed = descend(placed, "doc_id", even_tree(shards + 1), "grown_shard")
-    return number_slots(placed, "shard", "doc_id", ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    placed = descend(placed, "doc_id", grown_tree(shards), "grown_shard")
+    return number_slots(placed, "shard", ["doc_id", "text_crc32"], ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -50,3 +50,11 @@ def test_tables(spark, docs, crowded, empty):
     assert same(sharding.shard_documents(docs).drop("slot"), sharding.shard_documents(crowded).drop("slot"))
     nulls = spark.range(5).select(F.lit(None).cast("long").alias("doc_id"), F.lit("t").alias("text"))
     assert sorted(r.slot for r in sharding.shard_documents(nulls).collect()) == list(range(5))
+
+
+def test_any_number_of_shards_grows_into_the_new_one(spark):
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    for n in (1, 3, 5, 6, 7):
+        got = sharding.shard_documents(d, n).collect()
+        assert all(r.shard < n and r.grown_shard in (r.shard, n) for r in got)
+        assert {r.grown_shard for r in got} == set(range(n + 1))
