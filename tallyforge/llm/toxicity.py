@@ -208,10 +208,10 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
-    """Weights learned from at most ``fit_rows`` labelled documents outside the held-out fold."""
+    """Weights learned from at most ``fit_rows`` labelled documents outside the held-out fold; of an id with several texts, from the first."""
     chosen = learnable(labels).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("toxic"), "doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "_toxic").toArrow().combine_chunks()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_toxic").alias("_toxic")).orderBy("doc_id").select("text", "_toxic").toArrow().combine_chunks()
     if not rows.num_rows:
         return fit(np.zeros((0, len(TABLES)), np.int32), np.zeros(1, np.int64), np.zeros(0))
     inputs, bounds = [], [np.zeros(1, np.int64)]
