@@ -60,3 +60,49 @@ def test_redaction_and_tables(spark, docs, crowded, empty):
     assert got == {1: "a [SECRET] z", 2: None, 3: "clean"}
     assert secrets.secret_report(empty).count() == 0
     assert same(secrets.secret_report(docs), secrets.secret_report(crowded))
+
+
+def test_all_alphabets_are_drawn_and_identifiers_made():
+    drawn = secrets.drawn_strings(70)
+    assert any(set(s) <= set(string.ascii_uppercase + "234567") for s in drawn) and any(set(s) <= set(string.ascii_lowercase + string.digits) and set(s) & set("xyzq") for s in drawn)
+    made = secrets.made_identifiers(["alpha", "beta", "gamma"], 300)
+    assert all(len(s) >= secrets.LEAST for s in made) and any("20" in s and "alpha" in s for s in made) and len(set(made)) > 250
+
+
+def test_held_out_recall_and_precision(spark):
+    """Fresh strings of each alphabet, and identifiers of words that training did not see."""
+    rng = random.Random(4)
+    syllables = ["ta", "con", "ver", "sion", "get", "user", "name", "index", "er", "tion", "list", "for", "open", "ing", "the", "al", "or", "ment"]
+    word = lambda r: "".join(r.choice(syllables) for _ in range(r.randrange(1, 4)))
+    docs = spark.createDataFrame([(i, " ".join(word(rng) for _ in range(60)) + f" secret={rng.getrandbits(128):032x}") for i in range(300)], "doc_id long, text string")
+    models = secrets.fit_models(docs)
+    fresh = random.Random(99)
+    alphabets = {"base62": string.ascii_letters + string.digits, "base32": string.ascii_uppercase + "234567", "lower": string.ascii_lowercase + string.digits, "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "url": string.ascii_letters + string.digits + "_-"}
+    for name, alphabet in alphabets.items():
+        strings = ["".join(fresh.choice(alphabet) for _ in range(32)) for _ in range(400)]
+        recall = sum(models.ratio(s) > models.threshold for s in strings) / 400
+        print("recall", name, recall)
+        assert recall > 0.9, name
+    names = secrets.made_identifiers([word(fresh) for _ in range(500)], 2000, seed=77) + ["release-notes-2023-11-04", "IMG_20231104_123456_edited", "DEFAULT_TIMEOUT_SECONDS", "getUserNameFromIndex"]
+    alarms = [s for s in names if models.ratio(s) > models.threshold]
+    print("alarms", len(alarms) / len(names))
+    assert len(alarms) < 0.01 * len(names) and not set(names[-4:]) & set(alarms)
+
+
+def test_parts_outside_base_spans(spark):
+    models = secrets.train(secrets.drawn_strings(), secrets.made_identifiers(["some", "words", "here", "names"], 2000))
+    key = "Qx7Lz9Kp2Wv8Rt4YbN3m"
+    text = f"{key}/{'0123456789abcdef' * 2}+{key} x secret=abcdefgh_{key[:9]} {key}"
+    kinds = [(text[s:e], k) for s, e, k in secrets.all_spans(text, models)]
+    assert (key + "/", "markov") in kinds and ("+" + key, "markov") in kinds and kinds[-1] == (key, "markov")
+    assert sum(k == "markov" for _, k in kinds) == 3
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    models = secrets.train(secrets.drawn_strings(), secrets.made_identifiers(["some", "words", "here", "names"], 2000))
+    text = ("0123456789abcdef" * 2 + " " + "Qx7Lz9Kp2Wv8Rt4YbN3m" + " ") * 20_000
+    began = time.time()
+    assert len(secrets.all_spans(text, models)) == 40_000
+    assert time.time() - began < 10
