@@ -17,17 +17,22 @@ from tallyforge.llm.shared import materialise
 
 WINDOW = 1024
 END = 0
+#: Fixed value: the one token that the vocabulary's tokenizers file adds, cut out of a text before all else.
+ADDED = "<|endoftext|>"
 #: Remainders in one shard of the index, by its mean.
 SHARD_ROWS = 4096
 K1, B = 1.2, 0.75
 #: Ids of a vocabulary under 65,536 are kept as little-endian unsigned 16-bit numbers.
 VOCABULARY = 1 << 16
+#: Ids in more than a 1 / DENSE of a shard's rows have a dense row of weights beside the postings, multiplied for BLOCK rows at once.
+DENSE, BLOCK = 12, 64
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_CUT = _ARROW.append(pa.field("sketch", pa.int64())).append(pa.field("number", pa.int64()))
 
 
 def load_encoder(path: str | None = None):
-    """Byte-level BPE from ranks (the same vocabulary and ids as the tokenizers file of that name)."""
+    """Byte-level BPE from ranks: the vocabulary and ids of the tokenizers file of that name, its added token included."""
     import public_tokenizers
     import tiktoken
 
@@ -36,35 +41,40 @@ def load_encoder(path: str | None = None):
         for line in lines:
             token, rank = line.split()
             ranks[base64.b64decode(token)] = int(rank)
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={ADDED: len(ranks)})
+
+
+def pair_sketch(ids: np.ndarray) -> int:
+    """The least hash of a row's pairs of neighbouring ids (of its ids, if it has one only): like texts often share it."""
+    row = ids.astype(np.uint32)
+    pairs = (row[:-1] << np.uint32(16) | row[1:]) if len(row) > 1 else row
+    return int((pairs * np.uint32(0x9E3779B1) ^ (pairs >> np.uint32(13)) * np.uint32(0x85EBCA77)).min())
 
 
 def cut_documents(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None) -> DataFrame:
     """Pieces of every whole document: full windows, which are sequences already, and a remainder.
 
     A document's ids are its text's and END; a null text has only END. Sequence ids of full
-    windows are odd and unique; a remainder has none yet.
+    windows are odd and unique; a remainder has none yet, but its sketch and a number of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(tokenizer)
-        number = TaskContext.get().partitionId() << 33
+        number = own = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         held = 0
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CUT, strict=True)], schema=_CUT)
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                found = encoder.encode_ordinary(text.as_py() or "")
-                found.append(END)
-                ids = np.array(found, "<u2")
+                ids = np.append(encoder.encode_to_numpy(text.as_py() or "", allowed_special="all"), END).astype("<u2")
                 for at in range(0, len(ids), window):
                     piece = ids[at : at + window]
                     full = len(piece) == window
-                    rows.append((doc_id, at, len(piece), len(ids), piece.tobytes(), 2 * number + 1 if full else None, 0 if full else None))
-                    number += full
+                    rows.append((doc_id, at, len(piece), len(ids), piece.tobytes(), 2 * number + 1 if full else None, 0 if full else None, None if full else pair_sketch(piece), own))
+                    number, own = number + full, own + 1
                 held += len(ids)
                 if held > 1 << 20:
                     yield batch_of(rows)
@@ -72,7 +82,7 @@ def cut_documents(docs: DataFrame, window: int = WINDOW, tokenizer: str | None =
         if rows:
             yield batch_of(rows)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, PIECES)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, f"{PIECES}, sketch long, number long")
 
 
 @dataclass
@@ -91,22 +101,24 @@ def gather_statistics(rest: DataFrame) -> Statistics:
     """Count, mean length, and in how many remainders each id occurs; each task counts before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(VOCABULARY, np.int64)
+        seen = np.zeros(VOCABULARY + 2, np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
-                seen[np.unique(np.frombuffer(ids.as_py(), "<u2"))] += 1
+                row = np.frombuffer(ids.as_py(), "<u2")
+                seen[np.unique(row)] += 1
+                seen[VOCABULARY:] += (1, len(row))
         terms = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(seen[terms], pa.int64())], names=["term", "n"])
 
     counts = rest.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    size = rest.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean")).first()
-    frequency = np.zeros(VOCABULARY)
-    frequency[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
-    return Statistics(size["n"], size["mean"], frequency)
+    seen = np.zeros(VOCABULARY + 2, np.int64)
+    seen[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    rows, ids = (int(n) for n in seen[VOCABULARY:])
+    return Statistics(rows, ids / rows if rows else 1.0, seen[:VOCABULARY].astype(float))
 
 
 class Index:
-    """BM25 postings of one shard's remainders."""
+    """BM25 postings of one shard's remainders; ids in many of its rows are held as dense rows of weights."""
 
     def __init__(self, rows: list[np.ndarray], known: Statistics):
         lengths = np.array([len(r) for r in rows])
@@ -115,18 +127,38 @@ class Index:
         idf = known.idf()
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / known.mean_length))
         self.rows = len(rows)
-        self.terms = np.split(term, np.searchsorted(owner, np.arange(1, len(rows))))
+        common = np.flatnonzero(np.bincount(term, minlength=VOCABULARY) * DENSE > len(rows))
+        place = np.full(VOCABULARY, -1)
+        place[common] = np.arange(len(common))
+        dense = place[term] >= 0
+        self.dense, self.asked = np.zeros((len(common), len(rows)), np.float32), np.zeros((len(rows), len(common)), np.float32)
+        self.dense[place[term[dense]], owner[dense]] = weight[dense]
+        self.asked[owner[dense], place[term[dense]]] = 1
+        self.blocks: dict[int, np.ndarray] = {}
+        cut = np.searchsorted(owner, np.arange(1, len(rows)))
+        self.terms = np.split(term, cut)
+        owner, term, weight = owner[~dense], term[~dense], weight[~dense]
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
         self.start = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused rows that share a term with the seed, by BM25 over all of its distinct terms, best first, ties in row order."""
-        spans = [slice(self.start[t], self.start[t + 1]) for t in self.terms[seed]]
-        owner = np.concatenate([self.owner[s] for s in spans])
-        scores = np.bincount(owner, np.concatenate([self.weight[s] for s in spans]), self.rows)
-        found = np.flatnonzero((scores > 0) & unused)
-        return found[np.argsort(-scores[found], kind="stable")]
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every row over all of the seed's distinct terms, in single precision and to 3 places, so that equal rows tie."""
+        spans = [slice(a, b) for a, b in zip(self.start[self.terms[seed]], self.start[self.terms[seed] + 1], strict=True) if a < b]
+        block = seed // BLOCK
+        if block not in self.blocks:
+            self.blocks[block] = self.asked[block * BLOCK : (block + 1) * BLOCK] @ self.dense
+        out = self.blocks[block][seed % BLOCK].astype(np.float64)
+        if spans:
+            out += np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.rows)
+        return np.round(out, 3)
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused rows that share a term with the seed, by score, best first, ties in row order; found as they are asked for."""
+        left = np.where(unused, self.scores(seed), 0.0)
+        while left[best := int(np.argmax(left))] > 0:
+            yield best
+            left[best] = 0.0
 
 
 def fill_windows(rows: list[np.ndarray], known: Statistics, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -158,16 +190,17 @@ def fill_windows(rows: list[np.ndarray], known: Statistics, window: int = WINDOW
             yield sequence, offset, row, at, take
             at, offset = at + take, offset + take
         if seeding:
-            queue = iter(index.neighbours(row, unused).tolist())
+            queue = index.neighbours(row, unused)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Pieces of all documents with their place: PIECES, ids as unsigned 16-bit numbers.
 
-    Remainders are dealt by range of a sketch of their own id pairs, so that like texts
-    share a shard; ties are split by doc_id, so no group of copies outgrows a shard. Each
-    shard builds an inverted index, weighed by statistics of all remainders, and packs
-    itself; only its last sequence is short. Empty tables give no piece; null ids and
+    Remainders are dealt by range of a sketch of their own id pairs, so that near copies
+    share a shard; ties are split by doc_id and then by the remainder's own number, so no group
+    of copies or repeated rows outgrows a shard. Each shard builds an inverted index, weighed
+    by statistics of all remainders, and packs itself; only its last sequence is short. Seeds are
+    compared with the remainders of their shard only. Empty tables give no piece; null ids and
     repeated rows are packed as rows of their own; columns beyond doc_id and text are not
     read.
     """
@@ -175,18 +208,8 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, sh
     rest = pieces.where("sequence_id is null")
     known = gather_statistics(rest)
     shared = docs.sparkSession.sparkContext.broadcast(known)
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = []
-            for ids in batch.column("ids"):
-                row = np.frombuffer(ids.as_py(), "<u2").astype(np.uint32)
-                pairs = (row[:-1] << np.uint32(16) | row[1:]) if len(row) > 1 else row
-                keys.append(int((pairs * np.uint32(0x9E3779B1) ^ (pairs >> np.uint32(13)) * np.uint32(0x85EBCA77)).min()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "sketch"])
-
-    dealt = rest.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(sketch, "doc_id long, start long, doc_tokens long, ids binary, sketch long")
-    dealt = dealt.repartitionByRange(max(1, -(-known.rows // shard_rows)), "sketch", "doc_id").sortWithinPartitions("sketch", "doc_id", "ids")
+    dealt = rest.select("doc_id", "start", "doc_tokens", "ids", "sketch", "number")
+    dealt = dealt.repartitionByRange(max(1, -(-known.rows // shard_rows)), "sketch", "doc_id", "number").sortWithinPartitions("sketch", "doc_id", "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -201,7 +224,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, sh
             out.append((doc_ids[row], starts[row] + at, take, totals[row], rows[row][at : at + take].astype("<u2").tobytes(), 2 * (base + sequence), offset))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
-    return pieces.where("sequence_id is not null").unionByName(dealt.mapInArrow(run, PIECES))
+    return pieces.where("sequence_id is not null").drop("sketch", "number").unionByName(dealt.mapInArrow(run, PIECES))
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:

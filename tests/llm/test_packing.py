@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyforge.llm import packing
@@ -11,7 +12,6 @@ from tests.llm.conftest import same
 
 def encoded(rows):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [(r[0], np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")) for r in rows]
 
 
@@ -54,10 +54,24 @@ def test_shards(docs, rows):
 
 
 def test_texts_like_special_tokens(spark):
-    rows = [(1, "a <|endoftext|> b  c\n\n d\t", "en", "s", 1), (2, "ünï 日本語 🎉  x", "en", "s", 1), (3, "x" * 5000, "en", "s", 1)]
+    rows = [(1, "a <|endoftext|> b  c\n\n d\t<|endoftext|><|endoftext|x <|endoftext|>", "en", "s", 1), (2, "ünï 日本語 🎉  x", "en", "s", 1), (3, "x" * 5000, "en", "s", 1)]
     check(packing.piece_digests(packing.pack(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))).collect(), rows)
 
 
+def test_added_token_has_its_own_id(spark):
+    ids = packing.load_encoder().encode("x<|endoftext|>", allowed_special="all")
+    assert ids[-1] == 50256 == Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode("x<|endoftext|>", add_special_tokens=False).ids[-1]
+
+
+def test_repeated_rows_are_split_over_shards(spark):
+    """400 equal rows of null id, and as many of one id: no shard holds them all."""
+    rows = [(None, "some words of one text " * 9), (7, "other words of one text " * 9)] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pieces = packing.pack(docs, shard_rows=50).groupBy(F.shiftright("sequence_id", 34).alias("shard")).agg(F.sum("length").alias("n")).collect()
+    one = sum(r.n for r in pieces) / len(rows)
+    assert len(pieces) >= 12 and max(r.n for r in pieces) < 120 * one
+
+
 def test_neighbours_share_a_window():
     rng = np.random.default_rng(1)
     topics = [rng.integers(1000 * t, 1000 * t + 60, 200) for t in range(1, 9)]
@@ -66,7 +80,8 @@ def test_neighbours_share_a_window():
     index = packing.Index(rows, known)
     unused = np.ones(80, bool)
     unused[[0, 8]] = False
-    assert {int(r) % 8 for r in index.neighbours(0, unused)} == {0} and 8 not in index.neighbours(0, unused)
+    found = list(index.neighbours(0, unused))
+    assert {r % 8 for r in found} == {0} and 8 not in found
     windows = defaultdict(set)
     for sequence, _, row, _, _ in packing.fill_windows(rows, known):
         windows[sequence].add(row % 8)
@@ -78,9 +93,8 @@ def test_bm25_is_the_formula():
     df = np.zeros(packing.VOCABULARY)
     df[[5, 7, 9, 11]] = [2, 1, 2, 1]
     index = packing.Index(rows, packing.Statistics(3, 3.0, df))
-    at = index.start[5]
     idf = np.log(1 + (3 - 2 + 0.5) / 2.5)
-    assert abs(index.weight[at] - idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 3))) < 1e-12
+    assert abs(index.scores(1)[0] - idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 3))) < 1e-3
     assert list(index.neighbours(0, np.array([False, True, True]))) == [1]
 
 
@@ -90,15 +104,15 @@ def test_all_terms_of_a_seed_are_scored():
     rows = [np.concatenate((np.arange(500, 540), np.arange(100, 160))), *(rng.integers(100 + 2 * i, 300, rng.integers(20, 200)) for i in range(60)), np.arange(9000, 9050)]
     df = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=packing.VOCABULARY).astype(float)
     known = packing.Statistics(len(rows), float(np.mean([len(r) for r in rows])), df)
-    got = packing.Index(rows, known).neighbours(0, np.arange(len(rows)) > 0)
+    got = list(packing.Index(rows, known).neighbours(0, np.arange(len(rows)) > 0))
     want = {}
     for i, r in enumerate(rows[1:], 1):
         norm = packing.K1 * (1 - packing.B + packing.B * len(r) / known.mean_length)
         tf = {t: int((r == t).sum()) for t in np.intersect1d(rows[0], r)}
         if tf:
             want[i] = sum(np.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5)) * n * (packing.K1 + 1) / (n + norm) for t, n in tf.items())
-    assert len(want) > 20 and set(got.tolist()) == set(want)
-    assert all(want[a] >= want[b] - 1e-9 for a, b in zip(got[:-1], got[1:], strict=True))
+    assert len(want) > 20 and set(got) == set(want)
+    assert all(want[a] >= want[b] - 2e-3 for a, b in zip(got[:-1], got[1:], strict=True))
 
 
 def test_tables(docs, crowded, empty):
