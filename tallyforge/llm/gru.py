@@ -78,52 +78,48 @@ class Adam:
             weights[k] -= (self.rate / (1 - 0.9**self.t)) * self.mean[k] / (np.sqrt(self.square[k] / (1 - 0.99**self.t)) + 1e-6)
 
 
-def stream_forward(gates: np.ndarray, h: np.ndarray, u: np.ndarray, going: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """States (T x H x lanes) of T steps of streams, and what stream_backward needs.
-
-    ``gates`` (T x 3H x lanes) are the inputs' share. A stream's state is zeroed before the
-    steps where ``going`` (T x lanes) is 0, which is where a document begins.
-    """
-    steps, n, lanes = len(gates), h.shape[0], h.shape[1]
-    before, states, new, inner = (np.empty((steps, n, lanes), np.result_type(u)) for _ in range(4))
-    zr = np.empty((steps, 2 * n, lanes), np.result_type(u))
-    turn = np.ascontiguousarray(u.T)
-    for t in range(steps):
-        np.multiply(h, going[t], out=before[t])
-        all_inner = turn @ before[t]
-        np.add(gates[t, : 2 * n], all_inner[: 2 * n], out=zr[t])
-        sigmoid(zr[t])
-        inner[t] = all_inner[2 * n :]
-        np.multiply(zr[t, n:], inner[t], out=new[t])
-        new[t] += gates[t, 2 * n :]
-        np.tanh(new[t], out=new[t])
-        np.subtract(before[t], new[t], out=states[t])
-        states[t] *= zr[t, :n]
-        states[t] += new[t]
-        h = states[t]
-    return states, (before, zr, new, inner)
-
-
-def stream_backward(d_states: np.ndarray, kept: tuple, u: np.ndarray, going: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients of the gates' inputs (T x 3H x lanes) and of u, through all T steps."""
-    before, zr, new, inner = kept
-    steps, n, lanes = before.shape
-    d_gates, d_inner = (np.empty((steps, 3 * n, lanes), np.result_type(u)) for _ in range(2))
-    z, r = zr[:, :n], zr[:, n:]
-    to_new = (1 - z) * (1 - new * new)
-    to_z = (before - new) * z * (1 - z)
-    to_r = inner * r * (1 - r)
-    d_h = np.zeros((n, lanes), np.result_type(u))
-    for t in range(steps - 1, -1, -1):
-        d_h += d_states[t]
-        d_new, own = d_gates[t, 2 * n :], d_inner[t]
-        np.multiply(d_h, to_new[t], out=d_new)
-        np.multiply(d_h, to_z[t], out=d_gates[t, :n])
-        np.multiply(d_new, to_r[t], out=d_gates[t, n : 2 * n])
-        own[: 2 * n] = d_gates[t, : 2 * n]
-        np.multiply(d_new, r[t], out=own[2 * n :])
-        d_h *= z[t]
-        d_h += u @ own
-        d_h *= going[t]
-    d_u = before.transpose(1, 0, 2).reshape(n, -1) @ d_inner.transpose(1, 0, 2).reshape(3 * n, -1).T
-    return d_gates, d_u
+class Room(dict):
+    """Arrays that are used again by the next window of the same shape, so that no memory is asked for at each step."""
+
+    def array(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        held = self.get(name)
+        if held is None or held.shape != shape or held.dtype != kind:
+            held = self[name] = np.empty(shape, kind)
+        return held
+
+
+def stream_step(gates: np.ndarray, h: np.ndarray, turn: np.ndarray, zr: np.ndarray, new: np.ndarray, inner: np.ndarray, after: np.ndarray) -> None:
+    """Next states (``after``, H x streams) from the inputs' share of the gates (3H x streams); ``turn`` is u transposed, the rest is filled for stream_back."""
+    n = len(h)
+    np.matmul(turn, h, out=inner)
+    np.add(gates[: 2 * n], inner[: 2 * n], out=zr)
+    sigmoid(zr)
+    np.multiply(zr[n:], inner[2 * n :], out=new)
+    new += gates[2 * n :]
+    np.tanh(new, out=new)
+    np.subtract(h, new, out=after)
+    after *= zr[:n]
+    after += new
+
+
+def stream_back(d: np.ndarray, h: np.ndarray, zr: np.ndarray, new: np.ndarray, inner: np.ndarray, u: np.ndarray, d_gates: np.ndarray, d_inner: np.ndarray, spare: np.ndarray) -> None:
+    """Fill the gradients of the gates' inputs and of their inner part from that of the state after, which becomes that of the state before."""
+    n = len(h)
+    z, r, d_new = zr[:n], zr[n:], d_gates[2 * n :]
+    np.multiply(new, new, out=spare)
+    np.subtract(1, spare, out=spare)
+    np.subtract(1, z, out=d_new)
+    np.multiply(d_new, z, out=d_gates[:n])
+    d_new *= spare
+    d_new *= d
+    np.subtract(h, new, out=spare)
+    spare *= d
+    d_gates[:n] *= spare
+    np.subtract(1, r, out=spare)
+    spare *= r
+    spare *= inner[2 * n :]
+    np.multiply(d_new, spare, out=d_gates[n : 2 * n])
+    d_inner[:] = d_gates
+    d_inner[2 * n :] *= r
+    d *= z
+    d += np.matmul(u, d_inner, out=spare)

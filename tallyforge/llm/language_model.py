@@ -32,18 +32,20 @@ MEMBERS = 32
 SLOTS = 1 + SINGLES + GROUPS * MEMBERS
 #: Most frequent words among which the groups' own are looked for.
 FREQUENT = 1 << 15
-HIDDEN = 24
+HIDDEN, INPUTS = 24, 16
 #: Words of whole documents that are encoded as one block; a longer document is one alone.
 BLOCK_WORDS = 3_000_000
 #: Tokens between truncations of the gradient, and streams of documents side by side.
-STEPS, LANES = 32, 256
+STEPS, LANES = 32, 512
 #: Tokens of whole documents that are laid out as streams together, and tokens in one task, by its mean.
-SLAB, TASK_TOKENS = 1 << 20, 1 << 21
+SLAB, TASK_TOKENS = 1 << 22, 1 << 23
 #: Rounds of averaging; a hash of its id gives each training document the one round that trains on it.
 ROUNDS = 2
 RATE = 0.02
 #: Averages and profiles are summed as whole multiples of 1 / FIXED, so that no order of addition shows.
 FIXED = 1 << 20
+#: Weights in one part of a task's vector.
+PART = 512
 PROFILE = 32
 SEED = 9
 ENCODED = "kind int, pid long, doc_id long, held_out boolean, ids binary, key long, shape int, n long, value long"
@@ -162,8 +164,11 @@ class Vocabulary:
         return out
 
 
+_CLASS = np.concatenate((np.arange(1 + SINGLES), np.repeat(np.arange(1 + SINGLES, CLASSES), MEMBERS)))
+
+
 def class_of(slots: np.ndarray) -> np.ndarray:
-    return np.where(slots <= SINGLES, slots, 1 + SINGLES + (slots - 1 - SINGLES) // MEMBERS)
+    return _CLASS[slots]
 
 
 def count_corpus(encoded: DataFrame) -> tuple[DataFrame, Vocabulary]:
@@ -236,7 +241,7 @@ def to_slots(encoded: DataFrame, totals: DataFrame, vocabulary: Vocabulary) -> D
 
 
 def start_weights(slot_tokens: np.ndarray) -> dict[str, np.ndarray]:
-    """Random weights; both softmaxes start at the classes' and places' own frequencies. Row SLOTS of x stands before the first token."""
+    """Random weights; both softmaxes start at the classes' and places' own frequencies. Row SLOTS of e stands before the first token."""
     rng = np.random.default_rng(SEED)
     classes = np.bincount(class_of(np.arange(SLOTS)), slot_tokens, CLASSES)
     places = slot_tokens[1 + SINGLES :].reshape(GROUPS, MEMBERS).astype(float)
@@ -244,7 +249,9 @@ def start_weights(slot_tokens: np.ndarray) -> dict[str, np.ndarray]:
     with np.errstate(divide="ignore"):
         inner = np.maximum(np.log(places / places.sum(axis=1, keepdims=True)), -30)
     return {
-        "x": rng.normal(0, 0.3, (SLOTS + 1, 3 * HIDDEN)).astype(np.float32),
+        "e": rng.normal(0, 0.5, (SLOTS + 1, INPUTS)).astype(np.float32),
+        "x": rng.normal(0, 0.2, (INPUTS, 3 * HIDDEN)).astype(np.float32),
+        "b": np.zeros(3 * HIDDEN, np.float32),
         "u": rng.normal(0, 0.2, (HIDDEN, 3 * HIDDEN)).astype(np.float32),
         "o": rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32),
         "k": np.log((classes + 1) / (classes.sum() + CLASSES)).astype(np.float32),
@@ -271,8 +278,8 @@ def streams(rows: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, np
         return
     lengths = np.array([len(rows[d]) for d in order])
     starts = np.cumsum(lengths) - lengths
-    flat, owner = np.concatenate([rows[d] for d in order]), np.repeat(order, lengths)
-    previous, on = np.concatenate(([SLOTS], flat[:-1])), np.ones(len(flat), np.float32)
+    flat, owner = np.concatenate([rows[d] for d in order]).astype(np.int32), np.repeat(np.array(order, np.int32), lengths)
+    previous, on = np.concatenate((flat[:1], flat[:-1])), np.ones(len(flat), np.float32)
     previous[starts], on[starts] = SLOTS, 0
     size = np.array([sum(len(rows[d]) for d in ds) for ds in dealt])
     offset = np.cumsum(size) - size
@@ -284,59 +291,83 @@ def streams(rows: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, np
         yield previous[at], flat[at], on[at], mask, owner[at]
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
-
-
 def _by_group(slots: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(group, positions, places) of the slots that belong to a group."""
-    kind = np.where(slots > SINGLES, (slots - 1 - SINGLES) // MEMBERS, GROUPS).astype(np.uint8)
+    kind = _CLASS[slots].astype(np.uint8)
     order = np.argsort(kind, kind="stable")
-    edge = np.searchsorted(kind[order], np.arange(GROUPS + 1))
+    edge = np.searchsorted(kind[order], np.arange(1 + SINGLES, CLASSES + 1))
     for g in range(GROUPS):
         if edge[g] < edge[g + 1]:
             at = order[edge[g] : edge[g + 1]]
             yield g, at, (slots[at] - 1 - SINGLES) % MEMBERS
 
 
-def _gates(w: dict[str, np.ndarray], before: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(w["x"][before].transpose(0, 2, 1))
+def run_streams(w: dict[str, np.ndarray], before: np.ndarray, going: np.ndarray, h: np.ndarray, room: gru.Room) -> Iterator[np.ndarray]:
+    """States after each step of one window (H x streams), zeroed first where a document begins; the way back finds in ``room`` what it needs."""
+    (steps, lanes), kind = before.shape, h.dtype
+    table, share, turn = (np.ascontiguousarray(w[k].T) for k in ("e", "x", "u"))
+    inputs, gates = room.array("inputs", (steps, INPUTS, lanes), kind), room.array("gates", (3 * HIDDEN, lanes), kind)
+    held, zr, new, inner, after = (room.array(k, (steps, n * HIDDEN, lanes), kind) for k, n in (("held", 1), ("zr", 2), ("new", 1), ("inner", 3), ("after", 1)))
+    for t in range(steps):
+        np.take(table, before[t], axis=1, out=inputs[t], mode="clip")
+        np.matmul(share, inputs[t], out=gates)
+        gates += w["b"][:, None]
+        np.multiply(h, going[t], out=held[t])
+        gru.stream_step(gates, held[t], turn, zr[t], new[t], inner[t], after[t])
+        h = after[t]
+        yield h
 
 
-def train_step(w: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, going: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+def train_step(w: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, going: np.ndarray, mask: np.ndarray, h: np.ndarray, room: gru.Room | None = None) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """Mean loss, gradients and last states (H x streams) of one window; the gradient stops at its start."""
-    steps, lanes = before.shape
-    states, kept = gru.stream_forward(_gates(w, before), h, w["u"], going)
-    flat, slots, on = states.transpose(0, 2, 1).reshape(-1, HIDDEN), target.ravel(), mask.ravel()
-    n = max(1, int(on.sum()))
-    scale = (on / n).astype(flat.dtype)
-    every, kind = np.arange(len(slots)), class_of(slots)
-    p = _softmax(flat @ w["o"] + w["k"])
-    loss = -float((np.log(p[every, kind] + 1e-12) * scale).sum())
-    p[every, kind] -= 1
-    p *= scale[:, None]
-    d_flat = p @ w["o"].T
-    d_v, d_m = np.zeros_like(w["v"]), np.zeros_like(w["m"])
-    for g, at, place in _by_group(np.where(on, slots, 0)):
-        own = flat[at]
-        q = _softmax(own @ w["v"][g] + w["m"][g])
-        here = np.arange(len(at))
+    room = gru.Room() if room is None else room
+    (steps, lanes), kind = before.shape, h.dtype
+    kinds, scale, lane = class_of(target), (mask / max(1, int(mask.sum()))).astype(kind), np.arange(lanes)
+    loss, out = 0.0, np.ascontiguousarray(w["o"].T)
+    g = {k: np.zeros_like(v) for k, v in w.items()}
+    flat, d_states, p = room.array("flat", (steps, lanes, HIDDEN), kind), room.array("d_states", (steps, HIDDEN, lanes), kind), room.array("p", (CLASSES, lanes), kind)
+    for t, h in enumerate(run_streams(w, before, going, h, room)):
+        flat[t] = h.T
+        np.matmul(out, h, out=p)
+        p += w["k"][:, None]
+        np.exp(p, out=p)
+        total = p.sum(axis=0)
+        loss -= float((np.log(p[kinds[t], lane] / total + 1e-12) * scale[t]).sum())
+        p *= scale[t] / total
+        p[kinds[t], lane] -= scale[t]
+        np.matmul(w["o"], p, out=d_states[t])
+        g["o"] += h @ p.T
+        g["k"] += p.sum(axis=1)
+    h = h.copy()
+    states, d_flat, scale = flat.reshape(-1, HIDDEN), room.array("d_flat", (steps * lanes, HIDDEN), kind), scale.ravel()
+    d_flat[:] = 0
+    for k, at, place in _by_group(np.where(mask, target, 0).ravel()):
+        own, here = states[at], np.arange(len(at))
+        q = own @ w["v"][k]
+        q += w["m"][k]
+        np.exp(q, out=q)
+        q /= (q @ np.ones(MEMBERS, q.dtype))[:, None]
         loss -= float((np.log(q[here, place] + 1e-12) * scale[at]).sum())
         q[here, place] -= 1
         q *= scale[at][:, None]
-        d_flat[at] += q @ w["v"][g].T
-        d_v[g], d_m[g] = own.T @ q, q.sum(axis=0)
-    d_states = np.ascontiguousarray(d_flat.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
-    d_gates, d_u = gru.stream_backward(d_states, kept, w["u"], going)
-    back, words = d_gates.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN), before.ravel()
+        d_flat[at] = q @ w["v"][k].T
+        g["v"][k], g["m"][k] = own.T @ q, q.sum(axis=0)
+    d_states += d_flat.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1)
+    d_h, d_inputs = np.zeros((HIDDEN, lanes), kind), room.array("d_inputs", (steps, lanes, INPUTS), kind)
+    d_gates, d_inner, spare = (room.array(k, (n * HIDDEN, lanes), kind) for k, n in (("d_gates", 3), ("d_inner", 3), ("spare", 1)))
+    for t in range(steps - 1, -1, -1):
+        d_h += d_states[t]
+        gru.stream_back(d_h, *(room[k][t] for k in ("held", "zr", "new", "inner")), w["u"], d_gates, d_inner, spare)
+        d_h *= going[t]
+        g["u"] += room["held"][t] @ d_inner.T
+        g["x"] += room["inputs"][t] @ d_gates.T
+        g["b"] += d_gates.sum(axis=1)
+        d_inputs[t] = (w["x"] @ d_gates).T
+    words = before.ravel()
     order = np.argsort(words.astype(np.uint16), kind="stable")
     edge = np.flatnonzero(np.concatenate(([True], words[order][1:] != words[order][:-1])))
-    d_x = np.zeros_like(w["x"])
-    d_x[words[order][edge]] = np.add.reduceat(back[order], edge)
-    return loss, {"x": d_x, "u": d_u, "o": flat.T @ p, "k": p.sum(axis=0), "v": d_v, "m": d_m}, states[-1]
+    g["e"][words[order][edge]] = np.add.reduceat(d_inputs.reshape(-1, INPUTS)[order], edge)
+    return loss, g, h
 
 
 def slabs(rows: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
@@ -355,11 +386,11 @@ def slabs(rows: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
 
 def train_on(w: dict[str, np.ndarray], rows: Iterable[np.ndarray], rate: float = RATE) -> dict[str, np.ndarray]:
     """One pass over documents, in LANES streams of whole documents; states run on from window to window."""
-    adam = gru.Adam(w, rate)
+    adam, room = gru.Adam(w, rate), gru.Room()
     for some in slabs(rows):
         h = np.zeros((HIDDEN, min(LANES, len(some))), np.float32)
         for before, target, going, mask, _ in streams(some, LANES):
-            _, grads, h = train_step(w, before, target, going, mask, h[:, : before.shape[1]])
+            _, grads, h = train_step(w, before, target, going, mask, h[:, : before.shape[1]], room)
             adam.update(w, grads)
     return w
 
@@ -370,11 +401,36 @@ def balanced(sequences: DataFrame, tokens: int) -> DataFrame:
     return dealt.sortWithinPartitions("doc_id", "n_tokens", "slots")
 
 
+def average(trained: DataFrame) -> DataFrame:
+    """(i, mean): weights averaged by size, from tasks' fixed-point vectors in parts (part, size, weights).
+
+    A part's vectors are added up as they stream by, so a task holds one vector for each part
+    it is dealt; whole numbers, so no order of addition shows.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, size, weights in zip(batch.column("part").to_pylist(), batch.column("size").to_pylist(), batch.column("weights"), strict=True):
+                vector = np.frombuffer(weights.as_py(), "<i4").astype(np.float64)
+                total = held.setdefault(part, [np.zeros(len(vector)), np.zeros(len(vector)), 0])
+                high = np.floor(vector * size / FIXED)
+                total[0] += high
+                total[1] += vector * size - high * FIXED
+                total[2] += size
+        for part, (high, low, size) in held.items():
+            n = len(high)
+            yield pa.RecordBatch.from_arrays([pa.array(part * PART + np.arange(n)), pa.array(high.astype(np.int64)), pa.array(low.astype(np.int64)), pa.array(np.full(n, size))], names=["i", "high", "low", "size"])
+
+    sums = trained.repartition("part").mapInArrow(add, "i long, high long, low long, size long")
+    return sums.select("i", ((F.col("high") + F.col("low") / F.lit(FIXED)) / F.col("size")).alias("mean"))
+
+
 def train(sequences: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """Weights averaged over tasks, by the tokens that each trained on, ROUNDS times; every training document is seen once.
 
-    Tasks read their documents as a stream. The averages are taken by a grouped aggregate of
-    whole numbers, so the driver gets one row per weight and no order of addition shows.
+    Tasks read their documents as a stream and send their weights in parts; the driver gets one
+    row per weight.
     """
     weights = start_weights(vocabulary.slot_tokens)
     source = sequences.where(~F.col("held_out"))
@@ -388,19 +444,18 @@ def train(sequences: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]
                 nonlocal size
                 for batch in batches:
                     for x in batch.column("slots"):
-                        row = np.frombuffer(x.as_py(), "<u2").astype(np.int64)
+                        row = np.frombuffer(x.as_py(), "<u2")
                         size += len(row)
                         yield row
 
             w = train_on({k: v.copy() for k, v in shared.value.items()}, documents(), RATE / (1 + turn))
             if size:
-                flat = np.rint(np.concatenate([w[k].ravel() for k in sorted(w)]).astype(np.float64) * FIXED).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), size))], names=["i", "weight", "size"])
+                flat = np.rint(np.concatenate([w[k].ravel() for k in sorted(w)]) * np.float64(FIXED)).astype("<i4")
+                parts = [flat[i : i + PART].tobytes() for i in range(0, len(flat), PART)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([size] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["part", "size", "weights"])
 
         chosen = balanced(source.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn), vocabulary.tokens // ROUNDS).select("slots")
-        share = F.col("weight").cast("decimal(19,0)") * F.col("size").cast("decimal(19,0)")
-        sums = chosen.mapInArrow(run, "i long, weight long, size long").groupBy("i").agg(F.sum(share).alias("total"), F.sum("size").alias("size"))
-        mean = sums.select("i", (F.col("total").cast("double") / F.col("size") / F.lit(FIXED)).alias("mean")).toArrow()
+        mean = average(chosen.mapInArrow(run, "part int, size long, weights binary")).toArrow()
         if not mean.num_rows:
             continue
         flat = np.zeros(mean.num_rows)
@@ -417,21 +472,28 @@ def score_rows(w: dict[str, np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
     """Log10 probability of each document's slots; states run on from window to window to its end."""
     out = np.zeros(len(rows))
     h = np.zeros((HIDDEN, min(LANES, len(rows))), np.float32)
+    last, room = np.ascontiguousarray(w["o"].T), gru.Room()
     for before, target, going, mask, document in streams(rows, LANES):
-        states, _ = gru.stream_forward(_gates(w, before), h[:, : before.shape[1]], w["u"], going)
-        h = states[-1]
-        flat, slots, on = states.transpose(0, 2, 1).reshape(-1, HIDDEN), target.ravel(), mask.ravel()
-        flat, slots = flat[on], slots[on]
-        logits = flat @ w["o"] + w["k"]
-        told = logits[np.arange(len(slots)), class_of(slots)].astype(np.float64)
-        np.exp(logits, out=logits)
-        told -= np.log(logits.sum(axis=1))
-        for g, at, place in _by_group(slots):
-            inner = flat[at] @ w["v"][g] + w["m"][g]
-            told[at] += inner[np.arange(len(at)), place]
+        steps, lanes = before.shape
+        kinds, lane = class_of(target), np.arange(lanes)
+        flat, told = room.array("flat", (steps, lanes, HIDDEN), h.dtype), np.empty((steps, lanes))
+        h, logits = h[:, :lanes].copy(), room.array("logits", (CLASSES, lanes), h.dtype)
+        for t, h in enumerate(run_streams(w, before, going, h, room)):
+            flat[t] = h.T
+            np.matmul(last, h, out=logits)
+            logits += w["k"][:, None]
+            told[t] = logits[kinds[t], lane]
+            np.exp(logits, out=logits)
+            told[t] -= np.log(logits.sum(axis=0))
+        flat, told = flat.reshape(-1, HIDDEN), told.ravel()
+        for k, at, place in _by_group(np.where(mask, target, 0).ravel()):
+            inner = flat[at] @ w["v"][k]
+            inner += w["m"][k]
+            chosen = inner[np.arange(len(at)), place]
             np.exp(inner, out=inner)
-            told[at] -= np.log(inner.sum(axis=1))
-        out += np.bincount(document.ravel()[on], told, len(rows))
+            told[at] += chosen - np.log(inner @ np.ones(MEMBERS, inner.dtype))
+        on = mask.ravel()
+        out += np.bincount(document.ravel()[on], told[on], len(rows))
     return out / np.log(10)
 
 
@@ -456,7 +518,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             while at < batch.num_rows:
                 to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLAB, "right")))
                 part = batch.slice(at, to - at)
-                scores = score_rows(shared.value, [np.frombuffer(x.as_py(), "<u2").astype(np.int64) for x in part.column("slots")])
+                scores = score_rows(shared.value, [np.frombuffer(x.as_py(), "<u2") for x in part.column("slots")])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(scores + part.column("within").to_numpy())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
                 at = to
 

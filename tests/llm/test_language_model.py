@@ -58,7 +58,7 @@ def plain_scores(w, rows):
     for row in rows:
         h, before, total = np.zeros(n), lm.SLOTS, 0.0
         for slot in row:
-            x, inner = w["x"][before], h @ w["u"]
+            x, inner = w["e"][before] @ w["x"] + w["b"], h @ w["u"]
             z, r = sigmoid(x[:n] + inner[:n]), sigmoid(x[n : 2 * n] + inner[n : 2 * n])
             h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * inner[2 * n :])
             logits = h @ w["o"] + w["k"]
@@ -109,7 +109,7 @@ def test_gradients():
     h = rng.normal(0, 0.5, (lm.HIDDEN, 3))
     _, g, _ = lm.train_step(w, before, target, going, mask, h)
     group, place = divmod(40 - 1 - lm.SINGLES, lm.MEMBERS)
-    for k, at in (("x", (int(before[0, 0]), 5)), ("x", (int(before[3, 1]), 60)), ("u", (2, 40)), ("u", (3, 70)), ("o", (3, 4)), ("k", (1 + lm.SINGLES,)), ("v", (group, 2, place)), ("m", (group, place))):
+    for k, at in (("e", (int(before[0, 0]), 5)), ("e", (int(before[3, 1]), 9)), ("x", (4, 60)), ("x", (7, 3)), ("b", (30,)), ("u", (2, 40)), ("u", (3, 70)), ("o", (3, 4)), ("k", (1 + lm.SINGLES,)), ("v", (group, 2, place)), ("m", (group, place))):
         keep, e = w[k][at], 1e-4
         w[k][at] = keep + e
         up = lm.train_step(w, before, target, going, mask, h)[0]
