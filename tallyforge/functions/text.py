@@ -9,8 +9,15 @@ from tallyforge.functions.money import MONEY
 
 #: Fixed value: currency amounts and percentages in prose.
 MONEY_TOKEN = r"[£$]-?\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?|\b\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?%"
+#: A number within such a token, and amounts with cents.
 NUMBER = r"-?\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?"
 CENTS = r"\b\d[\d,]*\.\d{2}\b"
+#: What stands before each field of a card statement, and how a due date is written.
+BALANCE_KEYS = [r"outstanding\s+balance", r"current\s+balance", r"new\s+balance", r"balance\s+to\s+pay", r"closing\s+balance"]
+RATE_KEYS = [r"annual\s+percentage\s+rate", r"\bAPR\b", r"effective\s+rate", r"interest\s+rate"]
+PAYMENT_KEYS = [r"minimum\s+payment", r"min(?:imum)?\s+amount\s+due"]
+DUE_KEYS = [r"payment\s+due\s+date", r"due\s+by", r"pay\s+by"]
+DUE_DATE = r"(\d{1,2}[\s/\-](?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*[\s/\-]\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})"
 
 
 def amount(c: str | Column) -> Column:
@@ -95,12 +102,11 @@ def credit_fields(md: str | Column) -> Column:
     """Struct of outstanding_balance, apr (a fraction), min_payment and payment_due_date (as written)."""
     md = F.col(md) if isinstance(md, str) else md
     money = r"£?\s*([\d,]+(?:\.\d{1,2})?)"
-    when = r"(\d{1,2}[\s/\-](?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*[\s/\-]\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})"
     number = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast("decimal(12,2)")
-    balance = _near(md, [r"outstanding\s+balance", r"current\s+balance", r"new\s+balance", r"balance\s+to\s+pay", r"closing\s+balance"], money)
-    rate = _near(md, [r"annual\s+percentage\s+rate", r"\bAPR\b", r"effective\s+rate", r"interest\s+rate"], r"(\d{1,2}(?:\.\d{1,2})?)\s*%")
-    least = _near(md, [r"minimum\s+payment", r"min(?:imum)?\s+amount\s+due"], money)
-    due = _near(md, [r"payment\s+due\s+date", r"due\s+by", r"pay\s+by"], when)
+    balance = _near(md, BALANCE_KEYS, money)
+    rate = _near(md, RATE_KEYS, r"(\d{1,2}(?:\.\d{1,2})?)\s*%")
+    least = _near(md, PAYMENT_KEYS, money)
+    due = _near(md, DUE_KEYS, DUE_DATE)
     return F.struct(number(balance).alias("outstanding_balance"), F.bround(rate.try_cast("decimal(8,4)") / 100, 4).cast("decimal(6,4)").alias("apr"), number(least).alias("min_payment"), F.trim(due).alias("payment_due_date"))
 
 

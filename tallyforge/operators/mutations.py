@@ -79,14 +79,18 @@ def unmatched(transactions: DataFrame, rules: DataFrame) -> DataFrame:
 def new_descriptions(descriptions: DataFrame, merchants: DataFrame, gram: int = 12) -> DataFrame:
     """Distinct descriptions that contain no merchant's name and aren't an alias.
 
-    Aliases match by an equi join. A name is looked up by its last ``gram`` characters (all of
-    a shorter one): descriptions are exploded to their substrings of those lengths, joined,
-    and the whole name is then checked, so no description meets every merchant. Empty
-    names match nothing.
+    Aliases match by an equi join. A name is looked up by that of its runs of ``gram`` characters
+    which the fewest names have (by all of a shorter one): descriptions are exploded to their
+    substrings of those lengths, joined, and the whole name is then checked, so a common
+    ending brings no description to every merchant. Empty names match nothing.
     """
     rest = descriptions.select("raw_description").distinct().join(merchants.select(F.explode("aliases").alias("raw_description")), "raw_description", "left_anti")
     size = F.least(F.length("_name"), F.lit(gram))
-    named = merchants.select(F.lower("canonical_name").alias("_name")).where("length(_name) > 0").distinct().select("_name", F.right("_name", size).alias("_g"), size.alias("_n"))
+    names = merchants.select(F.lower("canonical_name").alias("_name")).where("length(_name) > 0").distinct().withColumn("_n", size)
+    runs = F.transform(F.sequence(F.lit(1), F.length("_name") - F.col("_n") + 1), lambda i: F.substring(F.col("_name"), i, F.col("_n")))
+    parts = names.select("_name", "_n", F.explode(F.array_distinct(runs)).alias("_g"))
+    common = parts.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"))
+    named = parts.join(common, "_g").groupBy("_name", "_n").agg(F.min_by("_g", F.struct("_c", "_g")).alias("_g"))
     sizes = [r["_n"] for r in named.select("_n").distinct().orderBy("_n").collect()]  # at most ``gram`` rows
     if not sizes:
         return rest
@@ -102,15 +106,16 @@ def merge_merchant(transactions: DataFrame, merchants: DataFrame, source: str, t
     """Transactions repointed from source to target, and merchants without the source, its name and aliases gone to the target."""
     if source == target:
         raise ValueError("source and target are one merchant")
-    present = {r["id"] for r in merchants.where(F.col("id").isin(source, target)).select("id").limit(2).collect()}
+    found = merchants.where(F.col("id").isin(source, target)).select("id", "canonical_name", "aliases").limit(2).collect()
+    present = {r["id"]: [*(r["aliases"] or []), r["canonical_name"]] for r in found}
     for m in (source, target):
         if m not in present:
             raise KeyError(m)
     moved = transactions.withColumn("merchant_id", F.when(F.col("merchant_id") == source, F.lit(target)).otherwise(F.col("merchant_id")))
-    given = merchants.where(F.col("id") == source).select(F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.array("canonical_name")).alias("_given"))
-    kept = merchants.where(F.col("id") != source).join(given)
-    union = F.sort_array(F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), "_given"))
-    return moved, kept.withColumn("aliases", F.when(F.col("id") == target, union).otherwise(F.col("aliases"))).drop("_given")
+    kept = merchants.where(F.col("id") != source)
+    given = F.array(*(F.lit(x) for x in dict.fromkeys(present[source]))).cast("array<string>")
+    union = F.sort_array(F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), given))
+    return moved, kept.withColumn("aliases", F.when(F.col("id") == target, union).otherwise(F.col("aliases")))
 
 
 def merge_preview(transactions: DataFrame, source: str) -> DataFrame:
@@ -145,10 +150,18 @@ def redirect(df: DataFrame, redirects: DataFrame, column: str = "merchant_id") -
 
 
 def allocate_ids(existing: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, name) of names that are new, numbered on from the largest id in name order."""
+    """(id, name) of names that are new, numbered on from the largest id in name order.
+
+    Names are dealt by range and numbered within each range, on from the sizes of the ranges
+    before it; the ranges are kept, since sampling them anew might cut elsewhere.
+    """
     fresh = names.select("name").distinct().join(existing.select("name"), "name", "left_anti")
+    cut = fresh.repartitionByRange("name").withColumn("_p", F.spark_partition_id()).persist()
+    sizes = cut.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    return fresh.withColumn("_k", F.row_number().over(Window.orderBy("name"))).join(F.broadcast(top)).select((F.col("_top") + F.col("_k")).cast("int").alias("id"), "name")
+    numbered = cut.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("name")))
+    return numbered.join(F.broadcast(starts), F.col("_p") == F.col("_q")).join(F.broadcast(top)).select((F.col("_top") + F.col("_start") + F.col("_k")).cast("int").alias("id"), "name")
 
 
 def set_status(pages: DataFrame, changes: DataFrame) -> DataFrame:

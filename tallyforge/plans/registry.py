@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import periods, pii, text
 from tallyforge.functions.money import MONEY
-from tallyforge.operators import advisor, anomalies, budgets, debt, forecast, graph, guard, memo, mutations, net_worth, replay, search, spending, statements
+from tallyforge.operators import advisor, anomalies, budgets, debt, forecast, graph, guard, matchers, memo, mutations, net_worth, replay, search, spending, statements
 from tallyforge.sources import ledger
 from tallyforge.streaming import arrivals
 
@@ -605,23 +605,45 @@ def _(s, d):
     return guard.reconcile(tx(s, d, "date", "amount", "merchant_id"), date(1997, 3, 1), date(1997, 4, 1), "342.18", merchant_id="m_3")
 
 
-@query("q7_replay", """WITH asks AS (SELECT event_id AS decision_id, ts AS cutoff FROM events WHERE event_id % 500 = 0)
-SELECT CAST(decision_id AS VARCHAR) AS decision_id, (SELECT COUNT(*) FROM events e WHERE e.ts <= cutoff) AS live_pages, (SELECT COUNT(*) FROM events e WHERE e.ts < cutoff AND event_type = 'purchase') AS prior_decisions, decision_id % 1000 = 0 AND decision_id > 0 AS drift FROM asks""", prefix=False)
-def _(s, d):
+REPLAYED = """WITH counted AS (
+  SELECT event_id, event_type, COUNT(*) OVER (ORDER BY ts RANGE UNBOUNDED PRECEDING) AS live_pages,
+         CAST(SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (ORDER BY ts RANGE UNBOUNDED PRECEDING) - SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY ts) AS BIGINT) AS prior_decisions FROM events)
+SELECT CAST(event_id AS VARCHAR) AS decision_id, live_pages, prior_decisions, event_id % 1000 = 0 AND event_id > 0 AS drift FROM counted"""
+
+
+def replayed(s, d, asked):
     events = ledger.read(s, d, "events")
     log = events.select("ts", F.when(F.col("event_type") == "purchase", "Decision").otherwise("Page").alias("type"), F.lit("now").alias("fingerprint"))
     recorded = F.when(F.col("event_id") == 0, "").when(F.col("event_id") % 1000 == 0, "then").otherwise("now")
-    asks = events.where("event_id % 500 = 0").select(F.col("event_id").cast("string").alias("decision_id"), F.col("ts").alias("cutoff"), recorded.alias("recorded"))
+    asks = events.where(asked).select(F.col("event_id").cast("string").alias("decision_id"), F.col("ts").alias("cutoff"), recorded.alias("recorded"))
     return replay.replay(log, asks)
 
 
-@query("q7_replay_decisions")
+@query("q7_replay", REPLAYED, prefix=False)
 def _(s, d):
-    events = ledger.read(s, d, "events")
-    log = events.select("ts", F.when(F.col("event_type") == "purchase", "Decision").otherwise("Page").alias("type"), F.lit("now").alias("fingerprint"))
-    recorded = F.when(F.col("event_id") == 0, "").when(F.col("event_id") % 1000 == 0, "then").otherwise("now")
-    asks = events.where("event_type = 'purchase'").select(F.col("event_id").cast("string").alias("decision_id"), F.col("ts").alias("cutoff"), recorded.alias("recorded"))
-    return replay.replay(log, asks)
+    return replayed(s, d, "true")
+
+
+@query("q7_replay_decisions", f"{REPLAYED} WHERE event_type = 'purchase'", prefix=False)
+def _(s, d):
+    return replayed(s, d, "event_type = 'purchase'")
+
+
+@query("x30_assertions", """WITH e AS (SELECT event_type AS suite, props, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events),
+p AS (SELECT suite, 'about_five' AS check_name, ABS(k - 5) <= 0.05 AS passed FROM e UNION ALL SELECT suite, 'at_least_three', k >= 3 FROM e UNION ALL SELECT suite, 'is_two', k = 2 FROM e
+  UNION ALL SELECT suite, 'digit_seven', CONTAINS(json_extract_string(props, '$.k'), '7') FROM e UNION ALL SELECT suite, 'low', REGEXP_MATCHES(json_extract_string(props, '$.k'), '^[0-4]$') FROM e)
+SELECT suite, check_name, COUNT(*) AS total, CAST(SUM(CASE WHEN passed THEN 1 ELSE 0 END) AS BIGINT) AS passed FROM p GROUP BY suite, check_name""", prefix=False)
+def _(s, d):
+    props = F.col("props")
+    checks = {
+        "about_five": matchers.numeric_field(props, "k", "approx", 5.0),
+        "at_least_three": matchers.numeric_field(props, "k", "gte", 3.0),
+        "is_two": matchers.field_equals(props, "k", "2"),
+        "digit_seven": matchers.contains_substring(props, "k", "7"),
+        "low": matchers.regex_match(props, "k", "^[0-4]$"),
+    }
+    found = matchers.assertions(ledger.read(s, d, "events"), F.col("event_type"), checks)
+    return replay.suite_summary(found.withColumn("suite", F.struct("suite", "check_name"))).select("suite.suite", "suite.check_name", "total", "passed")
 
 
 @query("a17_table_counts", "SELECT 'accounts' AS table_name, COUNT(*) AS n FROM customer UNION ALL SELECT 'merchants', COUNT(*) FROM supplier UNION ALL SELECT 'transactions', COUNT(*) FROM lineitem", prefix=False)
@@ -629,9 +651,18 @@ def _(s, d):
     return replay.table_counts({"accounts": ledger.accounts(s, d), "merchants": ledger.merchants(s, d), "transactions": tx(s, d, "merchant_id")})
 
 
+@query("r2_budget_adjust", f"WITH {VARIANCE} SELECT 'budget_adjust' AS kind, id AS citation, CAST(actual AS VARCHAR) || ',' || CAST(target AS VARCHAR) AS cited FROM variances WHERE status = 'over' AND delta_pct >= 0.2")
+def _(s, d):
+    return cited(advisor.budget_adjust(variances(s, d), PERIOD), 2)
+
+
+def cited(drafts: DataFrame, n: int) -> DataFrame:
+    """A draft's kind, its citations and the first ``n`` values it cites."""
+    return advisor.recommendations([drafts], PERIOD).select("kind", F.array_join("citations", ",").alias("citation"), F.array_join(F.slice("cited_values", 1, n), ",").alias("cited"))
+
+
 @query("r_recommendations", f"""WITH {VARIANCE}
-SELECT 'budget_adjust' AS kind, id AS citation, CAST(actual AS VARCHAR) || ',' || CAST(target AS VARCHAR) AS cited FROM variances WHERE status = 'over' AND delta_pct >= 0.2
-UNION ALL SELECT 'goal_off_track', 'g4', '0.00,900000000.00' WHERE FALSE""")
+SELECT 'budget_adjust' AS kind, id AS citation, CAST(actual AS VARCHAR) || ',' || CAST(target AS VARCHAR) AS cited FROM variances WHERE status = 'over' AND delta_pct >= 0.2""")
 def _(s, d):
     drafts = advisor.recommendations([advisor.budget_adjust(variances(s, d), PERIOD)], PERIOD)
     return drafts.select("kind", F.array_join("citations", ",").alias("citation"), F.array_join(F.slice("cited_values", 1, 2), ",").alias("cited"))

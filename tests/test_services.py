@@ -220,6 +220,39 @@ def test_arrivals(spark, tmp_path):
     assert run().count() == 3
 
 
+def test_overlapping_statements_are_stored_once(spark, tmp_path):
+    """Two months' files of one account share a transaction; the same month of another account is its own."""
+    row = "2025-04-0{}  SHOP   4.50   100.00\n"
+    for folder, name, days in (("savings", "2025_04.md", (1, 2)), ("savings", "2025_05.md", (2, 3)), ("joint", "2025_04.md", (1,))):
+        (tmp_path / "in" / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / folder / name).write_text("".join(map(row.format, days)))
+    q = arrivals.start_ingest(spark, str(tmp_path / "in"), str(tmp_path / "ledger"), str(tmp_path / "state"))
+    q.awaitTermination(120)
+    assert q.exception() is None
+    got = spark.read.parquet(str(tmp_path / "ledger" / "transactions")).collect()
+    assert sorted((r.account_id, r.date.day) for r in got) == [("acct_joint", 1), ("acct_savings", 1), ("acct_savings", 2), ("acct_savings", 3)]
+    assert {r.statement_id for r in got} <= {"stmt_joint_2025_04", "stmt_savings_2025_04", "stmt_savings_2025_05"}
+
+
+def test_matchers(spark):
+    from tallyforge.operators import matchers as m
+
+    rows = [('{"a": {"b": [{"c": 4.02}]}, "kinds": ["x1", "y"], "body": "## Top\\ntext"}', ["p", "q"]), ('{"a": 3}', None), (None, [])]
+    d = spark.createDataFrame(rows, "r string, citations array<string>")
+    r = F.col("r")
+    made = [m.numeric_field(r, "a.b[0].c", "approx", 4.0), m.numeric_field(r, "a", "lt", 5), m.regex_match(r, "kinds", "^y$|x1"), m.list_length(r, "kinds", 2), m.contains_substring(r, "body", "text"), m.section_present(m.resolve(r, "body"), "Top"), m.citation_count_gte(F.col("citations"), 2), m.field_equals(r, "a", "3")]
+    got = [tuple(x) for x in d.select(*made).collect()]
+    assert got == [(True, False, True, True, True, True, True, False), (False, True, False, False, False, False, False, True), (False,) * 8]
+    assert m.returns_row(d.selectExpr("1 a", "'k' b"), [1, "k"]) and not m.returns_row(d.where("false"), [1])
+
+
+def test_names_that_end_alike(spark):
+    names = [(f"{w} Services Limited", []) for w in ("Alpha", "Beta", "Gamma")]
+    merchants = spark.createDataFrame(names, "canonical_name string, aliases array<string>")
+    said = spark.createDataFrame([("to BETA services limited 9",), ("Delta Services Limited",), ("alpha services limite",)], "raw_description string")
+    assert sorted(r[0] for r in mutations.new_descriptions(said, merchants).collect()) == ["Delta Services Limited", "alpha services limite"]
+
+
 def test_event_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "ev"))
