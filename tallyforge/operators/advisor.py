@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.functions.money import MONEY
-from tallyforge.operators import debt
+from tallyforge.operators import debt, net_worth
 
 #: Names that say nothing about a merchant.
 GENERIC_NAMES = ["Other", "Unknown", "Name", "Direct Debit", "X"]
@@ -76,8 +76,7 @@ def forecast_overshoot(forecasts: DataFrame, variances: DataFrame, over: float =
 def net_worth_decline(snapshots: DataFrame, period: str) -> DataFrame:
     """When the latest three snapshots up to ``period`` fell twice."""
     c = F.col
-    latest = snapshots.where(c("period") <= period).select("period", "total_amount").orderBy(F.desc("period")).limit(3)
-    row = latest.agg(F.sort_array(F.collect_list(F.struct("period", "total_amount")), asc=False).alias("h")).where(F.size("h") == 3)
+    row = net_worth.latest(snapshots, period).agg(F.sort_array(F.collect_list(F.struct("period", "total_amount")), asc=False).alias("h")).where(F.size("h") == 3)
     now, one, two = (c("h")[i]["total_amount"] for i in range(3))
     body = _text("## Net worth fell twice\n\nIn %s it was £%s, after £%s and £%s.", c("h")[0]["period"], now, one, two)
     cite = [F.concat(F.lit("snap_"), c("h")[i]["period"]) for i in range(3)]

@@ -35,6 +35,11 @@ def budget_variance(budgets: DataFrame, spent: DataFrame, period: str, tolerance
     return out.select("id", "scope_type", "scope_id", "target", "actual", "delta", "delta_pct", status.alias("status"))
 
 
+def with_variance(budgets: DataFrame, variances: DataFrame) -> DataFrame:
+    """All budgets, those of other months without actual, delta, delta_pct and status."""
+    return budgets.join(variances.select("id", "actual", "delta", "delta_pct", "status"), "id", "left")
+
+
 def goal_progress(goals: DataFrame, transactions: DataFrame, period: str, tolerance: float = 0.05) -> DataFrame:
     """All goals at a month's end in one job: each sums its own scope over its own span.
 

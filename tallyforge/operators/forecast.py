@@ -20,6 +20,12 @@ def monthly_series(history: DataFrame, by: str, last: str, lookback: int) -> Dat
     return inside.select(by, F.transform(spine, lambda m: F.coalesce(F.try_element_at("_m", m), F.lit(0.0))).alias("values"))
 
 
+def of_largest(history: DataFrame, by: str, period: str, n: int = 8) -> DataFrame:
+    """The history of the ``n`` series with the largest totals in ``period``."""
+    largest = history.where(F.col("period") == period).orderBy(F.desc("total"), by).limit(n)
+    return history.join(largest.select(by), by, "left_semi")
+
+
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -41,6 +42,12 @@ def missing_periods(memos: DataFrame, first: str, last: str) -> DataFrame:
     return months.join(memos.select("period").distinct(), "period", "left_anti")
 
 
+def backfill(memos: DataFrame, first: str, last: str, render_month: Callable[[str], DataFrame]) -> DataFrame | None:
+    """The memos (period, body_md) of the months from first to last that have none, None if all have one."""
+    months = [r.period for r in missing_periods(memos, first, last).orderBy("period").collect()]
+    return reduce(DataFrame.unionByName, map(render_month, months)) if months else None
+
+
 def multimap(links: DataFrame, key: str, value: str) -> DataFrame:
     """(key, values): the distinct values of each key, sorted."""
     return links.where(F.col(value).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("values"))

@@ -43,6 +43,11 @@ def month_over_month(current: DataFrame, stored: DataFrame) -> DataFrame:
     return current.select("period", "total_amount").join(before, "period", "left").select("period", "total_amount", "previous", delta.alias("delta"), ratio(delta, F.col("previous")).alias("delta_pct"))
 
 
+def latest(snapshots: DataFrame, period: str, n: int = 3) -> DataFrame:
+    """The last ``n`` snapshots up to ``period``, newest first."""
+    return snapshots.where(F.col("period") <= period).select("period", "total_amount").orderBy(F.desc("period")).limit(n)
+
+
 def lagged(snapshots: DataFrame) -> DataFrame:
     """Change against the snapshot before, whatever its month."""
     before = F.lag("total_amount").over(Window.orderBy("period"))

@@ -132,16 +132,23 @@ def patterns(s, d):
     return anomalies.derive_patterns(tx(s, d, "date", "amount", "merchant_id"), "1996_01", "1996_12")
 
 
-@query("a7_subscription_drift", f"""WITH {PATTERNS}
-SELECT t.id AS transaction_id, t.merchant_id, amount, expected_amount,
-       ROUND(ABS(CAST(ABS(amount) AS DOUBLE) - CAST(expected_amount AS DOUBLE)) / CAST(expected_amount AS DOUBLE), 6) AS delta_pct
-FROM tx t JOIN expecting e ON e.merchant_id = t.merchant_id WHERE {INSIDE}
-  AND ROUND(ABS(CAST(ABS(amount) AS DOUBLE) - CAST(expected_amount AS DOUBLE)) / CAST(expected_amount AS DOUBLE), 6) > 0.05""")
-def _(s, d):
+DRIFT = f"""{PATTERNS},
+drift AS (
+  SELECT t.id AS transaction_id, t.merchant_id, amount, expected_amount,
+         ROUND(ABS(CAST(ABS(amount) AS DOUBLE) - CAST(expected_amount AS DOUBLE)) / CAST(expected_amount AS DOUBLE), 6) AS delta_pct
+  FROM tx t JOIN expecting e ON e.merchant_id = t.merchant_id WHERE {INSIDE})"""
+
+
+def drift(s, d):
     charges = tx(s, d, "id", "date", "amount", "merchant_id").select("id", "date", "amount", F.concat(F.lit("p_"), "merchant_id").alias("pattern_id"))
     return anomalies.subscription_drift(charges, patterns(s, d), PERIOD)
 
 
+@query("a7_subscription_drift", f"WITH {DRIFT} SELECT * FROM drift WHERE delta_pct > 0.05")
+def _(s, d):
+    return drift(s, d)
+
+
 @query("m8_link_patterns", f"""WITH {PATTERNS}
 SELECT t.id, CASE WHEN ABS(ABS(amount) - expected_amount) <= 0.05 * expected_amount THEN e.id END AS pattern_id
 FROM tx t LEFT JOIN expecting e ON e.merchant_id = t.merchant_id""")
@@ -192,6 +199,11 @@ def _(s, d):
     return net_worth.lagged(net_worth.monthly_totals(tx(s, d, "date", "amount")))
 
 
+@query("l5_latest_snapshots", f"WITH {MONTHLY} SELECT * FROM monthly WHERE period <= '{PERIOD}' ORDER BY period DESC LIMIT 3")
+def _(s, d):
+    return net_worth.latest(net_worth.monthly_totals(tx(s, d, "date", "amount")), PERIOD)
+
+
 @query("w5_declines", f"""WITH {MONTHLY}, l AS (SELECT *, LAG(total_amount, 1) OVER (ORDER BY period) AS a, LAG(total_amount, 2) OVER (ORDER BY period) AS b FROM monthly)
 SELECT period, total_amount, CAST(total_amount - b AS DECIMAL(18,2)) AS fall FROM l WHERE total_amount < a AND a < b""")
 def _(s, d):
@@ -223,6 +235,11 @@ def _(s, d):
     return variances(s, d)
 
 
+@query("j17_budgets_with_variances", f"WITH {VARIANCE} SELECT b.id, b.period, b.target_amount, v.actual, v.delta, v.status FROM budgets b LEFT JOIN variances v ON v.id = b.id")
+def _(s, d):
+    return budgets.with_variance(budget_rows(s), variances(s, d)).select("id", "period", "target_amount", "actual", "delta", "status")
+
+
 GOAL_ROWS = [("g1", "Save", "50000.00", "1998-12-31", "savings_account", "acct_1", "active", "1996-01-01"), ("g2", "Cap", "90000000.00", "1997-12-31", "category_underspend", "economy", "active", "1997-01-01"), ("g3", "Done", "1.00", "1997-01-31", "savings_account", "acct_2", "achieved", "1996-01-01"), ("g4", "Late", "900000000.00", "1997-03-31", "savings_account", "acct_3", "active", "1996-06-15"), ("g5", "Debt", "5000.00", "1999-01-01", "debt_payoff", "x", "active", None), ("g6", "Past", "10.00", "1996-01-01", "custom", "x", "active", "1997-01-01")]
 
 
@@ -238,7 +255,7 @@ def goals(s, d):
 _GOALS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in g) + ")" for g in GOAL_ROWS)
 
 
-@query("gp2_goal_progress", f"""WITH goals AS (SELECT id, CAST(t AS DECIMAL(18,2)) AS target, CAST(d AS DATE) AS due, scope_type, scope_id, status, COALESCE(CAST(f AS DATE), DATE '1997-03-31') AS since
+GOALS = f"""goals AS (SELECT id, CAST(t AS DECIMAL(18,2)) AS target, CAST(d AS DATE) AS due, scope_type, scope_id, status, COALESCE(CAST(f AS DATE), DATE '1997-03-31') AS since
   FROM (VALUES {_GOALS}) AS v(id, name, t, d, scope_type, scope_id, status, f) WHERE status = 'active'),
 sums AS (SELECT g.id, SUM(amount) AS net, SUM(ABS(amount)) AS spent FROM goals g JOIN tx ON date BETWEEN since AND DATE '1997-03-31' AND ((scope_type = 'savings_account' AND account_id = scope_id) OR (scope_type = 'category_underspend' AND category = scope_id)) GROUP BY g.id),
 a AS (SELECT g.*, CAST(CASE scope_type WHEN 'savings_account' THEN GREATEST(COALESCE(net, 0), 0) WHEN 'category_underspend' THEN GREATEST(target - COALESCE(spent, 0), 0) ELSE 0 END AS DECIMAL(18,2)) AS current,
@@ -246,9 +263,12 @@ a AS (SELECT g.*, CAST(CASE scope_type WHEN 'savings_account' THEN GREATEST(COAL
   CAST(CASE WHEN DATE '1997-03-31' < since THEN 0 ELSE (1997 - YEAR(since)) * 12 + 3 - MONTH(since) + 1 END AS INTEGER) AS run FROM goals g LEFT JOIN sums USING (id)),
 b AS (SELECT *, LEAST(run, months_total) AS months_elapsed, CASE WHEN target > 0 THEN ROUND(CAST(current AS DOUBLE) / CAST(target AS DOUBLE), 6) ELSE 0.0 END AS pct FROM a),
 c AS (SELECT *, CASE WHEN months_total > 0 THEN ROUND(CAST(months_elapsed AS DOUBLE) / months_total, 6) ELSE 1.0 END AS expected_pct,
-  CAST(CASE WHEN months_total > months_elapsed THEN ROUND_EVEN(CAST(target - current AS DOUBLE) / (months_total - months_elapsed), 2) ELSE 0 END AS DECIMAL(18,2)) AS monthly_required FROM b)
-SELECT id, scope_type, scope_id, target, current, months_total, months_elapsed, pct, expected_pct, monthly_required,
-  CASE WHEN current >= target THEN 'achieved' WHEN months_elapsed >= months_total THEN 'missed' WHEN ABS(ROUND(pct - expected_pct, 6)) <= 0.05 THEN 'on_track' WHEN pct > expected_pct THEN 'ahead' ELSE 'behind' END AS progress FROM c""")
+  CAST(CASE WHEN months_total > months_elapsed THEN ROUND_EVEN(CAST(target - current AS DOUBLE) / (months_total - months_elapsed), 2) ELSE 0 END AS DECIMAL(18,2)) AS monthly_required FROM b),
+progressed AS (SELECT id, scope_type, scope_id, target, current, months_total, months_elapsed, pct, expected_pct, monthly_required,
+  CASE WHEN current >= target THEN 'achieved' WHEN months_elapsed >= months_total THEN 'missed' WHEN ABS(ROUND(pct - expected_pct, 6)) <= 0.05 THEN 'on_track' WHEN pct > expected_pct THEN 'ahead' ELSE 'behind' END AS progress FROM c)"""
+
+
+@query("gp2_goal_progress", f"WITH {GOALS} SELECT * FROM progressed")
 def _(s, d):
     return goals(s, d)
 
@@ -283,18 +303,30 @@ def _(s, d):
     return _steps(_forecasts(s, d, 4))
 
 
-@query("n2_holt_forecast", f"""WITH {_spine(12)},
+HOLT = f"""{_spine(12)},
 holt AS (
   SELECT a.category, 1 AS i, 0.5 * b.y + 0.5 * b.y AS level, 0.2 * (b.y - a.y) + 0.8 * (b.y - a.y) AS trend, CAST(0 AS DOUBLE) AS sse FROM series a JOIN series b ON b.category = a.category AND a.i = 0 AND b.i = 1
   UNION ALL
   SELECT h.category, h.i + 1, 0.5 * s.y + 0.5 * (level + trend), 0.2 * (0.5 * s.y + 0.5 * (level + trend) - level) + 0.8 * trend, sse + (s.y - level - trend) * (s.y - level - trend)
-  FROM holt h JOIN series s ON s.category = h.category AND s.i = h.i + 1)
+  FROM holt h JOIN series s ON s.category = h.category AND s.i = h.i + 1)"""
+
+
+@query("n2_holt_forecast", f"""WITH {HOLT}
 SELECT category, 'holt' AS method, CAST(k AS INTEGER) AS k, ROUND(GREATEST(level + (k + 1) * trend, 0.0), 6) AS forecast, ROUND(SQRT(sse / 11), 6) AS rmse, ROUND(mean, 6) AS monthly_average
 FROM holt JOIN means USING (category) CROSS JOIN RANGE(3) r(k) WHERE i = 11""", recursive=True)
 def _(s, d):
     return _steps(_forecasts(s, d, 12))
 
 
+@query("l3_top_forecasts", f"""WITH {HOLT},
+largest AS (SELECT category FROM totals WHERE period = '{PERIOD}' ORDER BY total DESC, category LIMIT 4)
+SELECT category, CAST(k AS INTEGER) AS k, ROUND(GREATEST(level + (k + 1) * trend, 0.0), 6) AS forecast FROM holt JOIN largest USING (category) CROSS JOIN RANGE(3) r(k) WHERE i = 11""", recursive=True)
+def _(s, d):
+    history = spending.category_history(tx(s, d, "date", "amount", "category_id"), ledger.categories(s))
+    series = forecast.monthly_series(forecast.of_largest(history, "category", PERIOD, 4), "category", LAST, 12)
+    return _steps(forecast.forecast(series, LAST)).select("category", "k", "forecast")
+
+
 @query("n3_seasonal_forecast", f"""WITH {_spine(24)},
 err AS (SELECT b.category, SQRT(AVG((b.y - a.y) * (b.y - a.y))) AS rmse FROM series a JOIN series b ON a.category = b.category AND b.i = a.i + 12 GROUP BY b.category)
 SELECT category, 'seasonal_naive' AS method, CAST(i - 12 AS INTEGER) AS k, ROUND(y, 6) AS forecast, ROUND(rmse, 6) AS rmse, ROUND(mean, 6) AS monthly_average
@@ -313,14 +345,19 @@ def _(s, d):
 
 LOAN_ROWS = [("l1", "1200.00", "0.0", "100.00"), ("l2", "2400.00", "0.199", "75.00"), ("l3", "10000.00", "0.24", "100.00"), ("l4", "0.00", "0.1", "10.00"), ("l5", "523.17", "0.349", "20.00"), ("l6", "99999.99", "0.051", "555.55")]
 LOANS = "loans AS (SELECT id, CAST(o AS DECIMAL(18,2)) AS outstanding, CAST(CAST(a AS DECIMAL(10,6)) / 12.0 AS DOUBLE) AS rate, CAST(p AS DECIMAL(18,2)) AS payment FROM (VALUES " + ", ".join(str(x) for x in LOAN_ROWS) + ") AS v(id, o, a, p))"
-SCHEDULE = f"""{LOANS},
-steps AS (
-  SELECT id, 0 AS month, rate, payment, CAST(0 AS DECIMAL(18,2)) AS interest, CAST(0 AS DECIMAL(18,2)) AS principal, outstanding AS balance FROM loans WHERE outstanding > 0 AND payment > 0 AND CAST(outstanding AS DOUBLE) * rate < CAST(payment AS DOUBLE)
+
+
+def _schedule(name, source):
+    return f"""{name} AS (
+  SELECT id, 0 AS month, rate, payment, CAST(0 AS DECIMAL(18,2)) AS interest, CAST(0 AS DECIMAL(18,2)) AS principal, outstanding AS balance FROM {source} WHERE outstanding > 0 AND payment > 0 AND CAST(outstanding AS DOUBLE) * rate < CAST(payment AS DOUBLE)
   UNION ALL
   SELECT id, month + 1, rate, payment, CAST(ROUND_EVEN(CAST(balance AS DOUBLE) * rate, 2) AS DECIMAL(18,2)),
          CAST(LEAST(payment - CAST(ROUND_EVEN(CAST(balance AS DOUBLE) * rate, 2) AS DECIMAL(18,2)), balance) AS DECIMAL(18,2)),
          CAST(balance - LEAST(payment - CAST(ROUND_EVEN(CAST(balance AS DOUBLE) * rate, 2) AS DECIMAL(18,2)), balance) AS DECIMAL(18,2))
-  FROM steps WHERE balance > 0.01 AND month < 600)"""
+  FROM {name} WHERE balance > 0.01 AND month < 600)"""
+
+
+SCHEDULE = f"{LOANS},\n{_schedule('steps', 'loans')}"
 
 
 def loans(s):
@@ -661,6 +698,55 @@ def cited(drafts: DataFrame, n: int) -> DataFrame:
     return advisor.recommendations([drafts], PERIOD).select("kind", F.array_join("citations", ",").alias("citation"), F.array_join(F.slice("cited_values", 1, n), ",").alias("cited"))
 
 
+@query("r1_subscription_cancel", f"WITH {DRIFT} SELECT 'subscription_cancel' AS kind, merchant_id AS citation, CAST(amount AS VARCHAR) || ',' || CAST(expected_amount AS VARCHAR) AS cited FROM drift WHERE delta_pct >= 0.5")
+def _(s, d):
+    return cited(advisor.subscription_cancel(drift(s, d), PERIOD), 2)
+
+
+@query("r3_goal_off_track", f"""WITH {GOALS}
+SELECT 'goal_off_track' AS kind, id AS citation, CONCAT_WS(',', current, target, monthly_required, months_elapsed, months_total, GREATEST(months_total - months_elapsed, 1)) AS cited
+FROM progressed WHERE progress IN ('behind', 'missed')""")
+def _(s, d):
+    return cited(advisor.goal_off_track(goals(s, d)), 6)
+
+
+@query("r4_anomaly_investigate", f"WITH {HISTORY} SELECT 'anomaly_investigate' AS kind, merchant_id AS citation, CAST(this_total AS VARCHAR) AS cited FROM scored WHERE ABS(z_score) >= 3")
+def _(s, d):
+    return cited(advisor.anomaly_investigate(anomalies.merchant_outliers(tx(s, d, "date", "amount", "merchant_id"), PERIOD), PERIOD), 1)
+
+
+def cards(s):
+    return loans(s).select("id", F.concat(F.lit("acct_"), "id").alias("account_id"), "outstanding", "apr", F.col("payment").alias("min_payment"))
+
+
+@query("r5_credit_payoff_accelerate", f"""WITH RECURSIVE {SCHEDULE},
+slow AS (SELECT id, MAX(month) AS months, SUM(interest) AS interest FROM steps GROUP BY id HAVING MAX(month) >= 24),
+half AS (SELECT l.*, months, interest, GREATEST(months // 2, 12) AS aim FROM loans l JOIN slow USING (id) WHERE ROUND(rate * 12, 6) >= 0.1),
+sped AS (SELECT id, outstanding, rate, CAST(ROUND_EVEN(CAST(outstanding AS DOUBLE) * rate / (1 - POW(1 + rate, -aim)), 2) AS DECIMAL(18,2)) AS payment FROM half),
+{_schedule("faster", "sped")}
+SELECT 'credit_payoff_accelerate' AS kind, 'acct_' || h.id || ',' || h.id AS citation,
+       CONCAT_WS(',', h.outstanding, h.payment, s.payment, h.interest, CAST(f.interest AS DECIMAL(18,2)), months, aim) AS cited
+FROM half h JOIN sped s USING (id) JOIN (SELECT id, SUM(interest) AS interest FROM faster GROUP BY id) f USING (id)""", prefix=False)
+def _(s, d):
+    return cited(advisor.credit_payoff_accelerate(cards(s)), 7)
+
+
+@query("r6_forecast_overshoot", f"""WITH {VARIANCE}, {HOLT},
+ahead AS (SELECT category, SUM(CAST(ROUND_EVEN(ROUND(GREATEST(level + (k + 1) * trend, 0.0), 6), 2) AS DECIMAL(18,2))) AS ahead FROM holt CROSS JOIN RANGE(3) r(k) WHERE i = 11 GROUP BY category),
+projected AS (SELECT id, target, actual, CAST(actual + ahead AS DECIMAL(18,2)) AS projected FROM variances JOIN ahead ON scope_type = 'category' AND scope_id = category WHERE target > 0)
+SELECT 'forecast_overshoot' AS kind, id AS citation,
+       CONCAT_WS(',', projected, target, CAST(projected - target AS DECIMAL(18,2)), CAST(ROUND_EVEN(CAST(target - actual AS DOUBLE) / 3, 2) AS DECIMAL(18,2))) AS cited
+FROM projected WHERE CAST(projected - target AS DOUBLE) > CAST(target AS DOUBLE) * 0.1""", recursive=True)
+def _(s, d):
+    return cited(advisor.forecast_overshoot(_forecasts(s, d, 12), variances(s, d)), 4)
+
+
+@query("r7_net_worth_decline", f"""WITH {MONTHLY}, l AS (SELECT period AS now, total_amount AS a, LAG(period, 1) OVER w AS one, LAG(total_amount, 1) OVER w AS b, LAG(period, 2) OVER w AS two, LAG(total_amount, 2) OVER w AS c FROM monthly WINDOW w AS (ORDER BY period))
+SELECT 'net_worth_decline' AS kind, 'snap_' || now || ',snap_' || one || ',snap_' || two AS citation, CONCAT_WS(',', a, b, c) AS cited FROM l WHERE now = '{PERIOD}' AND a < b AND b < c""")
+def _(s, d):
+    return cited(advisor.net_worth_decline(net_worth.monthly_totals(tx(s, d, "date", "amount")), PERIOD), 3)
+
+
 @query("r_recommendations", f"""WITH {VARIANCE}
 SELECT 'budget_adjust' AS kind, id AS citation, CAST(actual AS VARCHAR) || ',' || CAST(target AS VARCHAR) AS cited FROM variances WHERE status = 'over' AND delta_pct >= 0.2""")
 def _(s, d):
@@ -670,15 +756,13 @@ def _(s, d):
 
 @query("r0_all_recommendations")
 def _(s, d):
-    rows = tx(s, d, "id", "date", "amount", "merchant_id")
-    charges = rows.select("id", "date", "amount", F.concat(F.lit("p_"), "merchant_id").alias("pattern_id"))
-    cards = loans(s).select("id", F.concat(F.lit("acct_"), "id").alias("account_id"), "outstanding", "apr", F.col("payment").alias("min_payment"))
+    rows = tx(s, d, "date", "amount", "merchant_id")
     parts = [
-        advisor.subscription_cancel(anomalies.subscription_drift(charges, patterns(s, d), PERIOD), PERIOD),
+        advisor.subscription_cancel(drift(s, d), PERIOD),
         advisor.budget_adjust(variances(s, d), PERIOD),
         advisor.goal_off_track(goals(s, d)),
         advisor.anomaly_investigate(anomalies.merchant_outliers(rows, PERIOD), PERIOD),
-        advisor.credit_payoff_accelerate(cards),
+        advisor.credit_payoff_accelerate(cards(s)),
         advisor.forecast_overshoot(_forecasts(s, d, 12), variances(s, d)),
         advisor.net_worth_decline(net_worth.monthly_totals(rows), PERIOD),
     ]

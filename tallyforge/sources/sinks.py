@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
@@ -27,15 +31,69 @@ def write_pages(pages: DataFrame, path: str) -> None:
     pages.select("content", "name").write.mode("overwrite").partitionBy("name").text(path)
 
 
-def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None if there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def fingerprint(**tables: DataFrame) -> DataFrame:
+    """(name, n, digest): rows of each table and the sum of their hashes, which no order of rows changes."""
+    one = lambda name, df: df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("digest"))
+    return reduce(DataFrame.unionByName, [one(name, df) for name, df in sorted(tables.items())])
+
+
+def write_graph(vertices: DataFrame, edges: DataFrame, path: str, force: bool = False) -> bool:
+    """Write both tables unless they are those written last; says whether it wrote.
+
+    The fingerprint is taken over all values, so an edit that leaves the counts as they are
+    is seen. It is written last: after a failed run the graph is written again.
+    """
+    now = sorted(map(tuple, fingerprint(vertices=vertices, edges=edges).collect()))
+    before = read_or_none(vertices.sparkSession, f"{path}/fingerprint")
+    if not force and before is not None and sorted(map(tuple, before.select("name", "n", "digest").collect())) == now:
+        return False
+    vertices.sparkSession.createDataFrame([], "name string, n long, digest string").write.mode("overwrite").parquet(f"{path}/fingerprint")
     vertices.write.mode("overwrite").parquet(f"{path}/vertices")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
+    vertices.sparkSession.createDataFrame(now, "name string, n long, digest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/fingerprint")
+    return True
+
+
+def keep_rules(rules: DataFrame, path: str) -> None:
+    """Append rules (surface, merchant_id, category_id) to those kept; a surface's newest rule holds."""
+    rules.select("surface", "merchant_id", "category_id", F.lit(time.time_ns()).alias("kept_at")).write.mode("append").parquet(path)
+
+
+def kept_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The rule of each surface, none where nothing has been kept."""
+    rows = read_or_none(spark, path)
+    if rows is None:
+        return spark.createDataFrame([], "surface string, merchant_id string, category_id int")
+    newest = rows.groupBy("surface").agg(F.max(F.struct("kept_at", "merchant_id", "category_id")).alias("r"))
+    return newest.select("surface", "r.merchant_id", "r.category_id")
+
+
+def report_page(summary: DataFrame) -> DataFrame:
+    """(name, content): one Markdown table of the suites' (suite, total, passed), and what all of them passed."""
+    line = F.format_string("| %s | %d/%d |", "suite", "passed", "total")
+    held = summary.agg(F.sort_array(F.collect_list(F.struct("suite", line.alias("line")))).alias("rows"), F.coalesce(F.sum("passed"), F.lit(0)).alias("passed"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+    body = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
+    return held.select(F.lit("report.md").alias("name"), F.concat(F.format_string("# Evaluation\n\n%d of %d passed.\n\n| Suite | Passed |\n|---|---|\n", "passed", "total"), body).alias("content"))
+
+
+def write_report(summary: DataFrame, path: str) -> None:
+    """A summary of suites as JSON lines and as a page."""
+    summary.write.mode("overwrite").json(f"{path}/json")
+    write_pages(report_page(summary), f"{path}/page")
 
 
 def replace_table(df: DataFrame, path: str) -> str:
     """Write the next version of a table beside the others; the newest folder is the table."""
-    import time
-
     at = f"{path}/v{time.time_ns()}"
     df.write.parquet(at)
     return at

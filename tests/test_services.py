@@ -260,3 +260,39 @@ def test_event_stream_equals_batch(spark, tmp_path):
     q = arrivals.event_windows(stream, late="60 days").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(spark.table("windows").collect()) == sorted(arrivals.event_windows(events).collect())
+
+
+def test_graph_is_written_when_a_value_changes(spark, tmp_path):
+    v, e = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int"), spark.createDataFrame([("a", "b")], "src string, dst string")
+    path = str(tmp_path / "graph")
+    assert sinks.write_graph(v, e, path)
+    assert not sinks.write_graph(v.orderBy(F.desc("id")), e, path)
+    assert sinks.write_graph(v, e, path, force=True)
+    assert sinks.write_graph(v.withColumn("n", F.lit(7)), e, path)
+    assert {r.n for r in spark.read.parquet(f"{path}/vertices").collect()} == {7}
+    assert sinks.write_graph(v.limit(0), e.limit(0), path)
+
+
+def test_rules_are_kept(spark, tmp_path):
+    path = str(tmp_path / "rules")
+    assert sinks.kept_rules(spark, path).count() == 0
+    schema = "surface string, merchant_id string, category_id int"
+    sinks.keep_rules(spark.createDataFrame([("x", "m_1", 1), ("y", "m_2", None)], schema), path)
+    sinks.keep_rules(spark.createDataFrame([("x", "m_3", 2)], schema), path)
+    assert sorted(map(tuple, sinks.kept_rules(spark, path).collect())) == [("x", "m_3", 2), ("y", "m_2", None)]
+
+
+def test_report(spark, tmp_path):
+    summary = spark.createDataFrame([("b", 3, 1), ("a", 2, 2)], "suite string, total long, passed long")
+    sinks.write_report(summary, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report/json")).count() == 2
+    text = sinks.report_page(summary).first().content
+    assert "3 of 5 passed" in text and text.index("| a | 2/2 |") < text.index("| b | 1/3 |")
+    assert "0 of 0 passed" in sinks.report_page(summary.limit(0)).first().content
+
+
+def test_backfill(spark):
+    memos = spark.createDataFrame([("2024_02", "kept")], "period string, body_md string")
+    one = lambda p: spark.createDataFrame([(p, f"memo of {p}")], "period string, body_md string")
+    assert [r.period for r in memo.backfill(memos, "2024_01", "2024_03", one).collect()] == ["2024_01", "2024_03"]
+    assert memo.backfill(memos, "2024_02", "2024_02", one) is None
