@@ -180,8 +180,12 @@ def _near(signature: np.ndarray, size: np.ndarray, sign: np.ndarray, own: int, e
     return np.where((agree >= estimate) & (100 * small >= PERCENT * large), np.maximum(agree, 1e-9), 0.0)
 
 
-def spanning_pairs(signature: np.ndarray, size: np.ndarray, estimate: float = ESTIMATE) -> list[tuple[int, int]]:
-    """A maximum spanning forest of the estimates (Prim), one row of the matrix at a time; pairs are (parent, child)."""
+def spanning_pairs(signature: np.ndarray, size: np.ndarray, estimate: float = ESTIMATE, radius: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A maximum spanning forest of the estimates (Prim), one row of the matrix at a time; pairs are (parent, child).
+
+    Where each row is the root of a tree of some ``radius``, roots whose trees might hold members that
+    pass are joined too, after all those that pass themselves.
+    """
     m = len(size)
     best, link, left = np.zeros(m), np.full(m, -1), np.ones(m, bool)
     out, now = [], 0
@@ -190,6 +194,9 @@ def spanning_pairs(signature: np.ndarray, size: np.ndarray, estimate: float = ES
         if link[now] >= 0:
             out.append((int(link[now]), now))
         near = _near(signature, size, signature[now], size[now], estimate)
+        if radius is not None:
+            agree, slack = (signature == signature[now]).mean(axis=1), radius + radius[now]
+            near = np.where(near > 0, 1 + near, np.where((slack > 0) & (agree + slack >= estimate - 1e-9), np.maximum(agree, 1e-9), 0.0))
         closer = left & (near > best)
         best[closer], link[closer] = near[closer], now
         if not left.any():
@@ -210,10 +217,10 @@ def candidate_pairs(heads: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
     """(a, b), a < b: pairs whose links, once followed, reach every pair that shares a bucket and passes the estimate.
 
     A bucket within one block gives a spanning forest of the estimates. In a larger one each
-    block gives its forest, then only the trees' roots meet, block pair by block pair. The share
-    of coordinates in which signatures differ is a metric, so two members can pass the
-    estimate only if their roots do within both trees' radii; where the roots pass by that
-    slack alone, the trees' members are compared.
+    block gives its forest, then only the trees' roots meet, block pair by block pair, and give a
+    forest again. The share of coordinates in which signatures differ is a metric, so two
+    members can pass the estimate only if their roots do within both trees' radii; roots that do
+    by that slack alone are joined as well, so no row is sent for a pair of trees.
     """
     members = bucket_members(heads)
 
@@ -249,34 +256,10 @@ def candidate_pairs(heads: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
     dealt = roots.join(counts, "bucket").select("bucket", F.explode(met).alias("part"), "doc_id", "radius").join(sides, "doc_id")
 
     def meet(rows: pa.Table) -> list[tuple]:
-        """(bucket, a, b, doubt): roots that pass the estimate, or might have members that do."""
-        ids, signs, size, radius = rows.column("doc_id").to_pylist(), _signs(rows), rows.column("n_shingles").to_numpy(), rows.column("radius").to_numpy()
-        bucket, out = rows.column("bucket")[0].as_py(), []
-        for i in range(len(ids) - 1):
-            agree = (signs[i + 1 :] == signs[i]).mean(axis=1)
-            passing = _near(signs[i + 1 :], size[i + 1 :], signs[i], size[i], estimate) > 0
-            near = agree + radius[i + 1 :] + radius[i] >= estimate - 1e-9
-            out += [(bucket, *sorted((ids[i], ids[i + 1 + j])), int(not passing[j])) for j in np.flatnonzero(near & (passing | (radius[i + 1 :] + radius[i] > 0)))]
-        return out
-
-    found = materialise(_by_group(dealt, ("bucket", "part"), meet, "bucket long, a long, b long, doubt int").distinct(), "roots")
-    doubted = found.where("doubt = 1").select("bucket", "a", "b")
-    member = grown.select("bucket", "root", F.col("member").alias("doc_id"))
-    left, right = (doubted.join(member.withColumnRenamed("root", side), ["bucket", side]).select("bucket", "a", "b", "doc_id") for side in ("a", "b"))
-    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).join(sides, "doc_id")
-
-    def doubts(rows: pa.Table) -> list[tuple]:
-        """Pairs over both trees that pass the estimate: for each member of one, the nearest of the other."""
-        ids, signs, size, side = rows.column("doc_id").to_pylist(), _signs(rows), rows.column("n_shingles").to_numpy(), rows.column("side").to_numpy()
-        others, out = np.flatnonzero(side == 1), []
-        for i in np.flatnonzero(side == 0):
-            near = _near(signs[others], size[others], signs[i], size[i], estimate)
-            if len(near) and near.max() > 0:
-                out.append((ids[i], ids[others[int(np.argmax(near))]]))
-        return _ordered(out)
-
-    last = _by_group(both, ("bucket", "a", "b"), doubts, "a long, b long")
-    return pairs.union(within).union(found.where("doubt = 0").select("a", "b")).union(last).distinct()
+        ids, radius = rows.column("doc_id").to_pylist(), rows.column("radius").to_numpy()
+        return _ordered([(ids[i], ids[j]) for i, j in spanning_pairs(_signs(rows), rows.column("n_shingles").to_numpy(), estimate, radius)])
+
+    return pairs.union(within).union(_by_group(dealt, ("bucket", "part"), meet, "a long, b long")).distinct()
 
 
 def crossing_links(signature: np.ndarray, sets: list[np.ndarray], component: np.ndarray, estimate: float = ESTIMATE) -> list[tuple[int, int]]:
