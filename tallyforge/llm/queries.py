@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import language_model, media, mixing, near_dup, packing, quality, secrets, sharding, toxicity, warc
+from tallyforge.llm import language_model, media, mixing, near_dup, packing, periodic, quality, secrets, sharding, simhash, toxicity, warc
 from tallyforge.llm.shared import materialise, shared_dir, table
 
 
@@ -54,6 +54,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.find_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.collapse_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
@@ -65,6 +73,8 @@ QUERIES = {
     "op8_circulant_minhash": op8_circulant_minhash,
     "op9_warc_reader": op9_warc_reader,
     "op10_toxicity": op10_toxicity,
+    "op11_anchor_simhash": op11_anchor_simhash,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES = {

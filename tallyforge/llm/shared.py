@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,3 +56,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of rows that come sorted by integer ``keys``, cut only where a group of equal keys ends."""
+    held: list[pa.RecordBatch] = []
+    last: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in keys])
+        other = np.flatnonzero((at != at[:, -1:]).any(axis=0))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if held and not cut and last == at[:, 0].tolist():
+            held.append(batch)
+            continue
+        if cut:
+            held.append(batch.slice(0, cut))
+        if held:
+            yield pa.Table.from_batches(held)
+        held, last = [batch.slice(cut)], at[:, -1].tolist()
+    if held:
+        yield pa.Table.from_batches(held)

@@ -127,3 +127,14 @@ def per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of ``flags`` within each pair of neighbouring bounds."""
     run = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
     return run[bounds[1:]] - run[bounds[:-1]]
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans' bytes, each followed by one space, and where each begins there."""
+    size = ends - starts
+    first = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+    before = np.cumsum(size) - size
+    at = np.arange(int(size.sum()))
+    out[at + np.repeat(first - before, size)] = data[at + np.repeat(starts - before, size)]
+    return out, first
