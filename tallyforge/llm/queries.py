@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import language_model, media, mixing, near_dup, packing, periodic, quality, secrets, sharding, simhash, toxicity, warc
+from tallyforge.llm import alignment, language_model, media, mixing, near_dup, packing, periodic, quality, secrets, sharding, simhash, toxicity, warc
 from tallyforge.llm.shared import materialise, shared_dir, table
 
 
@@ -62,6 +62,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.collapse_runs(table(spark, sf_dir, "documents"), plant=True))
 
 
+def op13_segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
@@ -75,6 +79,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_anchor_simhash": op11_anchor_simhash,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_segment_alignment": op13_segment_alignment,
 }
 
 ORACLES = {
