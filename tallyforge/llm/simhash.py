@@ -219,5 +219,6 @@ def find_groups(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) ->
     linked = materialise(linked, "linked-fingerprints").join(heads, "fp")
     least = linked.groupBy("component").agg(F.min("head").alias("_least"))
     named = heads.join(linked.join(least, "component").select(F.col("fp").alias("_fp"), "_least"), F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_print"), F.coalesce("_least", "head").alias("_component"))
+    named = materialise(named, "fingerprint-components")  # so that both sides of the join are dealt anew, and a fingerprint that many rows have can be split
     out = sketch.join(named, F.col("fp") == F.col("_print"), "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("_component")).alias("component_id"))
