@@ -3,14 +3,14 @@
 A document is cut before each run of white space that starts with a space and follows something else. Neither vocabulary
 can merge across such a place (``verify_boundaries`` looks at every entry), so a document's tokens are those of its
 segments one after the other. Blocks of documents keep their distinct segments once and the documents as numbers of
-them; segments of all blocks are made distinct by a shuffle, tokenised, aligned, and joined back to the blocks that hold them.
+them. One shuffle brings equal segments of all blocks together; each is tokenised and aligned once and its alignment
+goes back to every block that holds it, where documents are composed of alignments.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,16 +26,34 @@ from tallyforge.llm.shared import materialise
 
 #: The tokenizers' files, by the names that the installed collection gives them.
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text in a block of documents; a longer text is a block of its own, whole.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block of documents; a longer text is a block of its own, whole. Bytes of segments encoded in one go.
+BLOCK_BYTES, ENCODED_BYTES = 8 << 20, 1 << 16
 #: A pair of token ids as one number: the first id above so many bits of the second.
 LOW_BITS = 20
+#: Marks of a token in an alignment: it is the second tokenizer's; it ends a group.
+SECOND, ENDS = np.uint32(1 << 30), np.uint32(1 << 31)
+#: Links of a group up to which its pairs are counted one by one; of more its distinct ids are.
+FEW = 1 << 12
+#: Segments of one document whose text is hashed at a time.
+STEP = 1 << 17
+#: Distinct pairs of the corpus up to which their counts are broadcast (17 bytes each), beyond it joined by shuffle.
+BROADCAST_PAIRS = 2_000_000
 CODED = "block long, ids array<long>, edges binary, codes binary, segments array<binary>"
-ALIGNED = "segment binary, valid boolean, n_a long, n_b long, n_groups long, n_links long, groups binary, pairs binary, times binary"
+ALIGNED = "block long, at int, tokens binary"
 COMPOSED = "block long, ids array<long>, stats binary, shas array<string>, edges binary, local binary, times binary, pairs array<long>, n_docs array<long>"
 REPORT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+def squeeze(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, compressed byte by byte of equal place."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def expand(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64)
+
+
 @cache
 def tokenizers(byte_level: str, pieces: str) -> tuple:
     """(tokenizer A, its tokens' bytes by id, tokenizer B, its tokens' bytes by id), read once a process."""
@@ -93,11 +111,14 @@ def code_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
         starts = segment_starts(data, offsets)
         ends = np.concatenate((starts[1:], [len(data)])).astype(np.int64)
         begin = starts + ~np.isin(starts, offsets)
-        _, first, codes = np.unique(W.span_hashes(data, begin, ends), return_index=True, return_inverse=True)
-        raw = data.tobytes()
+        _, first, codes, often = np.unique(W.span_hashes(data, begin, ends), return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")  # small numbers for frequent segments
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        first, codes, raw = first[order], rank[codes], data.tobytes()
         segments = [raw[a:b] for a, b in zip(begin[first].tolist(), ends[first].tolist(), strict=True)]
         edges = np.searchsorted(starts, offsets)
-        row = [[block], [ids], [edges.astype(np.int64).tobytes()], [codes.astype(np.int32).tobytes()], [segments]]
+        row = [[block], [ids], [edges.astype(np.int64).tobytes()], [squeeze(codes)], [segments]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.binary())]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=[f.split()[0] for f in CODED.split(", ")])
 
@@ -127,62 +148,66 @@ def code_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, CODED)
 
 
-def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Tokens of both sides between the places at which both end; sizes are their bytes, of equal sum."""
-    out, i, j = [], 0, 0
-    while i < len(a):
-        i0, j0, x, y = i, j, size_a[i], size_b[j]
-        i, j = i + 1, j + 1
-        while x != y:
-            if x < y:
-                x += size_a[i]
-                i += 1
-            else:
-                y += size_b[j]
-                j += 1
-        out.append((a[i0:i], b[j0:j]))
-    return out
+def encode_segments(bodies: list[bytes], tools: tuple) -> list[bytes | None]:
+    """Both tokenizers' tokens of each segment (after its space) as marked 32-bit numbers; None where some side does not spell it.
 
+    Segments are encoded together, as one text cut where it would be cut; what can't be joined so goes alone.
+    """
+    sizes = np.array([len(b) + 1 for b in bodies])
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b" " + b" ".join(bodies), np.uint8)
+    cuts = segment_starts(data, np.array([0, len(data)]))
+    joins = np.isin(ends[:-1], cuts)  # whether the next segment may follow at once
+    out: list[bytes | None] = []
+    at = 0
+    while at < len(bodies):
+        to = at + 1
+        while to < len(bodies) and joins[to - 1] and ends[to] - (ends[at] - sizes[at]) <= ENCODED_BYTES:
+            to += 1
+        out += _encode(bodies[at:to], tools)
+        at = to
+    return out
 
-def align_segments(segments: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
-    """ALIGNED rows of distinct segments: counts, the groups as text, and the distinct linked pairs with their times.
 
-    A segment whose tokens do not give its bytes back is not valid. A group of many tokens links its distinct
-    ids by their counts, so no more pairs are made than it has distinct ones.
+def _encode(bodies: list[bytes], tools: tuple) -> list[bytes | None]:
+    one, first, two, second = tools
+    whole = b" ".join(bodies)
+    text = whole.decode("utf-8", "replace")
+    a = one.encode(" " + text, add_special_tokens=False).ids
+    b = two.encode(text, num_threads=1) if text else [two.piece_to_id("▁")]  # it adds no space to an empty text
+    left, right = [first[k] for k in a], [second[k] for k in b]
+    if b"".join(left) != b" " + whole or b"".join(right) != b" " + whole:
+        half = len(bodies) // 2
+        return [None] if len(bodies) == 1 else _encode(bodies[:half], tools) + _encode(bodies[half:], tools)
+    over_a, over_b = np.cumsum([len(x) for x in left]), np.cumsum([len(x) for x in right])
+    common = np.intersect1d(over_a, over_b)
+    ends = np.cumsum([len(x) + 1 for x in bodies])
+    if len(np.setdiff1d(ends, common)):
+        raise ValueError("a token crosses the boundary of segments")
+    marked_a = np.array(a, np.uint32) | np.where(np.isin(over_a, common), ENDS, np.uint32(0))
+    marked_b = np.array(b, np.uint32) | SECOND | np.where(np.isin(over_b, common), ENDS, np.uint32(0))
+    i, j = ([0, *np.searchsorted(x, ends, "right").tolist()] for x in (over_a, over_b))
+    return [marked_a[i[k] : i[k + 1]].tobytes() + marked_b[j[k] : j[k + 1]].tobytes() for k in range(len(bodies))]
+
+
+def align_segments(held: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
+    """ALIGNED rows of (block, at, segment): equal segments meet, are tokenised and aligned once, and give each of their rows the tokens.
+
+    A block holds a segment once, so a segment has as many rows as blocks hold it, a small share of all however common it is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, first, two, second = tokenizers(byte_level, pieces)
+        tools = tokenizers(byte_level, pieces)
+        known: dict[bytes, bytes | None] = {}
         for batch in batches:
-            bodies = batch.column("segment").to_pylist()
-            texts = [x.decode("utf-8", "replace") for x in bodies]
-            out = []
-            for body, a, b in zip(bodies, one.encode_batch([" " + t for t in texts], add_special_tokens=False), two.encode(texts, num_threads=1), strict=True):
-                a, left, right = a.ids, [first[k] for k in a.ids], [second[k] for k in b]
-                if not b and not body:  # one tokenizer adds no space to an empty text
-                    b, right = [two.piece_to_id("▁")], [b" "]
-                if b"".join(left) != b" " + body or b"".join(right) != b" " + body:
-                    out.append((body, False, 0, 0, 0, 0, b"", b"", b""))
-                    continue
-                groups, pairs, links = align(a, b, [len(x) for x in left], [len(x) for x in right]), Counter(), 0
-                for x, y in groups:
-                    links += len(x) * len(y)
-                    for k, n in Counter(x).items():
-                        for m, t in Counter(y).items():
-                            pairs[k << LOW_BITS | m] += n * t
-                shown = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups).encode()
-                out.append((body, True, len(a), len(b), len(groups), links, shown, np.array(list(pairs), np.int64).tobytes(), np.array(list(pairs.values()), np.int64).tobytes()))
-            kinds = [pa.binary(), pa.bool_(), *[pa.int64()] * 4, *[pa.binary()] * 3]
-            columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in ALIGNED.split(", ")])
-
-    return segments.select("segment").mapInArrow(run, ALIGNED)
-
-
-def _flat(column: pa.ChunkedArray, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all rows of a binary column, and where each row's begin."""
-    parts = [np.frombuffer(x.as_py(), kind) for x in column]
-    return np.concatenate([np.zeros(0, kind), *parts]), np.cumsum([0, *map(len, parts)])
+            rows = batch.column("segment").to_pylist()
+            fresh = [x for x in dict.fromkeys(rows) if x not in known]
+            known = {rows[0]: known[rows[0]]} if rows and rows[0] in known else {}  # sorted: only the last of the batch before may recur
+            known |= zip(fresh, encode_segments(fresh, tools), strict=True) if fresh else {}
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array([known[x] for x in rows], pa.binary())], names=["block", "at", "tokens"])
+            known = {rows[-1]: known[rows[-1]]} if rows else {}
+
+    return held.repartition("segment").sortWithinPartitions("segment").select("block", "at", "segment").mapInArrow(run, ALIGNED)
 
 
 def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -190,42 +215,109 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
 
 
+class Alignments:
+    """Decoded alignments of a block's segments: counts, their text, and the pairs that each links, with times."""
+
+    def __init__(self, tokens: pa.Array) -> None:
+        self.good = np.array(tokens.is_valid())
+        tokens = tokens.fill_null(b"").cast(pa.large_binary())
+        offsets = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset : tokens.offset + len(tokens) + 1]
+        raw = np.frombuffer(tokens.buffers()[2], np.uint8) if tokens.buffers()[2] is not None else np.zeros(0, np.uint8)
+        flat = raw[offsets[0] : offsets[-1]].view("<u4") if len(tokens) else np.zeros(0, np.uint32)
+        bounds = (offsets - offsets[0]) // 4
+        side, ends, ids = (flat & SECOND) > 0, (flat & ENDS) > 0, (flat & ~(SECOND | ENDS)).astype(np.int64)
+        self.n_b = W.per_text(side, bounds)
+        self.n_a, self.n_groups = np.diff(bounds) - self.n_b, W.per_text(ends & side, bounds)
+        a, b = np.flatnonzero(~side), np.flatnonzero(side)
+        group = np.empty(len(flat), np.int64)
+        for mine in (a, b):
+            group[mine] = np.cumsum(ends[mine]) - ends[mine]
+        order = np.argsort(2 * group + side, kind="stable")
+        self._spell(ids[order], group[order], side[order], bounds)
+        groups = int(self.n_groups.sum())
+        of_row = np.repeat(np.arange(len(tokens)), self.n_groups)
+        count_a, count_b = (np.bincount(group[m], minlength=groups) for m in (a, b))
+        links = count_a * count_b
+        self.n_links = np.bincount(of_row, links, len(tokens)).astype(np.int64)
+        self._pair(ids[a], ids[b], count_a, count_b, links, of_row, len(tokens))
+
+    def _spell(self, ids: np.ndarray, group: np.ndarray, side: np.ndarray, bounds: np.ndarray) -> None:
+        """``text[start:end]`` of each row: ids between commas, the two sides between bars, groups between semicolons."""
+        distinct, where = np.unique(ids, return_inverse=True)
+        names = [str(k).encode() for k in distinct.tolist()]
+        size = np.array([len(x) for x in names], np.int64)
+        last = np.cumsum(size)
+        self.text, first = W.joined(np.frombuffer(b"".join(names), np.uint8), (last - size)[where], last[where])
+        behind = first + size[where]
+        self.text[behind] = np.frombuffer(b",", np.uint8)
+        turns = np.flatnonzero((group[1:] != group[:-1]) | (side[1:] != side[:-1]))
+        self.text[behind[turns]] = np.where(group[turns + 1] != group[turns], ord(";"), ord("|"))
+        edge = np.append(first, len(self.text))[bounds]
+        self.start, self.end = edge[:-1], np.maximum(edge[1:] - 1, edge[:-1])
+
+    def _pair(self, a: np.ndarray, b: np.ndarray, count_a: np.ndarray, count_b: np.ndarray, links: np.ndarray, of_row: np.ndarray, rows: int) -> None:
+        """``pairs`` of the block, and for each row (``bounds``) the places there of its own and their times."""
+        start_a, start_b = np.cumsum(count_a) - count_a, np.cumsum(count_b) - count_b
+        few = np.flatnonzero(links <= FEW)
+        within = _spread(np.zeros(len(few), np.int64), links[few])
+        wide = np.repeat(count_b[few], links[few])
+        pair = a[np.repeat(start_a[few], links[few]) + within // wide] << LOW_BITS | b[np.repeat(start_b[few], links[few]) + within % wide]
+        row, time = np.repeat(of_row[few], links[few]), np.ones(len(pair), np.int64)
+        for g in np.flatnonzero(links > FEW):
+            (x, n), (y, m) = (np.unique(ids[s : s + c], return_counts=True) for ids, s, c in ((a, start_a[g], count_a[g]), (b, start_b[g], count_b[g])))
+            pair = np.append(pair, (x[:, None] << LOW_BITS | y).ravel())
+            time, row = np.append(time, (n[:, None] * m).ravel()), np.append(row, np.full(len(x) * len(y), of_row[g]))
+        self.pairs, local = np.unique(pair, return_inverse=True)
+        width = max(1, len(self.pairs))
+        key, where = np.unique(row * width + local, return_inverse=True)
+        self.times = np.bincount(where, time, len(key)).astype(np.int64)
+        row, self.local = np.divmod(key, width)
+        self.bounds = np.searchsorted(row, np.arange(rows + 1))
+
+
 def _compose(block: pa.Table, parts: pa.Table) -> pa.Table:
-    """COMPOSED row of a CODED row and the alignments (by ``at``) of its segments."""
-    parts = parts.sort_by("at")
-    edges, codes = (np.frombuffer(block.column(c)[0].as_py(), t) for c, t in (("edges", np.int64), ("codes", np.int32)))
-    count = np.diff(edges)
-    good = parts.column("valid").to_numpy()
-    valid = (count > 0) & (W.per_text(~good[codes] if len(codes) else codes, edges) == 0)
-    stats = np.stack([W.per_text(parts.column(c).to_numpy()[codes] if len(codes) else codes, edges) * valid for c in ("n_a", "n_b", "n_groups", "n_links")])
-    shown, spelled = parts.column("groups").to_pylist(), codes.tolist()
-    shas = [hashlib.sha256(b";".join([shown[c] for c in spelled[a:b]])).hexdigest() if ok else "" for a, b, ok in zip(edges[:-1].tolist(), edges[1:].tolist(), valid.tolist(), strict=True)]
-    pairs, pair_at = _flat(parts.column("pairs"))
-    times, _ = _flat(parts.column("times"))
-    own, pairs = np.unique(pairs, return_inverse=True)
-    wide = max(1, len(shown))
+    """COMPOSED row of a CODED row and the ALIGNED rows of its segments."""
+    tokens = parts.sort_by("at").column("tokens").combine_chunks() if parts.num_rows else pa.array([], pa.binary())
+    known = Alignments(tokens.combine_chunks() if isinstance(tokens, pa.ChunkedArray) else tokens)
+    edges = np.frombuffer(block.column("edges")[0].as_py(), np.int64)
+    codes, count = expand(block.column("codes")[0].as_py(), int(edges[-1])), np.diff(edges)
+    of = lambda x: W.per_text(x[codes], edges) if len(codes) else np.zeros(len(count), np.int64)
+    valid = (count > 0) & (of(~known.good) == 0)
+    stats = np.stack([of(x) * valid for x in (known.n_a, known.n_b, known.n_groups, known.n_links)])
+    shas = [""] * len(count)
+    for d in np.flatnonzero(valid):
+        digest = hashlib.sha256()
+        for k in range(int(edges[d]), int(edges[d + 1]), STEP):
+            mine = codes[k : min(k + STEP, int(edges[d + 1]))]
+            text, first = W.joined(known.text, known.start[mine], known.end[mine])
+            text[first + known.end[mine] - known.start[mine]] = ord(";")
+            digest.update(text if k + STEP < edges[d + 1] else text[:-1])
+        shas[d] = digest.hexdigest()
+    wide = max(1, len(known.good))
     met, often = np.unique((np.repeat(np.arange(len(count)), count) * wide + codes)[np.repeat(valid, count)], return_counts=True)
     doc, code = np.divmod(met, wide)
-    some = np.diff(pair_at)[code]
-    at = _spread(pair_at[code], some)
-    key = np.repeat(doc, some) * max(1, len(own)) + pairs[at]
+    some = np.diff(known.bounds)[code]
+    at, width = _spread(known.bounds[:-1][code], some), max(1, len(known.pairs))
+    key = np.repeat(doc, some) * width + known.local[at]
     order = np.argsort(key, kind="stable")
-    key, weight = key[order], (times[at] * np.repeat(often, some))[order]
+    key, weight = key[order], (known.times[at] * np.repeat(often, some))[order]
     new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     weight = np.add.reduceat(weight, new) if len(new) else weight
-    doc, local = np.divmod(key[new], max(1, len(own)))
-    row = [block.column("block").to_pylist(), block.column("ids").to_pylist(), [stats.tobytes()], [shas], [np.searchsorted(doc, np.arange(len(count) + 1)).tobytes()], [local.astype(np.int32).tobytes()], [weight.tobytes()], [own], [np.bincount(local, minlength=len(own))]]
+    doc, local = np.divmod(key[new], width)
+    if len(weight) and weight.max() >= 1 << 32:
+        raise ValueError("a document links one pair more than 2**32 times")
+    row = [block.column("block").to_pylist(), block.column("ids").to_pylist(), [stats.tobytes()], [shas], [np.searchsorted(doc, np.arange(len(count) + 1)).astype(np.int64).tobytes()], [squeeze(local)], [squeeze(weight)], [known.pairs], [np.bincount(local, minlength=len(known.pairs))]]
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), *[pa.binary()] * 3, *[pa.list_(pa.int64())] * 2]
     return pa.table([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=[f.split()[0] for f in COMPOSED.split(", ")])
 
 
-def compose(coded: DataFrame, aligned: DataFrame) -> DataFrame:
+def compose(coded: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
     """COMPOSED rows: per document its counts, digest of groups and linked pairs; per block its pairs and in how many documents each is.
 
     One group is one block, bounded by its text.
     """
     held = coded.select("block", F.posexplode("segments").alias("at", "segment"))
-    back = held.join(aligned, "segment").select(F.col("block").alias("of"), "at", "valid", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times")
+    back = align_segments(held, byte_level, pieces).withColumnRenamed("block", "of")
     return coded.select("block", "ids", "edges", "codes").groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_compose, COMPOSED)
 
 
@@ -235,26 +327,43 @@ def count_pairs(composed: DataFrame) -> DataFrame:
     return each.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy(F.shiftright("pair", LOW_BITS))))
 
 
-def _report(block: pa.Table, counts: pa.Table) -> pa.Table:
-    counts = counts.sort_by("at")
-    read = lambda c, t=np.int64: np.frombuffer(block.column(c)[0].as_py(), t)
-    ids, edges, local, times = block.column("ids")[0].as_py(), read("edges"), read("local", np.int32), read("times")
-    count, best = (counts.column(c).to_numpy().astype(np.int64) for c in ("count", "best"))
+def _report(block: pa.RecordBatch | pa.Table, k: int, count: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+    """REPORT rows of the block in row ``k``, given its pairs' counts."""
+    ids, edges = block.column("ids")[k].as_py(), np.frombuffer(block.column("edges")[k].as_py(), np.int64)
+    local, times = (expand(block.column(c)[k].as_py(), int(edges[-1])) for c in ("local", "times"))
     best, total = (W.per_text(times * x[local] if len(local) else times, edges) for x in (best, count))
-    stats = read("stats").reshape(4, len(ids))
-    return pa.table([pa.array(ids, pa.int64()), *map(pa.array, (*stats, best, total)), pa.array(block.column("shas")[0].as_py(), pa.string())], names=[f.split()[0] for f in REPORT.split(", ")])
+    stats = np.frombuffer(block.column("stats")[k].as_py(), np.int64).reshape(4, len(ids))
+    columns = [pa.array(ids, pa.int64()), *map(pa.array, (*stats, best, total)), pa.array(block.column("shas")[k].as_py(), pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in REPORT.split(", ")])
 
 
-def align_documents(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def align_documents(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES, block_bytes: int = BLOCK_BYTES, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """REPORT rows, one per row of ``docs``: counts of tokens, groups and links, and how usual the links are in the corpus.
 
     Text is encoded after one space by both tokenizers, special tokens' names being plain text. Null and empty texts, and those
     that some token sequence does not spell, have no tokens: zeros, and an empty digest. A pair's count is over
     rows, so repeated rows count each; a null id is reported like any other. Columns beyond doc_id and text are not read.
     """
-    coded = materialise(code_documents(docs, block_bytes), "coded")
-    distinct = coded.select(F.explode("segments").alias("segment")).distinct()
-    composed = materialise(compose(coded, align_segments(distinct, byte_level, pieces)), "composed")
-    wanted = composed.select("block", F.posexplode("pairs").alias("at", "pair")).join(count_pairs(composed), "pair").select(F.col("block").alias("of"), "at", "count", "best")
+    spark = docs.sparkSession
+    composed = materialise(compose(materialise(code_documents(docs, block_bytes), "coded"), byte_level, pieces), "composed")
+    counts = materialise(count_pairs(composed), "pair-counts")
+    if counts.count() <= broadcast_pairs:
+        held = counts.orderBy("pair").toArrow()
+        shared = spark.sparkContext.broadcast(tuple(held.column(c).to_numpy() for c in ("pair", "count", "best")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pair, count, best = shared.value
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    at = np.searchsorted(pair, np.array(batch.column("pairs")[k].as_py(), np.int64))
+                    yield _report(batch, k, count[at], best[at].astype(np.int64))
+
+        return composed.select("ids", "stats", "shas", "edges", "local", "times", "pairs").mapInArrow(run, REPORT)
+    wanted = composed.select("block", F.posexplode("pairs").alias("at", "pair")).join(counts, "pair").select(F.col("block").alias("of"), "at", "count", "best")
     left = composed.select("block", "ids", "stats", "shas", "edges", "local", "times").groupBy("block")
-    return left.cogroup(wanted.groupBy("of")).applyInArrow(_report, REPORT)
+
+    def join(block: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("at")
+        return pa.Table.from_batches([_report(block, 0, found.column("count").to_numpy(), found.column("best").to_numpy().astype(np.int64))])
+
+    return left.cogroup(wanted.groupBy("of")).applyInArrow(join, REPORT)
