@@ -166,7 +166,8 @@ def link_fingerprints(prints: DataFrame, block: int = BLOCK) -> DataFrame:
 
     An anchor of more than ``block`` members is cut into blocks by a hash. Each block gives a spanning forest.
     Then the members outside the anchor's largest component so far are compared with all others, block by
-    block, in two grids of cells of bounded size; members of the largest component are never compared with each other again.
+    block, in two grids of cells of bounded size; members of the largest component are never compared with each other again. The
+    links found so join components, a smaller graph than that of their members.
     """
     met = replicate(prints)
     sizes = met.groupBy(F.col("anchor").alias("_anchor")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -197,7 +198,12 @@ def link_fingerprints(prints: DataFrame, block: int = BLOCK) -> DataFrame:
         component, fp, out = _column(group, "component"), _column(group, "fp"), _column(group, "outside") > 0
         return [p for i, j in zip(edge[:-1], edge[1:], strict=True) for p in crossing(component[i:j], fp[i:j], out[i:j])]
 
-    return components(pairs.unionByName(_pairs(cells, ["anchor", "part"], cross)).withColumn("graph", F.lit(0))).select(F.col("id").alias("fp"), "component")
+    met = materialise(_pairs(cells, ["anchor", "part"], cross), "anchor-crossings")
+    if met.isEmpty():
+        return grown.select(F.col("id").alias("fp"), "component")
+    joined = components(met.withColumn("graph", F.lit(0))).select(F.col("id").alias("_was"), F.col("component").alias("_now"))
+    every = grown.select(F.col("id").alias("fp"), "component").unionByName(joined.select(F.col("_was").alias("fp"), F.col("_was").alias("component"))).distinct()
+    return every.join(joined, F.col("component") == F.col("_was"), "left").select("fp", F.coalesce("_now", "component").alias("component"))
 
 
 def find_groups(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
