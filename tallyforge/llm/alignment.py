@@ -32,6 +32,10 @@ BLOCK_BYTES, ENCODED_BYTES = 8 << 20, 1 << 16
 LOW_BITS = 20
 #: Marks of a token in an alignment: it is the second tokenizer's; it ends a group.
 SECOND, ENDS = np.uint32(1 << 30), np.uint32(1 << 31)
+#: Tokens of the first tokenizer up to which a segment is sent in 16-bit numbers, their marks in its head.
+SHORT = 12
+#: A block and a segment's number in it as one number: the block above so many bits of the number.
+AT_BITS = 28
 #: Links of a group up to which its pairs are counted one by one; of more its distinct ids are.
 FEW = 1 << 12
 #: Segments of one document whose text is hashed at a time.
@@ -73,6 +77,8 @@ def tokenizers(byte_level: str, pieces: str) -> tuple:
         first[k] = bytes(symbol[c] for c in token) if all(c in symbol for c in token) else token.encode()
     second = [bytes([int(two.id_to_piece(k)[1:-1], 16)]) if two.is_byte(k) else two.id_to_piece(k).replace("▁", " ").encode() for k in range(two.get_piece_size())]
     verify_boundaries(first, second)
+    if len(first) > 1 << 16 or len(second) > 1 << 15:
+        raise ValueError("a vocabulary is too large for 16-bit numbers")
     return one, first, two, second
 
 
@@ -123,7 +129,7 @@ def code_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=[f.split()[0] for f in CODED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        block, ids, texts, size = TaskContext.get().partitionId() << 14, [], [], 0
         for batch in batches:
             column = batch.column("text")
             offsets = W.text_bytes(column)[1]
@@ -149,7 +155,7 @@ def code_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
 
 
 def encode_segments(bodies: list[bytes], tools: tuple) -> list[bytes | None]:
-    """Both tokenizers' tokens of each segment (after its space) as marked 32-bit numbers; None where some side does not spell it.
+    """Both tokenizers' tokens of each segment (after its space), with marks (``unpack``); None where some side does not spell it.
 
     Segments are encoded together, as one text cut where it would be cut; what can't be joined so goes alone.
     """
@@ -184,10 +190,46 @@ def _encode(bodies: list[bytes], tools: tuple) -> list[bytes | None]:
     ends = np.cumsum([len(x) + 1 for x in bodies])
     if len(np.setdiff1d(ends, common)):
         raise ValueError("a token crosses the boundary of segments")
-    marked_a = np.array(a, np.uint32) | np.where(np.isin(over_a, common), ENDS, np.uint32(0))
-    marked_b = np.array(b, np.uint32) | SECOND | np.where(np.isin(over_b, common), ENDS, np.uint32(0))
-    i, j = ([0, *np.searchsorted(x, ends, "right").tolist()] for x in (over_a, over_b))
-    return [marked_a[i[k] : i[k + 1]].tobytes() + marked_b[j[k] : j[k + 1]].tobytes() for k in range(len(bodies))]
+    i, j = (np.concatenate(([0], np.searchsorted(x, ends, "right"))) for x in (over_a, over_b))
+    last_a, last_b = np.isin(over_a, common), np.isin(over_b, common)
+    size = np.diff(i)
+    place = np.minimum(np.arange(len(a)) - np.repeat(i[:-1], size), SHORT - 1)
+    heads = np.add.reduceat(last_a.astype(np.int64) << (4 + place), i[:-1]) | size
+    ids_a, ids_b = np.array(a, np.uint32), np.array(b, np.uint32)
+    short_a, short_b = ids_a.astype("<u2"), (ids_b << np.uint32(1) | last_b).astype("<u2")
+    marked_a, marked_b = ids_a | np.where(last_a, ENDS, np.uint32(0)), ids_b | SECOND | np.where(last_b, ENDS, np.uint32(0))
+    out, i, j = [], i.tolist(), j.tolist()
+    for k, (head, n) in enumerate(zip(heads.tolist(), size.tolist(), strict=True)):
+        if n <= SHORT:
+            out.append(head.to_bytes(2, "little") + short_a[i[k] : i[k + 1]].tobytes() + short_b[j[k] : j[k + 1]].tobytes())
+        else:
+            out.append(b"\0\0" + marked_a[i[k] : i[k + 1]].tobytes() + marked_b[j[k] : j[k + 1]].tobytes())
+    return out
+
+
+def unpack(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marked tokens of segments and where each one's begin, from the 16-bit numbers that ``_encode`` sends.
+
+    A head has the number of the first tokenizer's tokens, then a bit for each that ends a group; those follow, then the second's,
+    each with its bit. After a head of 0 come the marked tokens themselves.
+    """
+    rows = np.diff(bounds)
+    head = np.zeros(len(rows), np.int64)
+    head[rows > 0] = flat[bounds[:-1][rows > 0]]
+    first = head & 15
+    long = (first == 0) & (rows > 0)
+    count = np.where(rows == 0, 0, np.where(long, (rows - 1) // 2, rows - 1))
+    start = np.cumsum(count) - count
+    out = np.zeros(int(count.sum()), np.uint32)
+    short = np.flatnonzero((rows > 0) & ~long)
+    to = _spread(start[short], count[short])
+    value, place = flat[_spread(bounds[:-1][short] + 1, count[short])].astype(np.int64), to - np.repeat(start[short], count[short])
+    mine, marks = place < np.repeat(first[short], count[short]), np.repeat(head[short], count[short])
+    ends = np.where(mine, marks >> np.minimum(4 + place, 62) & 1, value & 1)
+    out[to] = np.where(mine, value, value >> 1 | int(SECOND)) | ends << 31
+    for k in np.flatnonzero(long):
+        out[start[k] : start[k] + count[k]] = flat[bounds[k] + 1 : bounds[k + 1]].astype("<u2").view("<u4")
+    return out, np.append(start, len(out))
 
 
 def align_segments(held: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
@@ -200,14 +242,15 @@ def align_segments(held: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str =
         tools = tokenizers(byte_level, pieces)
         known: dict[bytes, bytes | None] = {}
         for batch in batches:
-            rows = batch.column("segment").to_pylist()
+            rows, where = batch.column("segment").to_pylist(), batch.column("where").to_numpy()
             fresh = [x for x in dict.fromkeys(rows) if x not in known]
             known = {rows[0]: known[rows[0]]} if rows and rows[0] in known else {}  # sorted: only the last of the batch before may recur
             known |= zip(fresh, encode_segments(fresh, tools), strict=True) if fresh else {}
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array([known[x] for x in rows], pa.binary())], names=["block", "at", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(where >> AT_BITS), pa.array((where & (1 << AT_BITS) - 1).astype(np.int32)), pa.array([known[x] for x in rows], pa.binary())], names=["block", "at", "tokens"])
             known = {rows[-1]: known[rows[-1]]} if rows else {}
 
-    return held.repartition("segment").sortWithinPartitions("segment").select("block", "at", "segment").mapInArrow(run, ALIGNED)
+    where = (F.shiftleft("block", AT_BITS).bitwiseOR(F.col("at").cast("long"))).alias("where")
+    return held.select(where, "segment").repartition("segment").sortWithinPartitions("segment").mapInArrow(run, ALIGNED)
 
 
 def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -223,8 +266,7 @@ class Alignments:
         tokens = tokens.fill_null(b"").cast(pa.large_binary())
         offsets = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset : tokens.offset + len(tokens) + 1]
         raw = np.frombuffer(tokens.buffers()[2], np.uint8) if tokens.buffers()[2] is not None else np.zeros(0, np.uint8)
-        flat = raw[offsets[0] : offsets[-1]].view("<u4") if len(tokens) else np.zeros(0, np.uint32)
-        bounds = (offsets - offsets[0]) // 4
+        flat, bounds = unpack(raw[offsets[0] : offsets[-1]].view("<u2"), (offsets - offsets[0]) // 2)
         side, ends, ids = (flat & SECOND) > 0, (flat & ENDS) > 0, (flat & ~(SECOND | ENDS)).astype(np.int64)
         self.n_b = W.per_text(side, bounds)
         self.n_a, self.n_groups = np.diff(bounds) - self.n_b, W.per_text(ends & side, bounds)

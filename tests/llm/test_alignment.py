@@ -83,6 +83,7 @@ def test_large_groups_and_long_texts(spark, both, monkeypatch):
     monkeypatch.setattr(alignment, "FEW", 0)
     monkeypatch.setattr(alignment, "STEP", 3)
     monkeypatch.setattr(alignment, "ENCODED_BYTES", 20)
+    monkeypatch.setattr(alignment, "SHORT", 2)
     for text in [*SAMPLES, "naïve 中文 cafés and 1234567 x" * 20]:
         for k, data in enumerate([text, f"{text} and {text}"] if text else [text]):
             coded = alignment.code_documents(spark.createDataFrame([(k, data)], "doc_id long, text string")).toArrow() if text in SAMPLES[:3] else None
