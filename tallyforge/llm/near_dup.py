@@ -23,6 +23,8 @@ PERCENT = 80
 ESTIMATE = 0.63
 #: Members of a bucket in one block; members, and their shingles, of a candidate group in one block.
 BUCKET_BLOCK, BLOCK, BLOCK_SHINGLES = 512, 4096, 2_000_000
+#: Partners of one document that are verified together.
+VERIFY_BLOCK = 256
 #: Edges at one vertex from which its row is broadcast in a step of the component search, so that its edges stay where they are.
 HUB, BROADCAST_HUBS = 256, 200_000
 #: Ids of documents to verify are broadcast up to this number (16 MB), beyond it joined by shuffle.
@@ -316,7 +318,7 @@ def crossing_components(members: DataFrame, estimate: float = ESTIMATE) -> DataF
 
 
 def candidate_sets(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc, shingles): the full shingle sets, as sorted 64-bit hashes, of the documents in ``pairs``."""
+    """(doc, shingles): the full shingle sets, as sorted 64-bit hashes, of the documents in ``pairs``; one row for each different set of an id."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "verify-ids")
     few = ids.count() <= BROADCAST_IDS
     chosen = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
@@ -328,23 +330,40 @@ def candidate_sets(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) ->
                 rows = [values[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(rows, pa.binary())], names=["doc", "shingles"])
 
-    return materialise(chosen.mapInArrow(run, "doc long, shingles binary").dropDuplicates(["doc"]), "verify-sets")
+    return materialise(chosen.mapInArrow(run, "doc long, shingles binary").distinct(), "verify-sets")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets meet PERCENT."""
+    """The pairs (a, b) of which some full shingle sets meet PERCENT.
+
+    The sets of b are brought to the pairs of its a, at most VERIFY_BLOCK of them to a task's group; the sets of a come once to each group and stay
+    in memory while the others pass, so that one with many partners is not copied for each.
+    """
+    counts = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count(F.lit(1)) / F.lit(VERIFY_BLOCK)).cast("int").alias("_parts"))
+    part = F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int")
+    asked = pairs.join(counts, F.col("a") == F.col("_a")).select("a", "b", part.alias("part"))
+    others = asked.join(sets, F.col("b") == F.col("doc")).select("a", "part", F.lit(1).alias("side"), "b", "shingles")
+    heads = counts.join(sets, F.col("_a") == F.col("doc")).select(F.col("_a").alias("a"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("_a").alias("b"), "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                one, two = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                linked.append(100 * common >= PERCENT * (len(one) + len(two) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    joined = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long, linked boolean").where("linked").select("a", "b")
+            found = []
+            for a, part, side, b, raw in zip(*(batch.column(c) for c in ("a", "part", "side", "b", "shingles")), strict=True):
+                a, other = a.as_py(), np.frombuffer(raw.as_py(), np.uint64)
+                if side.as_py() == 0:
+                    held = [*held, other] if now == (a, part.as_py()) else [other]
+                    now = (a, part.as_py())
+                    continue
+                for one in held:
+                    common = len(np.intersect1d(one, other, assume_unique=True))
+                    if 100 * common >= PERCENT * (len(one) + len(other) - common):
+                        found.append((a, b.as_py()))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = heads.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "side")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -391,7 +410,8 @@ def find_groups(docs: DataFrame, shingle: int = SHINGLE, estimate: float = ESTIM
     banded. A spanning forest of each bucket is verified first. All pairs that share a bucket
     and may be linked lie within a tree of those forests, so the documents of a tree whose
     verified links leave several components are then compared with each other, block by
-    block, until no link between components is left untried. With ``estimate`` 0 all pairs of a
+    block, until no link between components is left untried. Rows of one id are one document even if
+    their texts differ: all its sets are compared, and their classes are joined. With ``estimate`` 0 all pairs of a
     bucket may be linked, whatever their signatures say. Documents without words (null,
     empty) and of null id are linked with nothing; repeated rows share their component, and
     each is kept if the id is. Columns beyond doc_id and text are not read.
@@ -403,6 +423,12 @@ def find_groups(docs: DataFrame, shingle: int = SHINGLE, estimate: float = ESTIM
     pairs = materialise(candidate_pairs(heads, estimate), "pairs")
     sets = candidate_sets(pairs, docs, shingle)
     links = verify(pairs, sets)
+    several = known.groupBy(F.col("doc_id").alias("_doc")).agg(F.min("set_key").alias("_low"), F.max("set_key").alias("_high")).where("_low <> _high").select("_doc")
+    several = materialise(several, "several-texts")
+    if not several.isEmpty():
+        owners = known.join(several, F.col("doc_id") == F.col("_doc")).select("_doc", "set_key").distinct().join(heads.select("set_key", "doc_id"), "set_key").select("_doc", "doc_id").distinct()
+        first = owners.groupBy(F.col("_doc").alias("_of")).agg(F.min("doc_id").alias("a"))
+        links = links.unionByName(owners.join(first, F.col("_doc") == F.col("_of")).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))).distinct()
     both = materialise(components(pairs.withColumn("graph", F.lit(0)).unionByName(links.withColumn("graph", F.lit(1)))), "components")
     found = both.where("graph = 1").select("id", "component")
     groups = both.where("graph = 0").select(F.col("id").alias("doc_id"), F.col("component").alias("group"))

@@ -14,23 +14,21 @@ def shingles(text, k=2):
 
 
 def brute(rows, k=2):
-    """component by id, comparing all pairs"""
-    known = {i: shingles(t, k) for i, t in rows if i is not None}
-    top = {i: i for i in known}
+    """component by id, comparing all pairs; rows of one id are one document"""
+    known = [(i, shingles(t, k)) for i, t in rows if i is not None]
+    top = {i: i for i, _ in known}
 
     def find(i):
         while top[i] != i:
             i = top[i]
         return i
 
-    ids = sorted(known)
-    for n, i in enumerate(ids):
-        for j in ids[n + 1 :]:
-            a, b = known[i], known[j]
+    for n, (i, a) in enumerate(known):
+        for j, b in known[n + 1 :]:
             if a and b and 100 * len(a & b) >= 80 * len(a | b):
                 x, y = sorted((find(i), find(j)))
                 top[y] = x
-    return {i: (len(known[i]), find(i)) for i in ids}
+    return {i: (len(a), find(i)) for i, a in known}
 
 
 def check(spark, rows, k=2):
@@ -43,6 +41,26 @@ def check(spark, rows, k=2):
             assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_ids_with_several_texts(spark):
+    """Whichever of an id's texts a link is to, and whichever row comes first."""
+    rng = random.Random(6)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(101)]
+    a, b, c, d = text(), text(), text(), text()
+    near = lambda t, n: " ".join([*t[:-n], *(f"n{n}{i}" for i in range(n))])
+    plain = [" ".join(t) for t in (a, b, c, d)]
+    rows = [(5, plain[0]), (5, plain[1]), (9, near(a, 2)), (11, near(b, 3)), (2, near(a, 4)), (20, plain[2]), (20, plain[3]), (7, plain[2]), (8, near(d, 2)), (30, plain[3]), (31, "alone it is"), (31, plain[1]), (6, "")]
+    for order in (rows, rows[::-1]):
+        got = near_dup.find_groups(spark.createDataFrame(order, "doc_id long, text string").repartition(3), 2).select("doc_id", "component_id").distinct().collect()
+        assert dict(map(tuple, got)) == {2: 2, 5: 2, 9: 2, 11: 2, 31: 2, 7: 7, 8: 7, 20: 7, 30: 7, 6: 6}
+        assert {i: c for i, (_, c) in brute(rows).items()} == dict(map(tuple, got))
+
+
+def test_one_with_many_partners(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "VERIFY_BLOCK", 3)
+    base = [f"w{i}" for i in range(100)]
+    check(spark, [(i, " ".join([*base[:-1], f"x{i}"])) for i in range(40)] + [(90, " ".join(base[:60]))])
+
+
 def test_fixture(spark, rows):
     for k in (2, 5):
         check(spark, [(r[0], r[1]) for r in rows], k)
