@@ -32,6 +32,11 @@ DRAWN, MADE = 4000, 4000
 WORDS = 5000
 #: Share of ordinary strings of LEAST characters or more that the threshold may let through.
 LEAST, FALSE_ALARMS = 16, 0.002
+#: Different characters without which a string is a rule or a repeat ("-----", "=-=-=-"), whatever the models say: a random key of the
+#: smallest alphabet here, 16 hexadecimal digits, has fewer in one of 700 cases at 16 characters, and in none of a million at 32.
+DISTINCT = 7
+#: Fixed value: how a UUID is written; it names something and keeps nothing secret.
+UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _CODE = np.full(256, len(_ALPHABET), np.int64)
 _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
@@ -61,6 +66,10 @@ class Models:
         codes = _codes(string)
         return float(self.odds[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0
 
+    def secret(self, string: str) -> bool:
+        """Whether a candidate is taken for a key: likelier random than ordinary, and neither a rule, a repeat nor a UUID."""
+        return self.ratio(string) > self.threshold and len(set(string)) >= DISTINCT and not UUID.fullmatch(string.strip("+/_-"))
+
 
 def _codes(string: str) -> np.ndarray:
     return _CODE[np.frombuffer(string.encode("latin-1", "replace"), np.uint8)]
@@ -111,6 +120,10 @@ def made_identifiers(words: list[str], n: int = MADE, seed: int = 6) -> list[str
         some = [words[int(k)].lower() for k in rng.integers(len(words), size=int(rng.integers(2, 6)))]
         year, month, day, number = int(rng.integers(1990, 2035)), int(rng.integers(1, 13)), int(rng.integers(1, 29)), int(rng.integers(10 ** int(rng.integers(1, 7))))
         tail = [f"{year}-{month:02}-{day:02}", f"{year}{month:02}{day:02}", f"{year}{month:02}{day:02}_{number:06}", f"v{number % 30}-{month}", str(number), ""][i % 6]
+        if i % 7 == 0:  # a path: folders, some numbered, and a name
+            parts = [w if rng.random() < 0.8 else f"{w}{int(rng.integers(100))}" for w in some]
+            out.append("/".join(["", *parts] * (1 + LEAST // (1 + len("/".join(["", *parts])))))[:80])
+            continue
         mark = "-_/+"[int(rng.integers(4)) if i % 5 == 0 else int(rng.integers(2))]
         cased = [some, [w.upper() for w in some], [w.title() for w in some], [some[0], *(w.title() for w in some[1:])]][int(rng.integers(4))]
         name = (mark if rng.random() < 0.7 else "").join(cased)
@@ -145,7 +158,7 @@ def fit_models(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Models:
     hundredths, so what reaches the driver is bounded whatever the texts' lengths. Null
     ids and texts are left out.
     """
-    chosen = docs.where("doc_id is not null and text is not null").select("doc_id").orderBy(F.xxhash64(F.lit("secret"), "doc_id"), "doc_id").limit(fit_docs).distinct()
+    chosen = docs.where("doc_id is not null and text is not null").select("doc_id").distinct().orderBy(F.xxhash64(F.lit("secret"), "doc_id"), "doc_id").limit(fit_docs)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +212,7 @@ def all_spans(text: str, models: Models) -> list[Span]:
             while j < len(spans) and spans[j][1] <= at:
                 j += 1
             to = min(m.end(), max(at, spans[j][0])) if j < len(spans) else m.end()
-            if to - at >= LEAST and models.ratio(text[at:to]) > models.threshold:
+            if to - at >= LEAST and models.secret(text[at:to]):
                 more.append((at, to, "markov"))
             at = spans[j][1] if to < m.end() else to
     return sorted(spans + more, key=lambda s: (s[0], KINDS.index(s[2])))

@@ -89,6 +89,68 @@ def test_held_out_recall_and_precision(spark):
     assert len(alarms) < 0.01 * len(names) and not set(names[-4:]) & set(alarms)
 
 
+ALPHABETS = {"base62": string.ascii_letters + string.digits, "base32": string.ascii_uppercase + "234567", "lower": string.ascii_lowercase + string.digits, "HEX": "0123456789ABCDEF", "url": string.ascii_letters + string.digits + "_-"}
+ORDINARY = ["-" * 22, "_" * 24, "A" * 24, "=-" * 20, "-=-=-=-=-=-=-=-=-=", "abcabcabcabcabcabc", "9" * 20, "123e4567-e89b-12d3-a456-426614174000", "00112233-4455-6677-8899-AABBCCDDEEFF", "usr/local/lib/python3/site-packages", "internationalization", "counterrevolutionaries", "x" * 15 + "y"]
+
+
+def test_planted_keys_in_the_tables_own_texts(spark):
+    """Keys of 32 characters put into documents are found, and nothing else is: no rule, repeat, UUID, path or word."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    models = secrets.fit_models(table)
+    rng = random.Random(8)
+    texts = [r.text or "" for r in table.orderBy("doc_id").collect()]
+    for name, alphabet in ALPHABETS.items():
+        found = 0
+        for text in texts[:400]:
+            key, words = "".join(rng.choice(alphabet) for _ in range(32)), text.split(" ")
+            at = rng.randrange(len(words) + 1)
+            planted = " ".join([*words[:at], key, *words[at:]])
+            start = len(" ".join(words[:at])) + bool(at)
+            found += any(kind == "markov" and s <= start and start + 32 <= e for s, e, kind in secrets.all_spans(planted, models))
+        print("recall", name, found / 400)
+        assert found >= 0.93 * 400, name
+    alarms = [text[s:e] for text in texts for s, e, kind in secrets.all_spans(text, models) if kind == "markov"]
+    print("alarms", alarms)
+    assert len(alarms) <= 1
+    for line in ORDINARY:
+        assert not secrets.all_spans(f"see {line} here", models), line
+
+
+def test_markov_spans_equal_a_plain_version():
+    models = secrets.train(secrets.drawn_strings(), secrets.made_identifiers(["some", "words", "here", "names"], 2000))
+    rng = random.Random(12)
+    known = {(a, b): models.odds[i, j] for i, a in enumerate(secrets._ALPHABET) for j, b in enumerate(secrets._ALPHABET)}
+    for _ in range(300):
+        text = "".join(rng.choice(["Qx7Lz9Kp2Wv8Rt4Y", "some_words", "a1b2c3d4" * 4, " ", " ", "é", "secret=abcdefgh1", "-----", "Zk3Vw8"]) for _ in range(12))
+        base = plain(text)
+        free = [all(not s <= i < e for s, e, _ in base) for i in range(len(text))]
+        want, i = [], 0
+        while i < len(text):
+            j = i
+            while j < len(text) and text[j] in secrets._ALPHABET:
+                j += 1
+            if j - i >= 16:
+                k = i
+                while k < j:
+                    to = k
+                    while to < j and free[to] and free[k]:
+                        to += 1
+                    part = text[k:to]
+                    if len(part) >= 16 and sum(known[p] for p in zip(part, part[1:])) / (len(part) - 1) > models.threshold and len(set(part)) >= 7:
+                        want.append((k, to, "markov"))
+                    k = max(to, k + 1)
+            i = max(j, i + 1)
+        assert [s for s in secrets.all_spans(text, models) if s[2] == "markov"] == want
+
+
+def test_repeated_ids_leave_room_for_others(spark):
+    """A thousand rows of one id count as one of the documents that labels come from."""
+    rows = [(0, "plain words")] * 1000 + [(i, f"word{'abcdefghij'[i % 10] * 4} token=Zx9{i:05d}Qw7Lk2Vb4") for i in range(1, 40)]
+    few = secrets.fit_models(spark.createDataFrame(rows, "doc_id long, text string"), fit_docs=30)
+    one = secrets.fit_models(spark.createDataFrame(rows[:1000], "doc_id long, text string"), fit_docs=30)
+    assert (few.odds != one.odds).any()
+
+
 def test_parts_outside_base_spans(spark):
     models = secrets.train(secrets.drawn_strings(), secrets.made_identifiers(["some", "words", "here", "names"], 2000))
     key = "Qx7Lz9Kp2Wv8Rt4YbN3m"
