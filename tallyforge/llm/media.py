@@ -70,6 +70,9 @@ class Located:
         self.pdfs = [at for at, name in self.starts if name == "pdf"]
         self.ends: dict[tuple[str, int], int | None] = {}
         self._marks: np.ndarray | None = None
+        self._zeros: np.ndarray | None = None
+        self._chains: Chains | None = None
+        self.sums: Checksums | None = None
 
     def walk(self, kind: str, at: int, step: Callable[[bytes, int], tuple[int, bool] | None]) -> int | None:
         """Where the chain of blocks that begins at ``at`` ends: ``step`` gives the next block, and whether it is the end."""
@@ -91,6 +94,19 @@ class Located:
             self.ends[kind, place] = end
         return end
 
+    def chains(self) -> Chains:
+        """The chunk chains behind all RIFF heads of the value."""
+        if self._chains is None:
+            self._chains = Chains(self.blob, [at + 12 for at, name in self.starts if name == "wav" and self.blob[at + 8 : at + 12] == b"WAVE"])
+        return self._chains
+
+    def zero_from(self, at: int) -> int:
+        """The first zero byte from ``at`` on, or the end; each stretch is searched once."""
+        if self._zeros is None:
+            self._zeros = np.flatnonzero(np.frombuffer(self.blob, np.uint8) == 0)
+        i = int(np.searchsorted(self._zeros, at))
+        return int(self._zeros[i]) if i < len(self._zeros) else len(self.blob)
+
     def next_mark(self, at: int) -> int | None:
         """The first 0xFF from ``at`` on that begins a JPEG marker: not stuffed, filled or a restart."""
         if self._marks is None:
@@ -101,34 +117,126 @@ class Located:
         return int(self._marks[i]) if i < len(self._marks) else None
 
 
+class Chains:
+    """Chains of RIFF chunks from many starts, as a forest in which each place leads to the next chunk.
+
+    Each place is visited once, however many chains pass it. ``between`` tells in constant time whether the chain from one place
+    passes another, and what chunks it meets before.
+    """
+
+    def __init__(self, b: bytes, starts: list[int]) -> None:
+        onward: dict[int, int | None] = {}
+        for at in starts:
+            while at not in onward:
+                if at + 8 > len(b):
+                    onward[at] = None
+                    break
+                size = struct.unpack_from("<I", b, at + 4)[0]
+                to = at + 8 + size + (size & 1)
+                onward[at] = to if to <= len(b) else None
+                if onward[at] is None:
+                    break
+                at = to
+        self.seen: dict[int, tuple[int, int]] = {}
+        before: dict[int, list[int]] = {}
+        roots = []
+        for at in sorted(onward, reverse=True):  # chains only lead on to later places
+            to = onward[at]
+            name = b[at : at + 4]
+            fmt, data = self.seen[to] if to is not None else (0, 0)
+            self.seen[at] = (fmt + (name == b"fmt "), data + (name == b"data"))
+            (roots if to is None else before.setdefault(to, [])).append(at)
+        self.enter: dict[int, int] = {}
+        self.leave: dict[int, int] = {}
+        clock, stack = 0, [(r, False) for r in roots]
+        while stack:
+            at, done = stack.pop()
+            if done:
+                self.leave[at] = clock
+                continue
+            self.enter[at] = clock
+            clock += 1
+            stack.append((at, True))
+            stack += [(x, False) for x in before.get(at, ())]
+
+    def between(self, at: int, end: int) -> tuple[int, int] | None:
+        """How many format and data chunks the chain from ``at`` meets before ``end``; None if it does not pass there."""
+        if end not in self.enter or not self.enter[end] <= self.enter[at] < self.leave[end]:
+            return None
+        return self.seen[at][0] - self.seen[end][0], self.seen[at][1] - self.seen[end][1]
+
+
 def _wav(m: Located, at: int) -> int | None:
     b = m.blob
     if at + 12 > len(b) or b[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
-    if end > len(b):
+    if end > len(b) or end < at + 12:
         return None
-    at += 12
-    seen = set()
-    while at + 8 <= end:
-        size = struct.unpack_from("<I", b, at + 4)[0]
-        seen.add(b[at : at + 4])
-        at += 8 + size + (size & 1)
-    return end if at == end and {b"fmt ", b"data"} <= seen else None
+    met = m.chains().between(at + 12, end)
+    return end if met and min(met) > 0 else None
 
 
-def _png_chunk(b: bytes, at: int) -> tuple[int, bool] | None:
-    if at + 12 > len(b):
-        return None
-    size, name = struct.unpack_from(">I4s", b, at)
-    end = at + 12 + size
-    if end > len(b) or zlib.crc32(b[at + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
-        return None
-    return end, name == b"IEND"
+class Checksums:
+    """CRC-32 of any stretch of a value, from sums of its beginnings kept every STEP bytes.
+
+    A CRC without its constants is linear, so that of a stretch is that of the value up to its end, less that of the
+    value up to its start moved on by the stretch's length: a product of polynomials modulo the CRC's.
+    """
+
+    STEP = 1 << 11
+    _moves: list[list[list[int]]] = []
+
+    def __init__(self, b: bytes) -> None:
+        self.b, self.kept = b, [0]
+        for at in range(0, len(b), self.STEP):
+            self.kept.append(zlib.crc32(b[at : at + self.STEP], self.kept[-1]))
+
+    def _up_to(self, at: int) -> int:
+        k = at // self.STEP
+        return zlib.crc32(self.b[k * self.STEP : at], self.kept[k])
+
+    def _table(self, level: int) -> list[list[int]]:
+        """For each byte of a sum and its value, that byte moved on by 2**level zero bytes."""
+        while len(self._moves) <= level:
+            if not self._moves:
+                one = lambda x: zlib.crc32(b"\0", x ^ 0xFFFFFFFF) ^ 0xFFFFFFFF
+            else:
+                last = self._moves[-1]
+                one = lambda x, last=last: self._apply(last, self._apply(last, x))
+            self._moves.append([[one(v << 8 * k) for v in range(256)] for k in range(4)])
+        return self._moves[level]
+
+    @staticmethod
+    def _apply(table: list[list[int]], x: int) -> int:
+        return table[0][x & 255] ^ table[1][x >> 8 & 255] ^ table[2][x >> 16 & 255] ^ table[3][x >> 24]
+
+    def of(self, start: int, end: int) -> int:
+        if end - start <= 4 * self.STEP:
+            return zlib.crc32(self.b[start:end])
+        moved, n, level = self._up_to(start), end - start, 0
+        while n:
+            if n & 1:
+                moved = self._apply(self._table(level), moved)
+            n, level = n >> 1, level + 1
+        return self._up_to(end) ^ moved
 
 
 def _png(m: Located, at: int) -> int | None:
-    return m.walk("png", at + 8, _png_chunk) if m.blob[at + 8 : at + 16] == b"\0\0\0\x0dIHDR" else None
+    if m.blob[at + 8 : at + 16] != b"\0\0\0\x0dIHDR":
+        return None
+    m.sums = m.sums or Checksums(m.blob)
+
+    def chunk(b: bytes, at: int) -> tuple[int, bool] | None:
+        if at + 12 > len(b):
+            return None
+        size, name = struct.unpack_from(">I4s", b, at)
+        end = at + 12 + size
+        if end > len(b) or m.sums.of(at + 4, end - 4) != struct.unpack_from(">I", b, end - 4)[0]:
+            return None
+        return end, name == b"IEND"
+
+    return m.walk("png", at + 8, chunk)
 
 
 def _sub_block(b: bytes, at: int) -> tuple[int, bool] | None:
@@ -181,17 +289,27 @@ def _jpeg(m: Located, at: int) -> int | None:
 
 
 def _gzip(m: Located, at: int) -> int | None:
-    b, inflater, to = m.blob, zlib.decompressobj(31), at
+    """A member's head, its deflated data, and the sum and length behind it; of false starts little is read."""
+    b, flags, to = m.blob, m.blob[at + 3] if at + 3 < len(m.blob) else 0xFF, at + 10
+    if flags & 0xE0:
+        return None
+    if flags & 4:
+        to += 2 + (struct.unpack_from("<H", b, to)[0] if to + 2 <= len(b) else len(b))
+    for bit in (8, 16):
+        to = m.zero_from(to) + 1 if flags & bit else to
+    to += 2 if flags & 2 else 0
+    inflater, size, crc, n = zlib.decompressobj(-15), 256, 0, 0
     try:
         while not inflater.eof and to < len(b):
-            held = b[to : to + 65536]
-            to += len(held)
+            held = b[to : to + size]
+            to, size = to + len(held), min(2 * size, 1 << 16)
             while held and not inflater.eof:
-                inflater.decompress(held, 1 << 20)
-                held = inflater.unconsumed_tail
+                made = inflater.decompress(held, 1 << 20)
+                crc, n, held = zlib.crc32(made, crc), n + len(made), inflater.unconsumed_tail
     except zlib.error:
         return None
-    return to - len(inflater.unused_data) if inflater.eof else None
+    end = to - len(inflater.unused_data) + 8
+    return end if inflater.eof and end <= len(b) and struct.unpack_from("<II", b, end - 8) == (crc, n & 0xFFFFFFFF) else None
 
 
 _VERSION = re.compile(rb"%PDF-\d\.\d")

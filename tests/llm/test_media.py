@@ -114,6 +114,62 @@ def test_many_false_starts_take_linear_time(piece):
     assert time.time() - began < 15
 
 
+def _adversary(kind, n):
+    """Starts whose walk, CRC or stream would each go on to the end of the value."""
+    if kind == "wav":
+        return b"".join(b"RIFF" + struct.pack("<I", 4) + b"WAVE" if i % 2 else b"RIFF" + struct.pack("<I", n - 12 * i - 8) + b"WAVE" for i in range(n // 12))
+    head = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + bytes(13) + struct.pack(">I", zlib.crc32(b"IHDR" + bytes(13)))
+    if kind == "png":
+        return b"".join(head + struct.pack(">I4s", n - 41 * i - 53, b"IDAT") for i in range(n // 41 - 2)) + bytes(200)
+    return b"\x1f\x8b\x08\x08\0\0\0\0\0\1" * (n // 10)
+
+
+@pytest.mark.parametrize("kind", ["wav", "png", "gzip"])
+def test_long_walks_take_linear_time(kind):
+    import time
+
+    finder, took = media.automaton(), []
+    for n in (400_000, 4_000_000):
+        blob = _adversary(kind, n)
+        began = time.time()
+        media.nested(blob, finder)
+        took.append(time.time() - began)
+    print(kind, took)
+    assert took[1] < 40 * max(took[0], 0.05)
+
+
+def test_wav_chains_and_checksums_equal_plain_walks():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        parts = [rng.choice([b"fmt ", b"data", b"junk", b"RIFF"]) + struct.pack("<I", rng.choice([0, 1, 2, 4, 12, 20])) + bytes(rng.choice([0, 2, 4])) for _ in range(30)]
+        blob = b"".join(parts)
+        chains = media.Chains(blob, list(range(0, len(blob), 4)))
+        for start in range(0, len(blob), 4):
+            for end in range(start, len(blob) + 1, 2):
+                at, fmt, data = start, 0, 0
+                while at < end and at + 8 <= len(blob):
+                    size = struct.unpack_from("<I", blob, at + 4)[0]
+                    fmt, data = fmt + (blob[at : at + 4] == b"fmt "), data + (blob[at : at + 4] == b"data")
+                    at += 8 + size + (size & 1)
+                assert chains.between(start, end) == ((fmt, data) if at == end else None)
+    big = bytes(rng.randrange(256) for _ in range(60_000))
+    sums = media.Checksums(big)
+    for _ in range(200):
+        i, j = sorted(rng.randrange(60_001) for _ in range(2))
+        assert sums.of(i, j) == zlib.crc32(big[i:j])
+
+
+def test_gzip_heads():
+    finder = media.automaton()
+    for flags, extra in ((0, b""), (8, b"name.txt\0"), (4, b"\3\0abc"), (16, b"said\0"), (2, b"\0\0"), (28, b"\1\0xn\0c\0")):
+        blob = b"\x1f\x8b\x08" + bytes([flags]) + bytes(6) + extra + zipped()[10:]
+        assert media.locate(b"zz" + blob + b"zz", finder) == [("application/gzip", 2, len(blob))]
+        for k in (len(blob) - 3, len(blob) - 6):
+            assert not media.locate(blob[:k] + bytes([blob[k] ^ 1]) + blob[k + 1 :], finder)
+
+
 def test_embedded_media_show_in_the_feature(spark):
     gif = "GIF89a" + "\x01\0" * 2 + "\0\0\0" + "," + "\0" * 4 + "\x01\0\x01\0\0" + "\x02\x02D\x01\0;"
     texts = ["plain prose", "plain " + gif, gif, "see " + PDF.decode() + " here", PDF.decode(), "plain prose"]
