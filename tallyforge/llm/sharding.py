@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyforge.llm.shared import free_name
+
 #: region -> rack -> shard -> weight
 Tree = Mapping[str, Mapping[str, Mapping[int, float]]]
 
@@ -62,10 +64,11 @@ def descend(df: DataFrame, key: str, tree: Tree, into: str) -> DataFrame:
     A region's weight is the sum of its racks', a rack's that of its shards. A change
     inside one rack alters only the weights on its path: rows enter or leave that
     subtree, and rows of the other subtrees that stay keep their shard.
-    Null keys hash as one value, equal keys reach one shard, extra columns pass through.
+    Null keys hash as one value, equal keys reach one shard, extra columns of any name pass through; a column
+    ``into`` of before is replaced.
     """
     weights = {region: {rack: float(sum(leaves.values())) for rack, leaves in racks.items()} for region, racks in tree.items()}
-    region, rack = f"_{into}_region", f"_{into}_rack"
+    region, rack = free_name(df, f"_{into}_region"), free_name(df, f"_{into}_rack")
     out = df.withColumn(region, _draw(F.col(key), {r: sum(w.values()) for r, w in weights.items()}))
     out = out.withColumn(rack, _cases(F.col(region), {r: _draw(F.col(key), w) for r, w in weights.items() if sum(w.values()) > 0}))
     leaves = {name: _draw(F.col(key), {f"shard{s}": w for s, w in shards.items()}) for racks in tree.values() for name, shards in racks.items() if sum(shards.values()) > 0}
@@ -73,20 +76,21 @@ def descend(df: DataFrame, key: str, tree: Tree, into: str) -> DataFrame:
 
 
 def number_slots(df: DataFrame, shard: str, keys: list[str], order: list[str], buckets: int = SLOT_BUCKETS) -> DataFrame:
-    """Add ``slot`` (long): gapless from 0 in each shard.
+    """Add ``slot`` (long): gapless from 0 in each shard; a column ``slot`` of before is replaced, others of any name pass through.
 
     Rows are numbered within (shard, hash bucket of the keys); a bucket starts where the
     buckets before it end. The starts are at most shards x ``buckets`` rows, which bounds
     their broadcast. No shard is gathered in one task.
     """
-    cut = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("slot"), *keys), F.lit(buckets)).cast("int"))
-    sizes = cut.groupBy(F.col(shard).alias("_shard"), F.col("_bucket").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_shard").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_shard", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(shard, "_bucket").orderBy(*order)
-    numbered = cut.withColumn("_rank", F.row_number().over(within) - F.lit(1))
-    joined = numbered.join(F.broadcast(starts), (F.col(shard) == F.col("_shard")) & (F.col("_bucket") == F.col("_at")))
-    return joined.withColumn("slot", F.col("_start") + F.col("_rank")).drop("_bucket", "_rank", "_shard", "_at", "_start")
+    bucket, rank, of, at, start = (free_name(df, n) for n in ("_bucket", "_rank", "_shard", "_at", "_start"))
+    cut = df.withColumn(bucket, F.pmod(F.xxhash64(F.lit("slot"), *keys), F.lit(buckets)).cast("int"))
+    sizes = cut.groupBy(F.col(shard).alias(of), F.col(bucket).alias(at)).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(of).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(of, at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(shard, bucket).orderBy(*order)
+    numbered = cut.withColumn(rank, F.row_number().over(within) - F.lit(1))
+    joined = numbered.join(F.broadcast(starts), (F.col(shard) == F.col(of)) & (F.col(bucket) == F.col(at)))
+    return joined.withColumn("slot", F.col(start) + F.col(rank)).drop(bucket, rank, of, at, start)
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:

@@ -37,3 +37,28 @@ def test_run_and_registration(spark):
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0
     assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in __spark_entry__.queries()}
     assert near_dup.PERCENT == 80 and near_dup.SHINGLE == 5 and packing.WINDOW == 1024
+
+
+def test_edges_of_every_stage(spark, tmp_path):
+    """Null ids, texts and sources, empty and blank texts, repeated rows, a column of a name that stages use themselves, and an empty table."""
+    from pyspark.sql import functions as F
+
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, "no id " * 30, None, "a", None), (900001, None, "en", None, None), (900002, "", "en", "a", 0), (900003, " \n ", "en", "a", 3), (900004, "short", None, "b", 5)], source.schema)
+    docs = source.unionByName(odd).unionByName(source.limit(5)).withColumn("kept", F.lit("x")).withColumn("shingles", F.lit("y"))
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), SF)
+        assert none.count() == 0, name
+        got = stage(spark, docs, SF)
+        if name == "retrieval_packing":
+            assert {r.doc_id for r in got.collect()} >= {900001, 900002}
+            continue
+        assert got.columns == docs.columns and none.columns == docs.columns
+        rows = got.collect()
+        ids = [r.doc_id for r in rows]
+        if name == "quality_rules":
+            assert not {900001, 900002, 900003, 900004} & set(ids)
+        if name == "near_dedup":
+            assert None in ids and {900001, 900002, 900003, 900004} <= set(ids) and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+        if name == "secret_scan":
+            assert len(rows) == docs.count() and {r.doc_id: r.text for r in rows}[900001] is None

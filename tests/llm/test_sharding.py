@@ -58,3 +58,12 @@ def test_any_number_of_shards_grows_into_the_new_one(spark):
         got = sharding.shard_documents(d, n).collect()
         assert all(r.shard < n and r.grown_shard in (r.shard, n) for r in got)
         assert {r.grown_shard for r in got} == set(range(n + 1))
+
+
+def test_columns_of_any_name_stay(docs):
+    from pyspark.sql import functions as F
+
+    names = ["_bucket", "_rank", "_shard", "_at", "_start", "_s_region", "_s_rack"]
+    frame = docs.select("doc_id", *(F.lit("x").alias(n) for n in names))
+    out = sharding.number_slots(sharding.descend(frame, "doc_id", sharding.even_tree(8), "s"), "s", ["doc_id"], ["doc_id"])
+    assert out.columns == ["doc_id", *names, "s", "slot"] and out.where("_bucket = 'x' and _start = 'x' and _s_region = 'x'").count() == docs.count()
