@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
+from tallyforge.sources import pages
 
 
 def audit_rows(actions: DataFrame) -> DataFrame:
@@ -26,11 +27,6 @@ def prompt_rows(prompts: DataFrame, mask: Column) -> DataFrame:
     return prompts.select("ts", mask.alias("redacted"), F.sha2("prompt", 256).alias("sha256"))
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """(name, content) as text, one folder a page; each page ends with a line break."""
-    pages.select("content", "name").write.mode("overwrite").partitionBy("name").text(path)
-
-
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """A Parquet table, or None if there is none yet."""
     try:
@@ -64,9 +60,12 @@ def write_graph(vertices: DataFrame, edges: DataFrame, path: str, force: bool =
     return True
 
 
-def keep_rules(rules: DataFrame, path: str) -> None:
-    """Append rules (surface, merchant_id, category_id) to those kept; a surface's newest rule holds."""
-    rules.select("surface", "merchant_id", "category_id", F.lit(time.time_ns()).alias("kept_at")).write.mode("append").parquet(path)
+def keep_rules(rules: DataFrame, path: str, version: int | None = None) -> None:
+    """Append rules (surface, merchant_id, category_id) to those kept; of a surface's the one of the highest version holds.
+
+    Without a ``version`` the clock gives one, which only suits a single writer.
+    """
+    rules.select("surface", "merchant_id", "category_id", F.lit(time.time_ns() if version is None else version).alias("kept_at")).write.mode("append").parquet(path)
 
 
 def kept_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -78,6 +77,14 @@ def kept_rules(spark: SparkSession, path: str) -> DataFrame:
     return newest.select("surface", "r.merchant_id", "r.category_id")
 
 
+def compact_rules(spark: SparkSession, path: str, into: str) -> None:
+    """Write the rules that hold, each with its version, to a new folder, which then takes rules as the old one did."""
+    rows = read_or_none(spark, path)
+    if rows is not None:
+        newest = rows.groupBy("surface").agg(F.max(F.struct("kept_at", "merchant_id", "category_id")).alias("r"))
+        newest.select("surface", "r.merchant_id", "r.category_id", "r.kept_at").write.parquet(into)
+
+
 def report_page(summary: DataFrame) -> DataFrame:
     """(name, content): one Markdown table of the suites' (suite, total, passed), and what all of them passed."""
     line = F.format_string("| %s | %d/%d |", "suite", "passed", "total")
@@ -89,7 +96,7 @@ def report_page(summary: DataFrame) -> DataFrame:
 def write_report(summary: DataFrame, path: str) -> None:
     """A summary of suites as JSON lines and as a page."""
     summary.write.mode("overwrite").json(f"{path}/json")
-    write_pages(report_page(summary), f"{path}/page")
+    pages.write(report_page(summary), f"{path}/page")
 
 
 def replace_table(df: DataFrame, path: str) -> str:
