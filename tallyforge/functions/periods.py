@@ -59,3 +59,14 @@ def key(column: str | Column) -> Column:
 
 def months_inclusive(start: Column, end: Column) -> Column:
     return (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start) + 1
+
+
+#: Fixed value: an ISO date, with or without hyphens, and a time and offset behind it.
+ISO_DATE = r"^(\d{4})(-?)(\d{2})\2(\d{2})(?:[T ](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}(?::?[0-5]\d){0,2})?)?$"
+
+
+def tolerant_date(c: str | Column) -> Column:
+    """The date of a text that is an ISO date or instant (its own date, whatever the offset), else null; dates and timestamps by their day."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("string")
+    part = lambda i: F.regexp_extract(c, ISO_DATE, i)
+    return F.concat_ws("-", part(1), part(3), part(4)).try_cast("date")

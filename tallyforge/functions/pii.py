@@ -8,6 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tallyforge.sources.places import cut
 
 #: The patterns, in the order in which they apply, and what they become.
 CARD = r"\b(?:\d{4}[\s-]){3}\d{4}\b|\b\d{4}[\s-]\d{6}[\s-]\d{5}\b"
@@ -61,20 +64,6 @@ def assert_none(c: str | Column) -> Column:
     return F.when(residual(c).isNull(), c).otherwise(F.raise_error(F.concat(F.lit("personal data left: "), residual(c))))
 
 
-class _Session:
-    """Tokens of one session: equal originals share a token, numbers run by kind."""
-
-    def __init__(self):
-        self.token: dict[str, str] = {}
-        self.count: dict[str, int] = {}
-
-    def name(self, kind: str, original: str) -> str:
-        if original not in self.token:
-            self.count[kind] = self.count.get(kind, 0) + 1
-            self.token[original] = f"<<{kind}_{self.count[kind]:03d}>>"
-        return self.token[original]
-
-
 _KINDS = {"NI_NUMBER": "NI", "SORT_CODE": "SORT"}
 
 
@@ -84,29 +73,73 @@ def _luhn(text: str) -> bool:
     return 13 <= len(digits) <= 19 and (sum(digits[-1::-2]) + sum(doubled)) % 10 == 0
 
 
-def tokenize(messages: DataFrame) -> DataFrame:
-    """Messages (session, seq, text) with personal data replaced by tokens that are stable in a session.
+def _pieces(text: str, patterns: list[tuple[re.Pattern, str]], card: re.Pattern) -> tuple[list[tuple[str | None, int | None]], list[tuple[str, str]]]:
+    """A message as literal pieces and numbers of values, and its values (kind, original) in the order in which patterns find them.
 
-    State follows the order of ``seq``, so a session is one group; ``tokens`` maps what the message used.
+    A value leaves a mark as wide as its token, of characters that no pattern takes and the message lacks.
     """
-    compiled = [(re.compile(p), _KINDS.get(n, n)) for p, n in PATTERNS]
-    card = re.compile(CARD)
+    sign = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text)
+    digits = [c for c in map(chr, range(0xF0000, 0xF0100)) if c not in text][:11]
+    found: list[tuple[str, str]] = []
+
+    def mark(kind: str, original: str) -> str:
+        found.append((kind, original))
+        return sign + "".join(digits[int(d)] for d in str(len(found) - 1)).rjust(len(kind) + 7, digits[10])
+
+    text = card.sub(lambda m: mark("CARD", m[0]) if _luhn(m[0]) else m[0], text)
+    for pattern, kind in patterns:
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        state, rows = _Session(), []
-        for row in group.sort_values("seq").itertuples():
-            text = card.sub(lambda m: state.name("CARD", m[0]) if _luhn(m[0]) else m[0], row.text or "")
-            for pattern, kind in compiled:
+        def put(m, kind=kind, text=text):
+            near = text[max(0, m.start() - ACCOUNT_SPAN) : m.start()].lower()
+            return mark("ACCT" if kind == "NUM" and any(w in near for w in ACCOUNT_WORDS) else kind, m[0])
 
-                def put(m, kind=kind, text=text):
-                    near = text[max(0, m.start() - ACCOUNT_SPAN) : m.start()].lower()
-                    return state.name("ACCT" if kind == "NUM" and any(w in near for w in ACCOUNT_WORDS) else kind, m[0])
+        text = pattern.sub(put, text)
+    number = {d: str(k) for k, d in enumerate(digits[:10])} | {digits[10]: ""}
+    pieces: list[tuple[str | None, int | None]] = []
+    for k, part in enumerate(re.split(f"{sign}([{''.join(digits)}]+)", text)):
+        pieces.append((None, int("".join(map(number.__getitem__, part)))) if k % 2 else (part, None))
+    return pieces, found
 
-                text = pattern.sub(put, text)
-            rows.append((row.session, row.seq, text, {t: o for o, t in state.token.items() if t in text}))
-        return pd.DataFrame(rows, columns=["session", "seq", "text", "tokens"])
 
-    return messages.select("session", "seq", "text").groupBy("session").applyInPandas(run, "session string, seq long, text string, tokens map<string,string>")
+#: Values of seq numbered by one task at a time.
+SEQ_BLOCK = 1024
+_PARSED = "id long, session string, seq long, pieces array<struct<literal: string, at: int>>, found array<struct<kind: string, value: string>>"
+
+
+def tokenize(messages: DataFrame) -> DataFrame:
+    """Messages (session, seq, text) with personal data replaced by tokens that are stable in a session; ``tokens`` maps those of the message.
+
+    Equal originals of a session share a token, whose kind is that of the first; numbers run by kind in the order of first occurrence: by
+    ``seq``, then pattern, then place. Messages are looked at one by one; a session's distinct values are numbered in blocks of
+    SEQ_BLOCK values of ``seq``, on from the counts of the blocks before, so no task holds a session. Null texts are empty.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled, card = [(re.compile(p), _KINDS.get(n, n)) for p, n in PATTERNS], re.compile(CARD)
+        for batch in batches:
+            made = [_pieces(t or "", compiled, card) for t in batch["text"]]
+            batch["pieces"] = [[{"literal": x, "at": k} for x, k in m[0]] for m in made]
+            batch["found"] = [[{"kind": k, "value": v} for k, v in m[1]] for m in made]
+            yield batch.drop(columns="text")
+
+    asked = messages.select(F.monotonically_increasing_id().alias("id"), F.col("session").cast("string").alias("session"), F.col("seq").cast("long").alias("seq"), "text")
+    parsed = cut(asked.mapInPandas(run, _PARSED), "parsed-messages")
+    each = parsed.select("id", "session", "seq", F.posexplode("found").alias("at", "f")).select("id", "session", "seq", "at", "f.kind", "f.value")
+    first = each.groupBy("session", "value").agg(F.min(F.struct("seq", "id", "at", "kind")).alias("first")).select("session", "value", "first.*")
+    block = first.withColumn("block", F.floor(F.coalesce("seq", F.lit(0)) / F.lit(SEQ_BLOCK)))
+    before = Window.partitionBy("session", "kind").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = block.groupBy("session", "kind", "block").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("session", "kind", "block").orderBy("seq", "id", "at"))
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("session", "kind", "block")]
+    numbered = block.withColumn("_rank", rank).alias("b").join(starts.alias("s"), same[0] & same[1] & same[2])
+    named = numbered.select(F.col("b.session").alias("_session"), F.col("b.value").alias("_value"), F.format_string("<<%s_%03d>>", F.col("b.kind"), F.col("s._start") + F.col("b._rank")).alias("token"))
+    used = each.join(named, F.col("session").eqNullSafe(F.col("_session")) & (F.col("value") == F.col("_value")))
+    held = used.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("at", "token", "value"))).alias("_t"))
+    out = parsed.join(held, F.col("id") == F.col("_id"), "left")
+    tokens = F.coalesce("_t", F.array().cast("array<struct<at:int,token:string,value:string>>"))
+    text = F.array_join(F.transform("pieces", lambda p: F.coalesce(p["literal"], F.try_element_at(tokens, p["at"] + 1)["token"])), "")
+    entries = F.map_from_entries(F.array_distinct(F.transform(tokens, lambda t: F.struct(t["token"].alias("key"), t["value"].alias("value")))))
+    return out.select("session", "seq", text.alias("text"), entries.alias("tokens"))
 
 
 def detokenize(text: str | Column, tokens: str | Column) -> Column:

@@ -16,7 +16,7 @@ def schedule(outstanding: Column, apr: Column, payment: Column) -> Column:
     Interest is rounded half-even to cents each month; the last month pays what is left.
     """
     zero = F.lit(0).cast(MONEY)
-    rate = (apr.cast("decimal(10,6)") / 12).cast("decimal(17,16)")
+    rate = (apr.cast("decimal(22,18)") / 12).cast("decimal(17,16)")
     pay = payment.cast(MONEY)
     none = F.expr("cast(array() as array<struct<month:int,payment:decimal(18,2),interest:decimal(18,2),principal:decimal(18,2),balance:decimal(18,2)>>)")
     start = F.struct(outstanding.cast(MONEY).alias("left"), none.alias("rows"))

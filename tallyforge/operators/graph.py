@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.sources.places import cut
+
 VERTEX = ["id", "label", "props"]
 
 
@@ -108,11 +110,20 @@ def undeclared_links(nodes: DataFrame, links: DataFrame, allowed: DataFrame) ->
     return named.join(allowed, ["from_label", "type", "to_label"], "left_anti")
 
 
-def category_tree(categories: DataFrame, depth: int = 8) -> DataFrame:
-    """(id, ancestor, distance) up to ``depth`` parents."""
-    step = categories.select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance")).where("ancestor is not null")
-    out, parents = step, categories.select(F.col("id").alias("_id"), "parent_id")
-    for d in range(2, depth + 1):
-        step = step.join(parents, F.col("ancestor") == F.col("_id")).where("parent_id is not null").select(step["id"], F.col("parent_id").alias("ancestor"), F.lit(d).alias("distance"))
-        out = out.unionByName(step)
-    return out
+def category_tree(categories: DataFrame) -> DataFrame:
+    """(id, ancestor, distance) of all ancestors of each of (id, parent_id), however deep; a circle raises ValueError.
+
+    Each round joins the longest ways found with all ways, which doubles their length, so that a chain of n takes
+    log n rounds; the ways found are kept in the scratch folder.
+    """
+    reach = cut(categories.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance")).distinct(), "ways")
+    longest = 1
+    while True:
+        if circle := reach.where("id = ancestor").limit(1).collect():
+            raise ValueError(f"{circle[0]['id']} is its own ancestor")
+        on = reach.select(F.col("id").alias("_id"), F.col("ancestor").alias("_a"), F.col("distance").alias("_d"))
+        further = reach.where(F.col("distance") == longest).join(on, F.col("ancestor") == F.col("_id")).select("id", F.col("_a").alias("ancestor"), (F.col("distance") + F.col("_d")).alias("distance"))
+        more = cut(further, "further-ways")
+        if more.isEmpty():
+            return reach
+        reach, longest = cut(reach.unionByName(more), "ways"), 2 * longest

@@ -61,13 +61,15 @@ def query(spark: SparkSession, sql: str, args: dict | None = None, limit: int =
 def execute(spark: SparkSession, sql: str, args: dict | None = None, limit: int = ROW_LIMIT, timeout_s: float = TIMEOUT_S, max_bytes: int | None = None) -> Answer:
     """Run a guarded query; whatever goes wrong comes back as ``error``.
 
-    Beyond ``timeout_s`` its jobs are cancelled; with ``max_bytes`` a plan whose estimate is larger is refused.
+    Beyond ``timeout_s`` its jobs are cancelled. An expensive plan is refused before it runs (``refuse_expensive``), and with ``max_bytes`` one
+    whose result is estimated to be larger.
     """
     tag = f"guard-{uuid.uuid4().hex}"
     spark.addTag(tag)
     timer = threading.Timer(timeout_s, lambda: spark.interruptTag(tag) if hasattr(spark, "interruptTag") else spark.sparkContext.cancelAllJobs())
     try:
         df = query(spark, sql, args, limit)
+        refuse_expensive(df)
         if max_bytes is not None and estimated_bytes(df) > max_bytes:
             return Answer(error="the plan is too expensive")
         timer.start()
@@ -80,15 +82,73 @@ def execute(spark: SparkSession, sql: str, args: dict | None = None, limit: int
         spark.removeTag(tag)
 
 
+@dataclass
+class PlanNode:
+    """A node of the optimised plan: its name, Spark's estimate of what it gives, and why it is expensive if it is."""
+
+    name: str
+    depth: int
+    bytes: int
+    rows: int | None
+    problem: str | None = None
+
+
+#: Estimated bytes: of both sides of a join without a condition, of a scan that no filter narrows, and of all that a plan sorts, joins or groups.
+CARTESIAN_BYTES, SCAN_BYTES, MOVED_BYTES = 10 << 20, 1 << 40, 1 << 42
+MOVING = {"Join", "Aggregate", "Sort", "Window", "Distinct", "RepartitionByExpression", "Repartition"}
+
+
+def plan_nodes(df: DataFrame, cartesian_bytes: int = CARTESIAN_BYTES, scan_bytes: int = SCAN_BYTES, moved_bytes: int = MOVED_BYTES) -> list[PlanNode]:
+    """The nodes of the optimised plan from the top, each with its statistics; nothing is run.
+
+    A problem is a join without a condition whose sides may both have several rows and are large together, a relation that is
+    read whole although it is large, and the node at which the bytes that joins, groupings and sorts take exceed ``moved_bytes``.
+    Statistics are Spark's; those of ``ANALYZE TABLE`` with ``spark.sql.cbo.enabled`` make them better.
+    """
+    out: list[PlanNode] = []
+    moved = 0
+
+    def walk(node, depth: int, filtered: bool) -> None:
+        nonlocal moved
+        kind, stats = node.getClass().getSimpleName(), node.stats()
+        size, rows = int(str(stats.sizeInBytes())), stats.rowCount()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        one = PlanNode(kind, depth, size, int(str(rows.get())) if rows.isDefined() else None)
+        out.append(one)
+        sizes = [int(str(c.stats().sizeInBytes())) for c in children]
+        if kind == "Join" and node.condition().isEmpty() and node.joinType().toString() in ("Inner", "Cross", "FullOuter", "LeftOuter", "RightOuter"):
+            many = [not (c.maxRows().isDefined() and int(str(c.maxRows().get())) <= 1) for c in children]
+            if all(many) and sum(sizes) > cartesian_bytes:
+                one.problem = f"a join of all pairs of {sizes[0]} and {sizes[1]} bytes"
+        if kind == "LogicalRelation" and not filtered and size > scan_bytes:
+            one.problem = f"a scan of {size} bytes without a filter"
+        if kind in MOVING:
+            moved += sum(sizes)
+            if moved > moved_bytes and one.problem is None:
+                one.problem = f"{moved} bytes are sorted, joined or grouped up to here"
+        for c in children:
+            walk(c, depth + 1, kind == "Filter" or filtered and kind in ("Project", "SubqueryAlias"))
+
+    walk(df._jdf.queryExecution().optimizedPlan(), 0, False)
+    return out
+
+
+def refuse_expensive(df: DataFrame, **limits: int) -> None:
+    """Raise QueryRejected with the first problem of the plan (``plan_nodes``)."""
+    for node in plan_nodes(df, **limits):
+        if node.problem:
+            raise QueryRejected(f"the plan is too expensive: {node.problem}")
+
+
 def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def explain(spark: SparkSession, sql: str, args: dict | None = None) -> dict:
-    """The plan's operator and Spark's estimate of its size."""
+    """The plan, Spark's estimate of its size, and each node with its statistics; the query is not run."""
     reject_writes(sql)
     df = spark.sql(reject_several(sql), args=args or {})
-    return {"plan": df._jdf.queryExecution().toString(), "estimated_bytes": estimated_bytes(df)}
+    return {"plan": df._jdf.queryExecution().toString(), "estimated_bytes": estimated_bytes(df), "nodes": plan_nodes(df)}
 
 
 def reconcile(transactions: DataFrame, first: date, until: date, claimed: str, tolerance: str = "0.01", **equal) -> DataFrame:

@@ -15,9 +15,15 @@ NEAR = 0.01
 OPERATIONS = ("eq", "lt", "gt", "lte", "gte", "approx")
 
 
+def _place(path: str) -> str:
+    """``a.b[0].c`` or ``a.b.0.c`` as a JSON path."""
+    steps = [s for s in path.replace("[", ".").replace("]", "").split(".") if s]
+    return "$" + "".join(f"[{s}]" if s.isdigit() else f".{s}" for s in steps)
+
+
 def resolve(result: Column, path: str) -> Column:
-    """The text of what stands at the path; null where there is nothing."""
-    return F.get_json_object(result, f"$.{path}")
+    """The text of what stands at the path, whose steps into lists may be ``[0]`` or ``.0``; null where there is nothing."""
+    return F.get_json_object(result, _place(path))
 
 
 def section_present(body: Column, section: str) -> Column:
@@ -53,7 +59,11 @@ def field_equals(result: Column, path: str, value: str) -> Column:
 
 
 def list_length(result: Column, path: str, n: int) -> Column:
-    return F.coalesce(F.json_array_length(resolve(result, path)) == n, F.lit(False))
+    """Whether a list has ``n`` elements, an object as many keys, or a text as many characters; other values have no length."""
+    value = resolve(result, path)
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(result), _place(path), "variant"))
+    size = F.when(kind.startswith("ARRAY"), F.json_array_length(value)).when(kind.startswith("OBJECT"), F.size(F.json_object_keys(value))).when(kind == "STRING", F.length(value))
+    return F.coalesce(size == n, F.lit(False))
 
 
 def returns_row(query: DataFrame, expected: list) -> bool:

@@ -39,9 +39,13 @@ def upsert_goals(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def upsert_merchants(old: DataFrame, new: DataFrame, transactions: DataFrame) -> DataFrame:
-    """New merchants are added; known ones gain aliases, and their name and category change only while no transaction refers to them."""
+    """New merchants are added; known ones gain aliases, and their name and category change only while no transaction refers to them.
+
+    Of several new rows of one id the name and category of the first count: by ``arrival`` if there is such a column, else by name.
+    """
+    came = F.struct(*(F.col(c) for c in ("arrival", "canonical_name", "category_id") if c in new.columns))
     used = transactions.where("merchant_id is not null").select(F.col("merchant_id").alias("id")).distinct().withColumn("_used", F.lit(True))
-    fresh = new.groupBy("id").agg(F.first("canonical_name").alias("_name"), F.first("category_id").alias("_cat"), F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("_aliases"))
+    fresh = new.groupBy("id").agg(F.min_by("canonical_name", came).alias("_name"), F.min_by("category_id", came).alias("_cat"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("_aliases"))
     both = old.join(fresh, "id", "full").join(used, "id", "left")
     frozen = F.coalesce("_used", F.lit(False)) & F.col("canonical_name").isNotNull()
     none = F.array().cast("array<string>")

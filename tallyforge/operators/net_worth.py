@@ -17,9 +17,13 @@ def positions(transactions: DataFrame, accounts: DataFrame, period: str) -> Data
 
 
 def snapshot(transactions: DataFrame, accounts: DataFrame, period: str) -> DataFrame:
-    """One net_worth_snapshots row: the total, and the position of each account."""
-    pairs = F.sort_array(F.collect_list(F.struct("account_id", "position")))
-    return positions(transactions, accounts, period).agg(F.lit(period).alias("period"), total("position").alias("total_amount"), F.map_from_entries(pairs).alias("by_account"))
+    """(period, account_id, position): what a snapshot holds of each account, one row an account."""
+    return positions(transactions, accounts, period).select(F.lit(period).alias("period"), "account_id", "position")
+
+
+def snapshot_totals(snapshots: DataFrame) -> DataFrame:
+    """(period, total_amount, accounts) of snapshots."""
+    return snapshots.groupBy("period").agg(total("position").alias("total_amount"), F.count(F.lit(1)).alias("accounts"))
 
 
 def running_positions(transactions: DataFrame) -> DataFrame:
