@@ -94,10 +94,11 @@ def test_goals(spark):
 def test_net_worth(spark):
     t = monthly(spark, ["500"] * 4, "2025_01", account="s").unionByName(monthly(spark, ["-100"] * 4, "2025_01", account="c"))
     accounts = spark.createDataFrame([("s",), ("c",), ("idle",)], "id string")
-    row = net_worth.snapshot(t, accounts, "2025_04").first()
-    assert row.total_amount == D("1600.00") and row.by_account == {"s": D("2000.00"), "c": D("-400.00"), "idle": D("0.00")}
+    rows = net_worth.snapshot(t, accounts, "2025_04")
+    assert {r.account_id: r.position for r in rows.collect()} == {"s": D("2000.00"), "c": D("-400.00"), "idle": D("0.00")}
     stored = spark.createDataFrame([("2025_03", D("1200"))], "period string, total_amount decimal(18,2)")
-    now = net_worth.snapshot(t, accounts, "2025_04")
+    now = net_worth.snapshot_totals(rows)
+    assert [tuple(r) for r in now.collect()] == [("2025_04", D("1600.00"), 3)]
     (d,) = net_worth.month_over_month(now, stored).collect()
     assert (d.delta, round(d.delta_pct, 3)) == (D("400.00"), 0.333)
     (n,) = net_worth.month_over_month(now, stored.limit(0)).collect()

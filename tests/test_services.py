@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import graph, guard, memo, mutations, replay, search
 from tallyforge.plans import registry
-from tallyforge.sources import files, sinks
+from tallyforge.sources import files, sinks, versions
+from tallyforge.sources import pages as page_files
 from tallyforge.streaming import arrivals
 
 WRITES = ["DELETE FROM t", "drop table t", "select 1; UPDATE t SET a=1", "create view v as select 1", "INSERT INTO t VALUES (1)", "MERGE INTO t USING s", "TRUNCATE t", "COPY t TO 'x'", "ALTER TABLE t", "GRANT ALL", "REVOKE ALL", "MATCH (n) DETACH DELETE n", "call apoc.refactor.x()"]
@@ -187,9 +188,8 @@ def test_sinks(spark, tmp_path):
     rows = spark.read.json(str(tmp_path / "audit"))
     assert rows.count() == 2 and rows.first().decision_id == "dec_20250401T102030123_upsert_goal_user"
     pages = memo.entity_pages(spark.createDataFrame([("a", "Acme")], "id string, title string"), spark.createDataFrame([("a", "s2"), ("a", "s1"), ("a", "s1")], "id string, member string"), "Merchant")
-    sinks.write_pages(pages, str(tmp_path / "pages"))
-    text = next((tmp_path / "pages" / "name=a.md").glob("part-*")).read_text()
-    assert text == "---\nid: a\ntype: Merchant\n---\n# Acme\n\n- [[s1]]\n- [[s2]]\n"
+    assert page_files.write(pages, f"file://{tmp_path}/pages") == 1
+    assert (tmp_path / "pages" / "a.md").read_text() == "---\nid: a\ntype: Merchant\n---\n# Acme\n\n- [[s1]]\n- [[s2]]\n"
     (tmp_path / "g.jsonl").write_text("\n".join(map(json.dumps, [{"kind": "node", "id": "a", "type": "M"}, {"kind": "edge", "source": "a", "target": "b", "type": "T"}])))
     nodes, edges = files.graph_snapshot(spark, str(tmp_path / "g.jsonl"))
     assert nodes.count() == 1 and edges.first().target == "b"
@@ -210,7 +210,7 @@ def test_arrivals(spark, tmp_path):
         q = arrivals.start_ingest(spark, str(tmp_path / "in"), str(ledger), str(state))
         q.awaitTermination(120)
         assert q.exception() is None
-        return spark.read.parquet(str(ledger / "transactions"))
+        return versions.Ledger(spark, str(ledger)).read("transactions")
 
     first = run()
     assert {(r.date.day, r.amount) for r in first.collect()} == {(1, D("-4.50")), (2, D("-4.50"))}
@@ -229,7 +229,7 @@ def test_overlapping_statements_are_stored_once(spark, tmp_path):
     q = arrivals.start_ingest(spark, str(tmp_path / "in"), str(tmp_path / "ledger"), str(tmp_path / "state"))
     q.awaitTermination(120)
     assert q.exception() is None
-    got = spark.read.parquet(str(tmp_path / "ledger" / "transactions")).collect()
+    got = versions.Ledger(spark, str(tmp_path / "ledger")).read("transactions").collect()
     assert sorted((r.account_id, r.date.day) for r in got) == [("acct_joint", 1), ("acct_savings", 1), ("acct_savings", 2), ("acct_savings", 3)]
     assert {r.statement_id for r in got} <= {"stmt_joint_2025_04", "stmt_savings_2025_04", "stmt_savings_2025_05"}
 
@@ -284,7 +284,7 @@ def test_rules_are_kept(spark, tmp_path):
 
 def test_report(spark, tmp_path):
     summary = spark.createDataFrame([("b", 3, 1), ("a", 2, 2)], "suite string, total long, passed long")
-    sinks.write_report(summary, str(tmp_path / "report"))
+    sinks.write_report(summary, f"file://{tmp_path}/report")
     assert spark.read.json(str(tmp_path / "report/json")).count() == 2
     text = sinks.report_page(summary).first().content
     assert "3 of 5 passed" in text and text.index("| a | 2/2 |") < text.index("| b | 1/3 |")
