@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import periods, pii, text
-from tallyforge.operators import anomalies, graph, guard, mutations, search, wiki
+from tallyforge.operators import advisor, anomalies, graph, guard, matchers, mutations, replay, search, wiki
 from tallyforge.plans import registry
 from tallyforge.plans.registry import PATTERNS, patterns, query, tx, values
 from tallyforge.sources import ledger, pages, versions
@@ -247,20 +247,21 @@ def _(s, d):
 # Text and personal data
 
 
+_DIGITS = "LIST_REVERSE(STRING_SPLIT(REGEXP_REPLACE(x, '[^0-9]', '', 'g'), ''))"
+_LUHN = f"(LIST_SUM(LIST_TRANSFORM({_DIGITS}, lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) WHEN CAST(c AS INTEGER) > 4 THEN 2 * CAST(c AS INTEGER) - 9 ELSE 2 * CAST(c AS INTEGER) END)) % 10 = 0)"
+_CARDS = f"LIST_FILTER(LIST_DISTINCT(REGEXP_EXTRACT_ALL(COALESCE(text, ''), '{pii.CARD}')), lambda x: {_LUHN})"
+
+
 def _sql_mask(denied: str) -> str:
     """The ordered patterns in SQL; a grouped card number goes only if its check digit is right."""
-    digits = "LIST_REVERSE(STRING_SPLIT(REGEXP_REPLACE(x, '[^0-9]', '', 'g'), ''))"
-    luhn = f"(LIST_SUM(LIST_TRANSFORM({digits}, lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) WHEN CAST(c AS INTEGER) > 4 THEN 2 * CAST(c AS INTEGER) - 9 ELSE 2 * CAST(c AS INTEGER) END)) % 10 = 0)"
-    cards = f"LIST_FILTER(LIST_DISTINCT(REGEXP_EXTRACT_ALL(COALESCE(text, ''), '{pii.CARD}')), lambda x: {luhn})"
-    out = f"LIST_REDUCE(LIST_CONCAT([COALESCE(text, '')], {cards}), lambda t, c: REPLACE(t, c, '[CARD]'))"
+    out = f"LIST_REDUCE(LIST_CONCAT([COALESCE(text, '')], {_CARDS}), lambda t, c: REPLACE(t, c, '[CARD]'))"
     for pattern, name in pii.PATTERNS:
         out = f"REGEXP_REPLACE({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '[{name}]', 'g')"
     return f"REGEXP_REPLACE({out}, '(?i){denied}', '[NAME]', 'g')"
 
 
-@query("x20_masked", f"SELECT doc_id, SHA256({_sql_mask('loser')}) AS masked FROM documents", prefix=False)
-def _(s, d):
-    return ledger.read(s, d, "documents").select("doc_id", F.sha2(pii.mask("text", ("loser",)), 256).alias("masked"))
+_LEFT = " ".join(f"WHEN REGEXP_MATCHES(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for p, n in pii.PATTERNS)
+registry.ORACLES["x19_mask_emails_and_numbers"] = f"SELECT doc_id, SHA256({_sql_mask('loser')}) AS masked, CASE WHEN LEN({_CARDS}) > 0 THEN 'CARD' {_LEFT} END AS residual FROM documents"
 
 
 @query("x22_session_tokens")
@@ -336,3 +337,76 @@ def _(s, d):
 @query("a20_pattern_counts", f"WITH {PATTERNS} SELECT COUNT(*) AS n, MIN(last_seen) AS first, MAX(last_seen) AS last FROM expecting")
 def _(s, d):
     return anomalies.derive_patterns(tx(s, d, "date", "amount", "merchant_id"), "1996_01", "1996_12").agg(F.count(F.lit(1)).alias("n"), F.min("last_seen").alias("first"), F.max("last_seen").alias("last"))
+
+
+@query("x17_json_lists", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_name || '|' || p_brand ELSE '' END AS items FROM part", prefix=False)
+def _(s, d):
+    """Lists in JSON, bare text and nulls."""
+    k = F.col("p_partkey") % 3
+    said = F.when(k == 0, F.to_json(F.array("p_name", "p_brand"))).when(k == 1, F.col("p_name"))
+    return ledger.read(s, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(text.json_list(said), "|").alias("items"))
+
+
+@query("x27_snake_names", "SELECT p_partkey AS id, REPLACE(p_name, ' ', '_') AS name FROM part", prefix=False)
+def _(s, d):
+    return ledger.read(s, d, "part").select(F.col("p_partkey").alias("id"), text.snake(F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))).alias("name"))
+
+
+@query("x30_more_assertions", """WITH p AS (SELECT event_id, event_type AS suite, user_id, UNNEST(['section', 'two_items', 'two_keys', 'six_letters', 'any_item', 'cites']) AS check_name FROM events),
+j AS (SELECT suite, check_name, CASE check_name WHEN 'section' THEN suite = 'click' WHEN 'two_items' THEN user_id % 3 = 0 WHEN 'two_keys' THEN user_id % 2 = 0 WHEN 'six_letters' THEN LENGTH(suite) = 6 WHEN 'any_item' THEN user_id % 10 = 7 ELSE event_id % 4 >= 2 END AS ok FROM p)
+SELECT suite, check_name, COUNT(*) AS total, CAST(SUM(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS passed FROM j GROUP BY suite, check_name""", prefix=False)
+def _(s, d):
+    """Matchers of sections, lists, objects, texts, list elements and citations over results built from events."""
+    u, e = F.col("user_id"), ledger.read(s, d, "events")
+    items = F.when(u % 3 == 0, F.array(F.lit("x"), (u % 10).cast("string"))).otherwise(F.array((u % 10).cast("string")))
+    keys = F.when(u % 2 == 0, F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))).otherwise(F.create_map(F.lit("a"), F.lit(1)))
+    result = F.to_json(F.struct(items.alias("items"), keys.alias("keys"), F.col("event_type").alias("kind")))
+    cites = F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 1, (F.col("event_id") % 4).cast("int"))
+    rows = e.select("event_type", result.alias("r"), F.concat(F.lit("## "), "event_type", F.lit("\nbody")).alias("body"), cites.alias("cites"))
+    r = F.col("r")
+    checks = {
+        "section": matchers.section_present(F.col("body"), "click"),
+        "two_items": matchers.list_length(r, "items", 2),
+        "two_keys": matchers.list_length(r, "keys", 2),
+        "six_letters": matchers.list_length(r, "kind", 6),
+        "any_item": matchers.regex_match(r, "items", "^7$|\n7$"),
+        "cites": matchers.citation_count_gte(F.col("cites"), 2),
+    }
+    found = matchers.assertions(rows, F.col("event_type"), checks)
+    return replay.suite_summary(found.withColumn("suite", F.struct("suite", "check_name"))).select("suite.suite", "suite.check_name", "total", "passed")
+
+
+@query("n4_mean_forecast", f"WITH {registry._spine(1)} SELECT category, 'mean' AS method, CAST(k AS INTEGER) AS k, ROUND(mean, 6) AS forecast, CAST(0 AS DOUBLE) AS rmse, ROUND(mean, 6) AS monthly_average FROM means CROSS JOIN RANGE(3) r(k)")
+def _(s, d):
+    """A series of one month repeats its mean."""
+    return registry._steps(registry._forecasts(s, d, 1))
+
+
+@query("f16_generic_names", """WITH m AS (SELECT 'm_' || p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN 'Other' WHEN 3 THEN 'Direct Debit' WHEN 5 THEN 'other' ELSE p_name END AS canonical_name FROM part)
+SELECT id, canonical_name, 'concept_' || id || '_' || LEFT(SHA256(id || '|merchant|generic merchant name'), 8) AS concept_id FROM m WHERE canonical_name IN ('Other', 'Unknown', 'Name', 'Direct Debit', 'X')""", prefix=False)
+def _(s, d):
+    k = F.col("p_partkey") % 7
+    named = F.when(k == 0, "Other").when(k == 3, "Direct Debit").when(k == 5, "other").otherwise(F.col("p_name"))
+    return advisor.flag_generic(ledger.read(s, d, "part").select(F.concat(F.lit("m_"), "p_partkey").alias("id"), named.alias("canonical_name")))
+
+
+@query("r8_recommendation_ids", f"""WITH {registry.VARIANCE}, b AS (SELECT '## Reconsider budget [[' || id || ']]' || CHR(10) || CHR(10) || 'In {registry.PERIOD} spend was £' || actual || ' against a target of £' || target || '.' AS body_md FROM variances WHERE status = 'over' AND delta_pct >= 0.2)
+SELECT body_md, 'rec_{registry.PERIOD}_' || LEFT(SHA256(body_md), 8) AS id FROM b""")
+def _(s, d):
+    return advisor.recommendations([advisor.budget_adjust(registry.variances(s, d), registry.PERIOD)], registry.PERIOD).select("body_md", "id")
+
+
+def _counted(name: str) -> str:
+    return f"SELECT kind FROM ({registry.ORACLES[name]})"
+
+
+@query("r0_recommendation_counts", "SELECT kind, COUNT(*) AS n FROM (" + " UNION ALL ".join(map(_counted, ("r1_subscription_cancel", "r2_budget_adjust", "r3_goal_off_track", "r4_anomaly_investigate", "r5_credit_payoff_accelerate", "r6_forecast_overshoot", "r7_net_worth_decline"))) + ") GROUP BY kind", prefix=False)
+def _(s, d):
+    """How many recommendations of each kind all rules together make."""
+    return registry.QUERIES["r0_all_recommendations"](s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a19_label_counts", f"SELECT label, COUNT(*) AS n FROM ({registry.ORACLES['g1_vertices']}) GROUP BY label", prefix=False)
+def _(s, d):
+    nodes, links = registry.the_graph(s, d)
+    return graph.stats(nodes, links)[0]
