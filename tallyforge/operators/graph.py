@@ -96,6 +96,12 @@ def statement_merchants(links: DataFrame) -> DataFrame:
     return held.join(spent, "_t").groupBy("statement_id", "merchant_id").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def statement_merchants_of(transactions: DataFrame) -> DataFrame:
+    """As ``statement_merchants``, from transactions (id, statement_id, merchant_id) themselves: one pass, no join."""
+    held = transactions.where("statement_id is not null and merchant_id is not null").select("statement_id", "merchant_id", "id").distinct()
+    return held.groupBy("statement_id", "merchant_id").agg(F.count(F.lit(1)).alias("weight"))
+
+
 def merchant_categories(links: DataFrame, merchant_id: str) -> DataFrame:
     """Categories of a merchant's transactions with their numbers."""
     spent = links.where((F.col("type") == "AT_MERCHANT") & (F.col("dst") == merchant_id)).select(F.col("src").alias("_t"))

@@ -565,6 +565,11 @@ def _(s, d):
 
 
 @query("g6_statement_merchants", "SELECT statement_id, merchant_id, COUNT(DISTINCT id) AS weight FROM tx GROUP BY ALL")
+def _(s, d):
+    return graph.statement_merchants_of(tx(s, d, "id", "statement_id", "merchant_id"))
+
+
+@query("g6_linked_merchants", "SELECT statement_id, merchant_id, COUNT(DISTINCT id) AS weight FROM tx GROUP BY ALL")
 def _(s, d):
     return graph.statement_merchants(the_graph(s, d)[1].distinct())
 
