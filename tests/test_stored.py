@@ -80,6 +80,17 @@ def test_a_failed_write_is_invisible(spark, book, monkeypatch):
     assert held(book) == [("a", 1), ("b", 2), ("c", 3), ("y", 1)] and book.versions() == [2]
 
 
+def test_full_partitions_are_compacted(spark, book):
+    first(spark, book)
+    for k in range(3):
+        book.commit({"transactions": versions.Change(rows(spark, (f"n{k}", "2025-02-09", k)))})
+    before, parts = held(book), book.manifest()["tables"]["transactions"]["parts"]
+    versions.compact(book, "transactions", folders=3)
+    after = book.manifest()["tables"]["transactions"]["parts"]
+    assert held(book) == before and len(after["2025-02"]) == 1 and after["2025-01"] == parts["2025-01"]
+    assert held(book, version=1) == [("a", 1), ("b", 2), ("c", 3)]
+
+
 def test_of_two_writers_one_waits(spark, book):
     first(spark, book)
     with pytest.raises(versions.Conflict):
