@@ -52,11 +52,12 @@ def credit_payoff_accelerate(statements: DataFrame, min_apr: float = 0.1, min_mo
     """Cards (id, account_id, outstanding, apr, min_payment) whose minimum payment takes two years or more; half the time is proposed."""
     c = F.col
     known = statements.where((c("outstanding") > 0) & (c("apr") >= min_apr) & (c("min_payment") > 0))
-    slow = known.join(debt.payoff(known.select("id", "outstanding", "apr", c("min_payment").alias("payment"))), "id").where(c("months") >= min_months)
-    half = slow.withColumn("target_months", F.greatest(F.floor(c("months") / 2).cast("int"), F.lit(12)))
+    kept = ["account_id", "outstanding", "apr", "min_payment"]
+    slow = debt.payoff(known.withColumn("payment", c("min_payment")), *kept).where(c("months") >= min_months)
+    half = slow.withColumn("target_months", F.greatest(F.floor(c("months") / 2).cast("int"), F.lit(12))).withColumnsRenamed({"months": "_months", "total_interest": "_interest"})
     half = half.withColumn("suggested", debt.recommended_payment(c("outstanding"), c("apr"), c("target_months")))
-    faster = debt.payoff(half.select("id", "outstanding", "apr", c("suggested").alias("payment"))).select("id", c("total_interest").alias("interest_then"))
-    both = half.join(faster, "id")
+    faster = debt.payoff(half.withColumn("payment", c("suggested")), *kept, "_months", "_interest", "target_months", "suggested").select("*", c("total_interest").alias("interest_then"))
+    both = faster.drop("months", "total_interest").withColumnsRenamed({"_months": "months", "_interest": "total_interest"})
     body = _text("## Pay [[%s]] down faster\n\n£%s at the minimum of £%s takes %s months and £%s of interest; £%s a month takes %s and £%s.", c("account_id"), c("outstanding"), c("min_payment"), c("months"), c("total_interest"), c("suggested"), c("target_months"), c("interest_then"))
     return _draft(both, "credit_payoff_accelerate", body, [c("account_id"), c("id")], [c("outstanding"), c("min_payment"), c("suggested"), c("total_interest"), c("interest_then"), c("months"), c("target_months")], 0.7)
 
