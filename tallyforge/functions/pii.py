@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyforge.functions.text import ascii_classes
 from tallyforge.sources.places import cut
 
 #: The patterns, in the order in which they apply, and what they become.
@@ -38,10 +39,10 @@ def luhn_ok(c: Column) -> Column:
 def mask(c: str | Column, denylist: tuple[str, ...] = ()) -> Column:
     """Personal data as bracketed names. Grouped card numbers go only if their check digit is right. Null is empty."""
     c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-    cards = F.filter(F.array_distinct(F.regexp_extract_all(c, F.lit(CARD), F.lit(0))), luhn_ok)
+    cards = F.filter(F.array_distinct(F.regexp_extract_all(c, F.lit(ascii_classes(CARD)), F.lit(0))), luhn_ok)
     out = F.aggregate(cards, c, lambda s, card: F.replace(s, card, F.lit("[CARD]")))
     for pattern, name in PATTERNS:
-        out = F.regexp_replace(out, pattern, f"[{name}]")
+        out = F.regexp_replace(out, ascii_classes(pattern), f"[{name}]")
     for name in denylist:
         if name.strip():
             out = F.regexp_replace(out, "(?i)" + re.escape(name.strip()), "[NAME]")
@@ -51,10 +52,10 @@ def mask(c: str | Column, denylist: tuple[str, ...] = ()) -> Column:
 def residual(c: str | Column) -> Column:
     """Name of the first kind of personal data that is left, else null."""
     c = F.col(c) if isinstance(c, str) else c
-    left = F.exists(F.regexp_extract_all(c, F.lit(CARD), F.lit(0)), luhn_ok)
+    left = F.exists(F.regexp_extract_all(c, F.lit(ascii_classes(CARD)), F.lit(0)), luhn_ok)
     out = F.when(left, "CARD")
     for pattern, name in PATTERNS:
-        out = out.when(c.rlike(pattern), name)
+        out = out.when(c.rlike(ascii_classes(pattern)), name)
     return out
 
 

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.money import MONEY
 
+#: A word's edge and space in ASCII, as RE2 has them; Java's edge asks for letters of any script, its space takes U+000B.
+EDGE = r"(?:(?=[0-9A-Za-z_])(?<![0-9A-Za-z_])|(?![0-9A-Za-z_])(?<=[0-9A-Za-z_]))"
+SPACE = r"[\t\n\f\r ]"
+
+
+def ascii_classes(pattern: str) -> str:
+    """A pattern whose ``\\b`` and ``\\s`` go by ASCII alone, in Java as in SQL; an edge that begins it before a letter or digit looks back only."""
+    opened = re.sub(r"(^|^\(\?i\)|\|)\\b(?=(?:\(\?:)?(0|\\d|\[A-[^\]]+\]))", lambda m: f"{m[1]}(?={m[2]})(?<![0-9A-Za-z_])", pattern)
+    return opened.replace(r"\b", EDGE).replace(r"\s", SPACE)
+
+
 #: Fixed value: currency amounts and percentages in prose.
 MONEY_TOKEN = r"[£$]-?\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?|\b\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?%"
 #: A number within such a token, and amounts with cents.
@@ -64,12 +77,12 @@ def json_list(c: str | Column) -> Column:
 
 def currency_values(c: str | Column) -> Column:
     """Distinct ``int.dd`` values of a text, commas dropped, in order of appearance."""
-    found = F.regexp_extract_all(c, F.lit(CENTS), F.lit(0))
+    found = F.regexp_extract_all(c, F.lit(ascii_classes(CENTS)), F.lit(0))
     return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(""))))
 
 
 def money_tokens(c: str | Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(MONEY_TOKEN), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(ascii_classes(MONEY_TOKEN)), F.lit(0))
 
 
 def token_forms(t: Column) -> Column:
