@@ -147,3 +147,19 @@ def test_edges_and_spaces_are_those_of_the_sql(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in enumerate(said)])
     assert got == sorted(con.execute(stored.registry.ORACLES["x19_mask_emails_and_numbers"]).fetchall())
     assert one(spark, "ä5.00ü", text.currency_values) == ["5.00"]
+
+
+def test_documents_are_parsed_without_a_shuffle(spark):
+    """Two card tables, the second after a split row; rows before the first card row of a table belong to none; each document for itself."""
+    short = "| Date of transaction | Description | Amount £ |\n|---|---|---|\n"
+    card = f"## Your credit card statement 14 January 2026\n\n{HEAD}| | | | LOST | | |\n| 1588 | 30 DECEMBER | x | SHOP | LEEDS | 10.98 |\n| | | | ROAD | | |\n\n{short}| | LOST | |\n| 2 JANUARY | CAFE | 1.00 |\n| | BAR | |"
+    plain = "| 2025-13-01 | BAD | 1.00 |\n2025-04-01  WIDE   4.50   100.00"
+    d = spark.createDataFrame([("c", "credit", card), ("c", "bank", "| 2025-04-02 | SHOP | (5.00) |"), ("p", "bank", plain), ("n", "bank", None)], "id string, sign string, md string")
+    rows = statements.parse(d, "sign")
+    got = sorted((r.doc, r.sign, r.date, r.raw_description, r.amount) for r in rows.collect())
+    assert got == [
+        ("c", "bank", date(2025, 4, 2), "SHOP", D("-5.00")),
+        ("c", "credit", date(2025, 12, 30), "SHOP LEEDS", D("-10.98")),
+        ("c", "credit", date(2026, 1, 2), "CAFE", D("-1.00")),
+    ]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
