@@ -12,6 +12,7 @@ from tallyforge.functions import periods, pii, text
 from tallyforge.functions.money import MONEY
 from tallyforge.operators import advisor, anomalies, budgets, debt, forecast, graph, guard, matchers, memo, mutations, net_worth, replay, search, spending, statements
 from tallyforge.sources import ledger
+from tallyforge.sources.places import cut
 from tallyforge.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -530,6 +531,18 @@ def the_graph(s, d):
     return nodes, graph.edges(st, t)
 
 
+def the_edges(s, d):
+    """The graph's edges between ends that exist."""
+    t = tx(s, d, "id", "account_id", "statement_id", "merchant_id", "category_id")
+    return graph.ledger_edges(ledger.accounts(s, d), ledger.categories(s), ledger.merchants(s, d), t)
+
+
+def the_ends(s, d):
+    """The graph's vertices where only those that edges name are asked for: lines without an order or part, of which there are no edges, are not dropped."""
+    t = tx(s, d, "id", "date", "amount").dropDuplicates(["id"])
+    return graph.vertices(ledger.accounts(s, d), ledger.statements(s, d), ledger.categories(s), ledger.merchants(s, d), t)
+
+
 @query("g1_vertices", "SELECT id, 'Account' AS label FROM accounts UNION ALL SELECT DISTINCT statement_id, 'Statement' FROM tx UNION ALL SELECT 'category::' || id, 'Category' FROM categories UNION ALL SELECT id, 'Merchant' FROM merchants UNION ALL SELECT DISTINCT id, 'Transaction' FROM tx")
 def _(s, d):
     return the_graph(s, d)[0].select("id", "label")
@@ -537,14 +550,12 @@ def _(s, d):
 
 @query("g1_edges", f"WITH {EDGES} SELECT * FROM edges")
 def _(s, d):
-    nodes, links = the_graph(s, d)
-    return graph.anchored(links, nodes)
+    return the_edges(s, d).select("src", "dst", "type")
 
 
 @query("g3_evidence", "SELECT id, MIN(date) AS date, MIN(amount) AS amount FROM tx WHERE merchant_id = 'm_3' GROUP BY id ORDER BY date DESC, id LIMIT 10")
 def _(s, d):
-    nodes, links = the_graph(s, d)
-    return graph.evidence(nodes, links, "m_3")
+    return graph.evidence(the_ends(s, d), the_graph(s, d)[1], "m_3")
 
 
 @query("g4_neighbours", f"""WITH {EDGES}, ways AS (SELECT src AS a, dst AS b, src, dst, type FROM edges UNION ALL SELECT dst, src, src, dst, type FROM edges),
@@ -552,16 +563,15 @@ one AS (SELECT * FROM ways WHERE a = 'stmt_1_199703' OR a = 'acct_1'), two AS (S
 used AS (SELECT src, dst, type FROM one WHERE a = 'acct_1' UNION SELECT src, dst, type FROM two)
 SELECT id FROM (SELECT src AS id FROM used UNION SELECT dst FROM used)""")
 def _(s, d):
-    nodes, links = the_graph(s, d)
-    return graph.neighbours(nodes, links.persist(), "acct_1", 2)[0].select("id")
+    return graph.neighbours(the_ends(s, d), cut(the_edges(s, d), "edges"), "acct_1", 2)[0].select("id")
 
 
 @query("g5_graph_stats", f"""WITH {EDGES}
 SELECT CASE type WHEN 'HAS_STATEMENT' THEN 'Account' WHEN 'HAS_TRANSACTION' THEN 'Statement' ELSE 'Transaction' END AS from_label, type,
        CASE type WHEN 'HAS_STATEMENT' THEN 'Statement' WHEN 'HAS_TRANSACTION' THEN 'Transaction' WHEN 'AT_MERCHANT' THEN 'Merchant' ELSE 'Category' END AS to_label, COUNT(*) AS n FROM edges GROUP BY type""")
 def _(s, d):
-    nodes, links = the_graph(s, d)
-    return graph.stats(nodes, graph.anchored(links, nodes))[1]
+    nodes, _ = the_graph(s, d)
+    return graph.stats(nodes, the_edges(s, d))[1]
 
 
 @query("g6_statement_merchants", "SELECT statement_id, merchant_id, COUNT(DISTINCT id) AS weight FROM tx GROUP BY ALL")
@@ -571,7 +581,7 @@ def _(s, d):
 
 @query("g6_linked_merchants", "SELECT statement_id, merchant_id, COUNT(DISTINCT id) AS weight FROM tx GROUP BY ALL")
 def _(s, d):
-    return graph.statement_merchants(the_graph(s, d)[1].distinct())
+    return graph.statement_merchants(the_edges(s, d))
 
 
 @query("j23_merchant_categories", "SELECT 'category::' || category_id AS category, COUNT(DISTINCT id) AS n FROM tx WHERE merchant_id = 'm_3' GROUP BY ALL")
@@ -581,9 +591,9 @@ def _(s, d):
 
 @query("g7_undeclared_links", f"WITH {EDGES} SELECT type, COUNT(*) AS n FROM edges WHERE type <> 'AT_MERCHANT' GROUP BY type")
 def _(s, d):
-    nodes, links = the_graph(s, d)
+    nodes, _ = the_graph(s, d)
     allowed = values(s, "from_label string, type string, to_label string", [("Transaction", "AT_MERCHANT", "Merchant")])
-    return graph.undeclared_links(nodes, graph.anchored(links, nodes), allowed).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return graph.undeclared_links(nodes, the_edges(s, d), allowed).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def query_vector(k: int) -> list[float]:

@@ -296,3 +296,22 @@ def test_backfill(spark):
     one = lambda p: spark.createDataFrame([(p, f"memo of {p}")], "period string, body_md string")
     assert [r.period for r in memo.backfill(memos, "2024_01", "2024_03", one).collect()] == ["2024_01", "2024_03"]
     assert memo.backfill(memos, "2024_02", "2024_02", one) is None
+
+
+def test_edges_of_a_ledger_equal_those_of_its_vertices(spark):
+    """Unknown merchants, categories and accounts, nulls, rows twice and one id in two statements; the edges of a transaction are not moved."""
+    t = spark.createDataFrame([("t1", "a1", "s1", "m1", 1), ("t1", "a1", "s1", "m1", 1), ("t1", "a1", "s2", "m1", 1), ("t2", "a9", "s3", "m9", 9), ("t3", "a1", "s1", None, None), ("t4", None, None, "m1", 2)], "id string, account_id string, statement_id string, merchant_id string, category_id int")
+    full = t.withColumn("date", F.lit(None).cast("date")).withColumn("amount", F.lit(1))
+    accounts = spark.createDataFrame([("a1", "A", "savings")], "id string, name string, type string")
+    categories = spark.createDataFrame([(1, "food"), (2, "fuel")], "id int, name string")
+    merchants = spark.createDataFrame([("m1", "One")], "id string, canonical_name string")
+    st = t.where("statement_id is not null").select("account_id", F.col("statement_id").alias("id")).distinct().withColumn("period_start", F.lit(None).cast("date")).withColumn("period_end", F.lit(None).cast("date"))
+    nodes = graph.vertices(accounts, st, categories, merchants, full.dropDuplicates(["id"]))
+    got = graph.ledger_edges(accounts, categories, merchants, t)
+    want = graph.anchored(graph.edges(st, t), nodes)
+    assert sorted(tuple(r) for r in got.select("src", "dst", "type").collect()) == sorted(tuple(r) for r in want.collect())
+    assert sorted(tuple(r) for r in graph.stats(nodes, got)[1].collect()) == sorted(tuple(r) for r in graph.stats(nodes, want)[1].collect())
+    allowed = spark.createDataFrame([("Transaction", "AT_MERCHANT", "Merchant")], "from_label string, type string, to_label string")
+    assert graph.undeclared_links(nodes, got, allowed).count() == graph.undeclared_links(nodes, want, allowed).count()
+    moved = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line]
+    assert len(moved) == 1 and "src" not in moved[0]
