@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.memo import multimap
 
+#: Kinds of pages, by their folders.
+KINDS = ("accounts", "categories", "statements", "merchants", "subscriptions")
+
 
 def _text(c: str | Column) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("null"))
@@ -74,7 +77,13 @@ def subscription_pages(patterns: DataFrame) -> DataFrame:
     return patterns.select(*_page("subscriptions", page, top, body))
 
 
-def all_pages(accounts: DataFrame, statements: DataFrame, categories: DataFrame, merchants: DataFrame, patterns: DataFrame, transactions: DataFrame) -> DataFrame:
-    """(name, content) of all five kinds."""
-    kinds = [account_pages(accounts, statements), category_pages(categories, merchants), statement_pages(statements, transactions), merchant_pages(merchants, categories, transactions), subscription_pages(patterns)]
-    return reduce(DataFrame.unionByName, kinds)
+def all_pages(accounts: DataFrame, statements: DataFrame, categories: DataFrame, merchants: DataFrame, patterns: DataFrame, transactions: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """(name, content) of the kinds asked for, all five by default; of the others nothing is computed."""
+    made = {
+        "accounts": lambda: account_pages(accounts, statements),
+        "categories": lambda: category_pages(categories, merchants),
+        "statements": lambda: statement_pages(statements, transactions),
+        "merchants": lambda: merchant_pages(merchants, categories, transactions),
+        "subscriptions": lambda: subscription_pages(patterns),
+    }
+    return reduce(DataFrame.unionByName, (made[k]() for k in kinds))

@@ -12,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import Row, StructType
 
 from tallyforge.sources import versions
+from tallyforge.sources.places import cut
 
 SCHEMA = "name string, content string"
 
@@ -68,7 +69,7 @@ def write(pages: DataFrame, path: str) -> int:
 
     What was written is known by hashes in a committed table beside the pages (``<path>/.index``), which is updated after the pages: after
     a failure between the two they are written again. Pages that are no longer among ``pages`` stay. Of several
-    pages of one name the smallest content is taken.
+    pages of one name the smallest content is taken. The pages are computed once; those that changed are kept in the scratch folder.
     """
     spark = pages.sparkSession
     spark.dataSource.register(PageSource)
@@ -76,7 +77,7 @@ def write(pages: DataFrame, path: str) -> int:
     at = versions.At(ledger, ledger.version())
     one = pages.groupBy("name").agg(F.min("content").alias("content")).withColumn("sha256", F.sha2("content", 256))
     known = at.read("pages", "name string, sha256 string").select("name", "sha256")
-    changed = one.join(known, ["name", "sha256"], "left_anti")
+    changed = cut(one.join(known, ["name", "sha256"], "left_anti"), "changed-pages")
     seen = Observation(f"pages-{uuid.uuid4().hex}")
     changed.observe(seen, F.count(F.lit(1)).alias("n")).select("name", "content").write.format("pages").mode("append").save(path)
     if not (n := int(seen.get["n"])):

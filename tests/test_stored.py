@@ -274,3 +274,16 @@ def test_lengths_and_places(spark):
     r = F.col("r")
     ask = [matchers.list_length(r, "a", 2), matchers.list_length(r, "o", 2), matchers.list_length(r, "s", 3), matchers.list_length(r, "a.1.b", 3), matchers.list_length(r, "n", 3), matchers.list_length(r, "zz", 0), matchers.field_equals(r, "a.1.b", "xyz"), matchers.field_equals(r, "a[1].b", "xyz")]
     assert list(d.select(*ask).first()) == [True, True, True, True, False, False, True, True]
+
+
+def test_pages_are_computed_once_a_write(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(name):
+        seen.add(1)
+        return f"{name}\n"
+
+    made = spark.createDataFrame([("a/one.md",), ("b/two.md",)], "name string").withColumn("content", said.asNondeterministic()("name"))
+    assert pages.write(made, f"file://{tmp_path}/wiki") == 2 and seen.value == 2
+    assert pages.write(made, f"file://{tmp_path}/wiki") == 0 and seen.value == 4
