@@ -287,3 +287,62 @@ def test_pages_are_computed_once_a_write(spark, tmp_path):
     made = spark.createDataFrame([("a/one.md",), ("b/two.md",)], "name string").withColumn("content", said.asNondeterministic()("name"))
     assert pages.write(made, f"file://{tmp_path}/wiki") == 2 and seen.value == 2
     assert pages.write(made, f"file://{tmp_path}/wiki") == 0 and seen.value == 4
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_rows_are_shuffled_once_a_commit_and_not_by_a_merge(spark, book):
+    at = F.expr("date_add(date '2025-01-01', cast(id % 300 as int))")
+    t = spark.range(20000).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), at.alias("date"), F.format_string("m%d", F.col("id") % 50).alias("merchant_id"), F.sha2((-F.col("id")).cast("string"), 512).alias("note"))
+    m = spark.createDataFrame([("m1", "One", ["x"]), ("m2", "Two", None)], "id string, canonical_name string, aliases array<string>")
+    marks = [shuffled(spark)]
+
+    def done():
+        marks.append(shuffled(spark))
+        return marks[-1] - marks[-2]
+
+    book.commit({"transactions": versions.Change(t), "merchants": versions.Change(m)})
+    once = done()
+    assert once > 20000 * 100
+    versions.merge_merchant(book, "m1", "m2")
+    assert done() < once / 10
+    later = t.withColumn("date", F.add_months("date", 24)).unionByName(t.limit(100))
+    book.transact(lambda at: {"transactions": versions.insert(at, "transactions", later, ["id", "date"])})
+    assert done() < once * 1.5
+    assert book.read("transactions").count() == 40000
+    book.transact(lambda at: {"transactions": versions.upsert(at, "transactions", t, ["id", "date"], "note")})
+    assert done() < once * 2.5
+    assert {r.merchant_id for r in book.read("transactions").where("date < '2026-01-01'").select("merchant_id").distinct().collect()} >= {"m1"}
+    assert book.read("transactions").count() == 40000
+
+
+@pytest.mark.parametrize("key", [["name", "date"], ["name"]])
+def test_inserts_and_upserts_equal_a_plain_program(spark, book, monkeypatch, key):
+    monkeypatch.setattr(versions, "SHARE", 4)
+    fields = ["id", "name", "date", "amount"]
+    some = lambda n, low: [(f"{low}-{i:03d}", None if i % 7 == 0 else f"n{i % 9}", None if i % 11 == 0 else date(2025, 1 + i % 3, 1 + i % 2), i % 5) for i in range(n)]
+    rows = lambda given: spark.createDataFrame(given, "id string, name string, date date, amount int").repartition(3)
+    of = lambda r: tuple(r[fields.index(k)] for k in key)
+    month = lambda r: r[2] and r[2].month
+    old, new = some(20, "a"), some(60, "b")
+    book.commit({"transactions": versions.Change(rows(old))})
+    book.transact(lambda at: {"transactions": versions.insert(at, "transactions", rows(new), key, "id")})
+    touched = {month(r) for r in new}
+    known, first = {of(r) for r in old if month(r) in touched and None not in of(r)}, {}
+    for r in sorted(new):
+        first.setdefault(of(r), r)
+    want = sorted(old + [r for k, r in first.items() if k not in known])
+    assert sorted(tuple(r) for r in book.read("transactions").select(*fields).collect()) == want
+
+    newest = [(f"c{r[0]}", *r[1:3], 9) for r in new[:5]]
+    book.transact(lambda at: {"transactions": versions.upsert(at, "transactions", rows(newest), key, "id")})
+    touched, best = {month(r) for r in newest}, {}
+    for r in sorted([r for r in want if month(r) in touched] + newest):
+        best[of(r)] = r
+    want = sorted([r for r in want if month(r) not in touched] + list(best.values()), key=str)
+    assert sorted((tuple(r) for r in book.read("transactions").select(*fields).collect()), key=str) == want
