@@ -6,12 +6,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.functions.text import ascii_classes
-from tallyforge.sources.places import cut
+from tallyforge.sources.places import bound_batches, cut
 
 #: The patterns, in the order in which they apply, and what they become.
 CARD = r"\b(?:\d{4}[\s-]){3}\d{4}\b|\b\d{4}[\s-]\d{6}[\s-]\d{5}\b"
@@ -104,7 +105,29 @@ def _pieces(text: str, patterns: list[tuple[re.Pattern, str]], card: re.Pattern)
 
 #: Values of seq numbered by one task at a time.
 SEQ_BLOCK = 1024
+#: Characters of messages that a task looks at before it gives away what they hold.
+PARSE_CHARS = 1 << 18
 _PARSED = "id long, session string, seq long, pieces array<struct<literal: string, at: int>>, found array<struct<kind: string, value: string>>"
+_PIECES = pa.list_(pa.struct([("literal", pa.string()), ("at", pa.int32())]))
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages (id, session, seq, text) as pieces and values (_PARSED), in batches of about PARSE_CHARS characters."""
+    compiled, card = [(re.compile(p), _KINDS.get(n, n)) for p, n in PATTERNS], re.compile(CARD)
+    for batch in batches:
+        pieces, found, size = [], [], 0
+        for k, value in enumerate(batch.column("text"), 1):
+            text = value.as_py() or ""
+            made = _pieces(text, compiled, card)
+            pieces.append([{"literal": x, "at": at} for x, at in made[0]])
+            found.append([{"kind": kind, "value": v} for kind, v in made[1]])
+            size += len(text)
+            if size >= PARSE_CHARS or k == batch.num_rows:
+                done = batch.slice(k - len(pieces), len(pieces))
+                arrays = [*(done.column(c) for c in ("id", "session", "seq")), pa.array(pieces, _PIECES), pa.array(found, _FOUND)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "session", "seq", "pieces", "found"])
+                pieces, found, size = [], [], 0
 
 
 def tokenize(messages: DataFrame) -> DataFrame:
@@ -115,16 +138,9 @@ def tokenize(messages: DataFrame) -> DataFrame:
     SEQ_BLOCK values of ``seq``, on from the counts of the blocks before, so no task holds a session. Null texts are empty.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled, card = [(re.compile(p), _KINDS.get(n, n)) for p, n in PATTERNS], re.compile(CARD)
-        for batch in batches:
-            made = [_pieces(t or "", compiled, card) for t in batch["text"]]
-            batch["pieces"] = [[{"literal": x, "at": k} for x, k in m[0]] for m in made]
-            batch["found"] = [[{"kind": k, "value": v} for k, v in m[1]] for m in made]
-            yield batch.drop(columns="text")
-
+    bound_batches(messages.sparkSession)
     asked = messages.select(F.monotonically_increasing_id().alias("id"), F.col("session").cast("string").alias("session"), F.col("seq").cast("long").alias("seq"), "text")
-    parsed = cut(asked.mapInPandas(run, _PARSED), "parsed-messages")
+    parsed = cut(asked.mapInArrow(_parse, _PARSED), "parsed-messages")
     each = parsed.select("id", "session", "seq", F.posexplode("found").alias("at", "f")).select("id", "session", "seq", "at", "f.kind", "f.value")
     first = each.groupBy("session", "value").agg(F.min(F.struct("seq", "id", "at", "kind")).alias("first")).select("session", "value", "first.*")
     block = first.withColumn("block", F.floor(F.coalesce("seq", F.lit(0)) / F.lit(SEQ_BLOCK)))

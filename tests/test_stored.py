@@ -1,6 +1,7 @@
 import re
 from datetime import date
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,6 +264,21 @@ def test_tokens_equal_a_plain_program(spark, monkeypatch):
     assert sum("<<" in t for t in want.values()) > 10
 
 
+def test_parsed_messages_leave_in_small_batches(spark):
+    """A task holds the pieces of about PARSE_CHARS characters, not of a whole Arrow batch; batches are bounded in bytes."""
+    texts = [f"mail a{k}@b.cd " + "x y " * (k % 500) if k % 10 else None for k in range(3000)] + ["z" * (2 * pii.PARSE_CHARS), ""]
+    rows = [list(range(len(texts))), ["s"] * len(texts), list(range(len(texts))), texts]
+    got = list(pii._parse(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["id", "session", "seq", "text"])])))
+    assert len(got) > 10
+    for batch in got:
+        chars = [len(texts[i] or "") for i in batch.column("id").to_pylist()]
+        assert sum(chars[:-1]) < pii.PARSE_CHARS
+    back = [(r["id"], "".join(r["found"][p["at"]]["value"] if p["literal"] is None else p["literal"] for p in r["pieces"])) for b in got for r in b.to_pylist()]
+    assert back == [(k, t or "") for k, t in enumerate(texts)]
+    pii.tokenize(spark.createDataFrame([("s", 1, "a@b.cd")], "session string, seq long, text string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+
+
 def test_tolerant_dates(spark):
     given = {"2025-04-01": "2025-04-01", "20250401": "2025-04-01", "2025-04-01T23:59:59.5+02:00": "2025-04-01", "2025-04-01 10:00": "2025-04-01", "2025-04-31": None, "2025-4-1": None, "2025-04-01T25:00": None, "1 April": None, "": None, None: None}
     got = spark.createDataFrame([(k,) for k in given], "c string").select("c", periods.tolerant_date("c").cast("string").alias("d")).collect()
