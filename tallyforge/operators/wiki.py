@@ -50,11 +50,18 @@ def category_pages(categories: DataFrame, merchants: DataFrame) -> DataFrame:
 
 
 def statement_pages(statements: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Statements (id, account_id, period_start, period_end, sha256) with links to the merchants of their transactions (statement_id, merchant_id)."""
-    held = multimap(transactions.select("statement_id", "merchant_id"), "statement_id", "merchant_id")
+    """Statements (id, account_id, period_start, period_end, sha256) with links to the merchants of their transactions (statement_id, merchant_id).
+
+    Statements that have these as ``merchants``, sorted, are not joined with transactions.
+    """
+    if "merchants" in statements.columns:
+        linked = statements.withColumnRenamed("merchants", "values")
+    else:
+        held = multimap(transactions.select("statement_id", "merchant_id"), "statement_id", "merchant_id")
+        linked = statements.join(held, F.col("id") == F.col("statement_id"), "left")
     top = head("Statement", id="id", account_id="account_id", period_start="period_start", period_end="period_end", sha256="sha256")
     body = F.concat(F.lit("# Statement "), "id", F.lit("\n\n- Account: [["), "account_id", F.lit("]]\n- Period: "), _text("period_start"), F.lit(" → "), _text("period_end"), F.lit("\n- SHA-256: `"), _text("sha256"), F.lit("`\n\n## Merchants seen this period\n"), links("values", "merchant_"))
-    return statements.join(held, F.col("id") == F.col("statement_id"), "left").select(*_page("statements", F.col("id"), top, body))
+    return linked.select(*_page("statements", F.col("id"), top, body))
 
 
 def merchant_pages(merchants: DataFrame, categories: DataFrame, transactions: DataFrame) -> DataFrame:

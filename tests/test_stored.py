@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import periods, pii
-from tallyforge.operators import graph, guard, matchers, search
-from tallyforge.sources import files, pages, versions
+from tallyforge.operators import graph, guard, matchers, search, wiki
+from tallyforge.plans import stored
+from tallyforge.sources import files, ledger, pages, versions
 from tallyforge.streaming import arrivals
 
 ROWS = "id string, date date, amount int"
@@ -362,3 +363,13 @@ def test_inserts_and_upserts_equal_a_plain_program(spark, book, monkeypatch, key
         best[of(r)] = r
     want = sorted([r for r in want if month(r) not in touched] + list(best.values()), key=str)
     assert sorted((tuple(r) for r in book.read("transactions").select(*fields).collect()), key=str) == want
+
+
+def test_pages_join_transactions_once(spark):
+    sf = "/root/testdata/sf0.001"
+    assert "o_orderkey" not in stored._wiki(spark, sf)._jdf.queryExecution().optimizedPlan().toString()  # joined and kept before
+    seen, plain = ledger.statements_seen(spark, sf), ledger.statements(spark, sf)
+    links = ledger.transactions(spark, sf, "statement_id", "merchant_id")
+    got, want = wiki.statement_pages(seen, links), wiki.statement_pages(plain, links)
+    assert got.count() == want.count() > 1000 and not got.exceptAll(want).count() and not want.exceptAll(got).count()
+    assert not seen.drop("merchants").exceptAll(plain).count()
