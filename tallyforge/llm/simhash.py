@@ -168,10 +168,12 @@ def link_fingerprints(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     Then the members outside the anchor's largest component so far are compared with all others, block by
     block, in two grids of cells of bounded size; members of the largest component are never compared with each other again. The
     links found so join components, a smaller graph than that of their members.
+
+    Spark takes exploded rows to be as many as before, so it is told to deal them by shuffle and never broadcast them.
     """
     met = replicate(prints)
     sizes = met.groupBy(F.col("anchor").alias("_anchor")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    shared = materialise(met.join(sizes, F.col("anchor") == F.col("_anchor")).select("anchor", "fp", F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("blocks")), "anchors")
+    shared = materialise(met.join(sizes.hint("merge"), F.col("anchor") == F.col("_anchor")).select("anchor", "fp", F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("blocks")), "anchors")
     within = lambda r: links_within(_column(r, "anchor"), _column(r, "fp"))
     pairs = _pairs(shared.where("blocks = 1").select("anchor", "fp"), ["anchor"], within)
     hot = shared.where("blocks > 1")

@@ -94,3 +94,17 @@ def test_sent_to_few_anchors(spark):
 def test_tables(docs, crowded, empty):
     assert simhash.find_groups(empty).count() == 0
     assert same(simhash.find_groups(docs), simhash.find_groups(crowded))
+
+
+def test_what_is_sent_to_anchors_is_never_broadcast(spark, monkeypatch):
+    """Spark takes the exploded rows for few; the join with their anchors' sizes deals them by shuffle all the same."""
+    plans, real = {}, simhash.materialise
+
+    def kept(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, label)
+
+    monkeypatch.setattr(simhash, "materialise", kept)
+    prints = real(spark.range(2000).selectExpr("xxhash64(id) fp"), "prints")
+    simhash.link_fingerprints(prints)
+    assert "SortMergeJoin" in plans["anchors"] and "BroadcastExchange" not in plans["anchors"]
