@@ -1,4 +1,4 @@
-"""Pages as files: a data source that writes each page to a file of its own, and a writer that skips pages which did not change."""
+"""Pages as files of their own, by a data source, or many to a file in a committed table; pages that did not change are not written again."""
 
 from __future__ import annotations
 
@@ -91,3 +91,56 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
     root = path.rstrip("/").split("://")[-1]
     return found.select(F.substring_index(F.url_decode(F.col("_metadata.file_path")), f"{root}/", -1).alias("name"), F.col("value").alias("content"))
+
+
+# Many pages to a file
+
+#: The committed table, whose rows name the version that wrote them.
+TEXTS = "texts"
+
+
+def _one_each(pages: DataFrame) -> DataFrame:
+    """One row a name, of several the smallest content; texts are shuffled only of names that occur twice."""
+    twice = cut(pages.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "repeated-pages")
+    if twice.isEmpty():
+        return pages
+    least = pages.join(twice, "name", "left_semi").groupBy("name").agg(F.min("content").alias("content"))
+    return pages.join(twice, "name", "left_anti").unionByName(least)
+
+
+def store(pages: DataFrame, path: str) -> int:
+    """Add the pages (name, content) that are new or have other content than the stored ones to a table below ``path``; how many.
+
+    Every page counts as its name and the SHA-256 of both, and only these hashes are shuffled: texts are written where they are made,
+    many to a file, so that no list of pages is ever in the driver. Texts that were replaced stay, as older versions do. Of several pages of
+    one name the smallest content is taken. ``pages`` are read several times, so dear ones are to be kept in the scratch folder.
+    """
+    spark = pages.sparkSession
+    ledger = versions.Ledger(spark, path)
+    base = ledger.version()
+    rows = _one_each(pages.select("name", F.coalesce("content", F.lit("")).alias("content")))
+    if base:
+        digest = F.unhex(F.sha2(F.concat("name", F.lit("\0"), "content"), 256)).alias("_digest")
+        held = stored(spark, path, base).select(digest)
+        new = cut(rows.select(digest).join(held, "_digest", "left_anti"), "changed-pages")
+        if new.isEmpty():
+            return 0
+        rows = rows.withColumn("_digest", digest).join(new, "_digest", "left_semi").drop("_digest")
+    seen = Observation(f"pages-{uuid.uuid4().hex}")
+    made = rows.withColumn("version", F.lit(base + 1).cast("long")).observe(seen, F.count(F.lit(1)).alias("n"))
+    ledger.commit({TEXTS: versions.Change(made, dealt=True)}, base)
+    return int(seen.get["n"])
+
+
+def stored(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """(name, content) of the pages of a table that ``store`` made, as of a version, the newest by default.
+
+    What later versions hold, the changed pages, decides by its names which older texts are left out.
+    """
+    ledger = versions.Ledger(spark, path)
+    version = ledger.version() if version is None else version
+    rows = ledger.read(TEXTS, f"{SCHEMA}, version long", version=version)
+    if version > 1:
+        last = rows.where("version > 1").groupBy(F.col("name").alias("_name")).agg(F.max("version").alias("_last"))
+        rows = rows.join(last, F.col("name") == F.col("_name"), "left").where("_last is null or version = _last")
+    return rows.select("name", "content")

@@ -373,3 +373,27 @@ def test_pages_join_transactions_once(spark):
     got, want = wiki.statement_pages(seen, links), wiki.statement_pages(plain, links)
     assert got.count() == want.count() > 1000 and not got.exceptAll(want).count() and not want.exceptAll(got).count()
     assert not seen.drop("merchants").exceptAll(plain).count()
+
+
+def test_pages_are_stored_when_they_change(spark, tmp_path):
+    """New, changed, changed back, repeated and empty pages; what is held is that of the last write, as of any version."""
+    at = f"file://{tmp_path}/wiki"
+    made = lambda *rows: spark.createDataFrame(rows, pages.SCHEMA)
+    now = lambda **k: sorted(map(tuple, pages.stored(spark, at, **k).collect()))
+    assert now() == []
+    first = made(("a/1.md", "1"), ("a/2.md", "2"), ("b/ü.md", None), ("b/3.md", "z"), ("b/3.md", "y"))
+    assert pages.store(first, at) == 4 and pages.store(first, at) == 0
+    assert now() == [("a/1.md", "1"), ("a/2.md", "2"), ("b/3.md", "y"), ("b/ü.md", "")]
+    assert pages.store(made(("a/1.md", "new"), ("a/2.md", "2"), ("c.md", "2")), at) == 2
+    assert now() == [("a/1.md", "new"), ("a/2.md", "2"), ("b/3.md", "y"), ("b/ü.md", ""), ("c.md", "2")]
+    assert pages.store(first, at) == 1 and pages.store(first, at) == 0
+    assert now() == [("a/1.md", "1"), ("a/2.md", "2"), ("b/3.md", "y"), ("b/ü.md", ""), ("c.md", "2")]
+    assert now(version=1) == [("a/1.md", "1"), ("a/2.md", "2"), ("b/3.md", "y"), ("b/ü.md", "")]
+
+
+def test_all_kinds_of_pages_are_written_many_to_a_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "scratch", lambda s, label: f"file://{tmp_path}/{label}")
+    got = stored.registry.QUERIES["s15_written_pages"](spark, "/root/testdata/sf0.001")
+    kinds = {r[0]: r[1] for r in got.groupBy(F.substring_index("name", "/", 1)).count().collect()}
+    assert set(kinds) == set(wiki.KINDS) and kinds["statements"] == 4664
+    assert 0 < len([p for p in tmp_path.rglob("*") if p.is_file()]) < 400
