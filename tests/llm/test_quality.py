@@ -102,3 +102,35 @@ def test_tables(spark, docs, crowded, empty, labels):
     report = quality.quality_report(docs, labels).where("kept").select("doc_id")
     assert same(report, quality.keep_good(docs, labels).select("doc_id"))
     assert quality.keep_good(crowded, labels).columns == crowded.columns
+
+
+def test_all_labelled_rows_fit_the_forest(spark):
+    """Spread, samples and threshold are those of 7,000 labelled rows, as one plain fit over all of them has."""
+    word = F.concat(F.lit("w"), F.pmod(F.xxhash64("id", "x"), F.lit(60)).cast("string"), F.when(F.pmod(F.xxhash64("x", "id"), 9 + F.col("id") % 40) == 0, "#").otherwise(""))
+    docs = spark.range(7000).select("id", F.explode(F.sequence(F.lit(1), (30 + F.col("id") % 31).cast("int"))).alias("x")).groupBy(F.col("id").alias("doc_id")).agg(F.array_join(F.collect_list(word), " ").alias("text"))
+    docs = docs.localCheckpoint()
+    labels = docs.select("doc_id", F.when(F.length(F.regexp_replace("text", "[^#]", "")) > 3, 0).otherwise(1).alias("quality"))
+    forest = quality.fit_forest(docs, labels)
+    rows = quality.rule_statistics(docs, ["doc_id"]).join(labels, "doc_id").toArrow()
+    stats = {n: rows.column(n).to_numpy() for n in (*quality.BASE, *quality.MORE)}
+    good, passed = rows.column("quality").to_numpy() == 1, ~quality.base_failed(stats["n_words"], stats["n_repeat_words"])
+    x = quality.features(stats)[passed]
+    assert np.allclose(forest.scale, np.maximum(x[good[passed]].std(axis=0), 1e-9), rtol=1e-7)
+    found = forest.threshold
+    assert found == quality.calibrate(forest, x, good[passed]).threshold < 1
+
+
+class Given:
+    """A forest whose scores are given."""
+
+    def score(self, x):
+        return x[:, 0]
+
+
+def test_threshold_over_a_table_is_that_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    for n, digits, share in ((1, 2, 1), (40, 1, 0.5), (3000, 3, 0.8), (3000, 9, 0.99), (5000, 2, 0.4), (30, 2, 0), (2000, 4, 0.9)):
+        good = rng.random(n) < share
+        score = np.round(rng.beta(8, np.where(good, 9, 6)), digits)
+        rows = spark.createDataFrame(list(zip(score.tolist(), good.tolist(), strict=True)), "score double, good boolean")
+        assert quality.threshold(rows) == quality.calibrate(Given(), score[:, None], good).threshold
